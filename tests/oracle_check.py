@@ -1,0 +1,115 @@
+"""Side-by-side check of registered queries against their DuckDB oracle.
+
+    python tests/oracle_check.py [sf_dir] [name ...]
+
+Compares row count, column names and an order-insensitive value digest (floats
+rendered with 9 significant digits), the same shape of check the CI gate runs.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import os
+import sys
+import time
+
+import duckdb
+import pandas as pd
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from corpusflow.sources.tables import TABLES  # noqa: E402
+
+
+def _norm(v):
+    if v is None:
+        return "<null>"
+    if isinstance(v, float):
+        if math.isnan(v):
+            return "nan"
+        return f"{v:.9g}"
+    if hasattr(v, "tolist"):
+        v = v.tolist()
+    if isinstance(v, (list, tuple)):
+        return "[" + ",".join(_norm(x) for x in v) + "]"
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{k}:{_norm(x)}" for k, x in sorted(v.items())) + "}"
+    if isinstance(v, bytes):
+        return v.hex()
+    return str(v)
+
+
+def digest(pdf: pd.DataFrame) -> tuple[list[str], list[str]]:
+    cols = sorted(pdf.columns)
+    rows = sorted("|".join(_norm(r[c]) for c in cols) for r in pdf.to_dict("records"))
+    return cols, rows
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        p = os.path.join(sf_dir, f"{t}.parquet")
+        if os.path.exists(p):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{p}')")
+    con.execute("SET TimeZone='UTC'")
+    return con
+
+
+def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool = True) -> dict:
+    import __spark_entry__ as entry
+
+    qs, sqls = entry.queries(), entry.oracle_sql()
+    con = duck(sf_dir)
+    report = {}
+    for name in names or sorted(qs):
+        t0 = time.time()
+        try:
+            sdf = qs[name](spark, sf_dir).toPandas()
+        except Exception as exc:  # noqa: BLE001
+            report[name] = {"status": "spark_error", "error": repr(exc)[:2000]}
+            if verbose:
+                print(f"{name:32s} SPARK ERROR {repr(exc)[:600]}")
+            continue
+        ts = time.time() - t0
+        if name not in sqls:
+            report[name] = {"status": "rows_only", "rows": len(sdf)}
+            if verbose:
+                print(f"{name:32s} rows-only {len(sdf)} rows ({ts:.1f}s)")
+            continue
+        try:
+            odf = con.execute(sqls[name]).fetchdf()
+        except Exception as exc:  # noqa: BLE001
+            report[name] = {"status": "oracle_error", "error": repr(exc)[:2000]}
+            if verbose:
+                print(f"{name:32s} ORACLE ERROR {repr(exc)[:600]}")
+            continue
+        sc, sr = digest(sdf)
+        oc, orow = digest(odf)
+        ok = sc == oc and sr == orow
+        status = "match" if ok else "mismatch"
+        report[name] = {"status": status, "spark_rows": len(sdf), "oracle_rows": len(odf),
+                        "spark_cols": sc, "oracle_cols": oc}
+        if verbose:
+            print(f"{name:32s} {status:8s} spark={len(sdf)} oracle={len(odf)} ({ts:.1f}s)")
+            if not ok:
+                if sc != oc:
+                    print("   cols", sc, "vs", oc)
+                else:
+                    a, b = set(sr), set(orow)
+                    for x in sorted(a - b)[:3]:
+                        print("   spark-only :", x[:300])
+                    for x in sorted(b - a)[:3]:
+                        print("   oracle-only:", x[:300])
+    return report
+
+
+if __name__ == "__main__":
+    from corpusflow.session import get_spark
+
+    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    names = sys.argv[2:] or None
+    spark = get_spark("local[8]", 8)
+    rep = compare(spark, sf, names)
+    bad = [k for k, v in rep.items() if v["status"] not in ("match", "rows_only")]
+    print("FAILED:", bad if bad else "none")
