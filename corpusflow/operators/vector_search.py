@@ -48,6 +48,29 @@ def _to_matrix(values, kind: str, dim: int) -> np.ndarray:
     return _normalise(np.vstack([np.asarray(v, dtype=np.float64) for v in values]))
 
 
+def merge_topk(best: pd.DataFrame | None, qids: np.ndarray, scores: np.ndarray, valid: np.ndarray,
+               keys: np.ndarray, payload: dict, *, k: int, key: str, qname: str) -> pd.DataFrame | None:
+    """Fold a (queries × rows) score matrix into the running per-query top-k.
+
+    Candidates are every cell scoring at least the row-wise k-th best valid score, so
+    ties at the boundary survive and the final order (score desc, key asc) is exact.
+    """
+    n = scores.shape[1]
+    if n > k:
+        masked = np.where(valid, scores, -np.inf)
+        kth = -np.partition(-masked, k - 1, axis=1)[:, k - 1]
+        valid = valid & (masked >= kth[:, None])
+    qi, ci = np.nonzero(valid)
+    if len(qi) == 0:
+        return best
+    cand = pd.DataFrame({qname: qids[qi], key: keys[ci], "score": scores[qi, ci]})
+    for p, values in payload.items():
+        cand[p] = values[ci]
+    merged = cand if best is None else pd.concat([best, cand], ignore_index=True)
+    merged = merged.sort_values([qname, "score", key], ascending=[True, False, True], kind="mergesort")
+    return merged.groupby(qname, sort=False).head(k)
+
+
 def _local_topk(qids: np.ndarray, qmat: np.ndarray, batches: Iterator[pd.DataFrame], *, key: str,
                 vec: str, kind: str, dim: int, k: int, offset: float, digits: int,
                 payload: Sequence[str], exclude_self: bool, qname: str) -> pd.DataFrame | None:
@@ -65,6 +88,7 @@ def _local_topk(qids: np.ndarray, qmat: np.ndarray, batches: Iterator[pd.DataFra
                 continue
         cmat = _to_matrix(pdf[vec].to_numpy(), kind, dim)
         keys = pdf[key].to_numpy()
+        pay = {p: pdf[p].to_numpy() for p in payload}
         n = len(pdf)
         step = max(1, _MAX_SCORE_CELLS // n)
         for q0 in range(0, nq, step):
@@ -73,19 +97,7 @@ def _local_topk(qids: np.ndarray, qmat: np.ndarray, batches: Iterator[pd.DataFra
             valid = np.ones(scores.shape, dtype=bool)
             if exclude_self:
                 valid &= qids[q0:q1, None] != keys[None, :]
-            if n > k:
-                masked = np.where(valid, scores, -np.inf)
-                kth = -np.partition(-masked, k - 1, axis=1)[:, k - 1]
-                valid &= masked >= kth[:, None]
-            qi, ci = np.nonzero(valid)
-            if len(qi) == 0:
-                continue
-            cand = pd.DataFrame({qname: qids[q0 + qi], key: keys[ci], "score": scores[qi, ci]})
-            for p in payload:
-                cand[p] = pdf[p].to_numpy()[ci]
-            merged = cand if best is None else pd.concat([best, cand], ignore_index=True)
-            merged = merged.sort_values([qname, "score", key], ascending=[True, False, True], kind="mergesort")
-            best = merged.groupby(qname, sort=False).head(k)
+            best = merge_topk(best, qids[q0:q1], scores, valid, keys, pay, k=k, key=key, qname=qname)
     return best
 
 
