@@ -102,7 +102,7 @@ def stream_counts_q(spark, sf):
     _drop_files(ev, incoming)
     out = os.path.join(root, "counts")
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-    counts = (stream.withWatermark("ts", "1 day")
+    counts = (stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
               .groupBy(F.window("ts", "1 day").alias("w"), F.col("event_type").alias("status"))
               .agg(F.count(F.lit(1)).alias("events")))
 
