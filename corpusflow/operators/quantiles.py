@@ -20,17 +20,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1000
+DEFAULT_BUCKETS = 128
+
+
+def _stats(df: DataFrame, group: list[str], value: str, buckets: int) -> DataFrame:
+    """One aggregate pass: n, mean and the sketch cut points per group."""
+    cuts = [i / buckets for i in range(1, buckets)]
+    v = F.col(value).cast("double")
+    return df.where(v.isNotNull()).groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"),
+        F.percentile_approx(v, cuts, 10000).alias("_cuts"),
+    )
 
 
 def exact_ranks(df: DataFrame, group: list[str], value: str, requests: DataFrame,
-                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                buckets: int = DEFAULT_BUCKETS, stats: DataFrame | None = None) -> DataFrame:
     """``requests``: (*group, label, r) with 1-based ascending ranks.
     Returns (*group, label, value_at_rank)."""
-    cuts = [i / buckets for i in range(1, buckets)]
+    stats = stats if stats is not None else _stats(df, group, value, buckets)
     v = df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    bounds = v.groupBy(*group).agg(F.percentile_approx("_v", cuts, 10 * buckets).alias("_cuts"))
-    bucketed = v.join(bounds, group, "inner").select(
+    bucketed = v.join(stats.select(*group, "_cuts"), group, "inner").select(
         *group, "_v", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_b")
     )
     per_bucket = bucketed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -51,9 +60,7 @@ def summary_stats(df: DataFrame, group: list[str], value: str, disc: dict[str, f
                   digits: int = 3, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """Per group: n, mean, interpolating median (``p50``) and nearest-rank
     percentiles (``disc``: label → p, index ceil(p·n)-1 clamped), rounded."""
-    base = df.groupBy(*group).agg(
-        F.count(F.col(value)).alias("n"), F.avg(F.col(value).cast("double")).alias("mean")
-    )
+    base = _stats(df, group, value, buckets)
     reqs = [
         F.struct(F.lit("_med_lo").alias("label"), (F.floor((F.col("n") - 1) / 2) + 1).cast("bigint").alias("r")),
         F.struct(F.lit("_med_hi").alias("label"), (F.ceil((F.col("n") - 1) / 2) + 1).cast("bigint").alias("r")),
@@ -61,10 +68,8 @@ def summary_stats(df: DataFrame, group: list[str], value: str, disc: dict[str, f
     for label, p in disc.items():
         r = F.least(F.greatest(F.ceil(F.lit(p) * F.col("n")), F.lit(1)), F.col("n")).cast("bigint")
         reqs.append(F.struct(F.lit(label).alias("label"), r.alias("r")))
-    requests = base.where(F.col("n") > 0).select(*group, F.explode(F.array(*reqs)).alias("_q")).select(
-        *group, "_q.label", "_q.r"
-    )
-    vals = exact_ranks(df, group, value, requests, buckets)
+    requests = base.select(*group, F.explode(F.array(*reqs)).alias("_q")).select(*group, "_q.label", "_q.r")
+    vals = exact_ranks(df, group, value, requests, buckets, stats=base)
     wide = vals.groupBy(*group).pivot("label", ["_med_lo", "_med_hi", *disc.keys()]).agg(F.first("value_at_rank"))
     out = base.join(wide, group, "left")
     cols = [

@@ -13,8 +13,25 @@ TABLES = (
 ).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan that arrives in fewer splits than the cluster has task slots.
+
+    A small Parquet file written as one row group is one split, i.e. one task for
+    all downstream per-row work (regex, chunking, Arrow UDFs). When the scan has
+    fewer partitions than ``defaultParallelism`` a round-robin repartition spreads
+    it; on large inputs (many files / row groups) this is a no-op, so no shuffle
+    is added where the scan is already parallel. Filters and column pruning still
+    reach the Parquet scan below the repartition.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return balanced(df) if balance else df
 
 
 def filename_expr():
