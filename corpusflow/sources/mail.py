@@ -1 +1,312 @@
-"""Mail sources (filled in below)."""
+"""Mail messages as a source: JSON message → normalised mail row → document.
+
+Messages have the shape of a mail API's ``full`` format: ``id``, ``threadId``,
+``labelIds``, ``snippet`` and a ``payload`` with ``mimeType``, ``filename``,
+``headers`` [{name, value}], ``body`` {data (url-safe base64), attachmentId} and
+recursive ``parts``. They are parsed with a fixed-depth schema (``MAX_DEPTH``
+levels of nested parts) and walked with higher-order functions, all on the JVM.
+
+Rules (first match wins for every part, depth first, in order):
+  filename and attachmentId → attachment; text/plain with data → text;
+  text/html with data → visible text; multipart/* with parts → recurse.
+Non-empty texts are joined by newlines, then cleaned. Header names are
+case-insensitive and the last duplicate wins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from corpusflow.functions import text as tx
+from corpusflow.plans.oracle import ORACLE, compact as sql_compact
+from corpusflow.plans.queries import register
+from corpusflow.sources.tables import table
+
+MAX_DEPTH = 5
+# Defaults of a normalised message.
+NO_SUBJECT = "(no subject)"
+DOCUMENT_PREFIX = "mail:"
+
+_HEADER = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
+_BODY = T.StructType([
+    T.StructField("data", T.StringType()), T.StructField("attachmentId", T.StringType()),
+    T.StructField("size", T.LongType()),
+])
+
+
+def part_schema(depth: int = MAX_DEPTH) -> T.StructType:
+    fields = [
+        T.StructField("partId", T.StringType()),
+        T.StructField("mimeType", T.StringType()),
+        T.StructField("filename", T.StringType()),
+        T.StructField("headers", T.ArrayType(_HEADER)),
+        T.StructField("body", _BODY),
+    ]
+    if depth > 0:
+        fields.append(T.StructField("parts", T.ArrayType(part_schema(depth - 1))))
+    return T.StructType(fields)
+
+
+MESSAGE_SCHEMA = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("threadId", T.StringType()),
+    T.StructField("labelIds", T.ArrayType(T.StringType())),
+    T.StructField("snippet", T.StringType()),
+    T.StructField("payload", part_schema(MAX_DEPTH)),
+])
+
+
+def b64url_text(data: Column) -> Column:
+    """url-safe base64 (padding optional) → UTF-8 text, invalid bytes dropped."""
+    raw = F.unbase64(F.translate(data, "-_", "+/")).cast("string")
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.translate(F.make_valid_utf8(raw), "\ufffd", ""))
+
+
+def b64url_bytes(data: Column) -> Column:
+    return F.unbase64(F.translate(data, "-_", "+/"))
+
+
+def _has_parts(part: Column, depth: int) -> Column:
+    return part["parts"].isNotNull() if depth > 0 else F.lit(False)
+
+
+def _is_attachment(part: Column) -> Column:
+    return (F.coalesce(part["filename"], F.lit("")) != "") & (F.coalesce(part["body"]["attachmentId"], F.lit("")) != "")
+
+
+def _has_data(part: Column) -> Column:
+    return F.coalesce(part["body"]["data"], F.lit("")) != ""
+
+
+def part_texts(part: Column, depth: int) -> Column:
+    """ARRAY<STRING>: texts found under one part, depth first (empties kept; the
+    caller drops them — equal to dropping them at every level)."""
+    mime = F.coalesce(part["mimeType"], F.lit(""))
+    empty = F.array().cast("array<string>")
+    nested = (F.flatten(F.transform(part["parts"], lambda p: part_texts(p, depth - 1)))
+              if depth > 0 else empty)
+    return (F.when(_is_attachment(part), empty)
+            .when((mime == "text/plain") & _has_data(part), F.array(b64url_text(part["body"]["data"])))
+            .when((mime == "text/html") & _has_data(part), F.array(tx.html_to_text(b64url_text(part["body"]["data"]))))
+            .when(mime.startswith("multipart/") & _has_parts(part, depth), nested)
+            .otherwise(empty))
+
+
+_ATT = "array<struct<filename:string,attachment_id:string,data:binary>>"
+
+
+def part_attachments(part: Column, depth: int) -> Column:
+    mime = F.coalesce(part["mimeType"], F.lit(""))
+    empty = F.array().cast(_ATT)
+    nested = (F.flatten(F.transform(part["parts"], lambda p: part_attachments(p, depth - 1)))
+              if depth > 0 else empty)
+    one = F.array(F.struct(part["filename"].alias("filename"), part["body"]["attachmentId"].alias("attachment_id"),
+                           b64url_bytes(part["body"]["data"]).alias("data"))).cast(_ATT)
+    return (F.when(_is_attachment(part), one)
+            .when((mime == "text/plain") & _has_data(part), empty)
+            .when((mime == "text/html") & _has_data(part), empty)
+            .when(mime.startswith("multipart/") & _has_parts(part, depth), nested)
+            .otherwise(empty))
+
+
+def message_text(payload: Column) -> Column:
+    mime = F.coalesce(payload["mimeType"], F.lit(""))
+    walked = F.array_join(
+        F.filter(F.flatten(F.transform(payload["parts"], lambda p: part_texts(p, MAX_DEPTH - 1))),
+                 lambda t: t.isNotNull() & (t != "")), "\n")
+    body = payload["body"]["data"]
+    single = F.when(F.coalesce(body, F.lit("")) == "", F.lit("")).when(
+        mime == "text/html", tx.html_to_text(b64url_text(body))).otherwise(b64url_text(body))
+    multipart = mime.startswith("multipart/") & (F.coalesce(F.size(payload["parts"]), F.lit(0)) > 0)
+    return tx.clean_text(F.when(multipart, walked).otherwise(single))
+
+
+def message_attachments(payload: Column) -> Column:
+    mime = F.coalesce(payload["mimeType"], F.lit(""))
+    multipart = mime.startswith("multipart/") & (F.coalesce(F.size(payload["parts"]), F.lit(0)) > 0)
+    walked = F.flatten(F.transform(payload["parts"], lambda p: part_attachments(p, MAX_DEPTH - 1)))
+    return F.when(multipart, walked).otherwise(F.array().cast(_ATT))
+
+
+def header(headers: Column, name: str) -> Column:
+    """Case-insensitive header lookup; the last duplicate wins; NULL when absent."""
+    hits = F.filter(headers, lambda h: F.lower(h["name"]) == F.lit(name.lower()))
+    return F.try_element_at(hits, F.lit(-1))["value"]
+
+
+def normalise(messages: DataFrame, message_col: str = "message") -> DataFrame:
+    """Parsed messages → (id, thread_id, sender, recipient, subject, date, labels,
+    snippet, text, attachments)."""
+    m = F.col(message_col)
+    headers = F.coalesce(m["payload"]["headers"], F.array().cast(T.ArrayType(_HEADER)))
+    return messages.select(
+        m["id"].alias("id"),
+        m["threadId"].alias("thread_id"),
+        header(headers, "from").alias("sender"),
+        header(headers, "to").alias("recipient"),
+        tx.first_non_empty(header(headers, "subject"), NO_SUBJECT).alias("subject"),
+        header(headers, "date").alias("date"),
+        F.coalesce(m["labelIds"], F.array().cast("array<string>")).alias("labels"),
+        F.coalesce(m["snippet"], F.lit("")).alias("snippet"),
+        message_text(m["payload"]).alias("text"),
+        message_attachments(m["payload"]).alias("attachments"),
+    )
+
+
+def parse_messages(raw: DataFrame, json_col: str = "value") -> DataFrame:
+    """JSON text (one message per row, e.g. ``spark.read.text``) → parsed struct."""
+    return raw.select(F.from_json(F.col(json_col), MESSAGE_SCHEMA).alias("message"))
+
+
+def read_messages(spark, path: str) -> DataFrame:
+    """JSON-lines files of messages → normalised mail rows."""
+    return normalise(parse_messages(spark.read.text(path)))
+
+
+def mail_documents(mail: DataFrame, prefix: str = DOCUMENT_PREFIX) -> DataFrame:
+    """Normalised mail → (filename, content, metadata) documents for ingest.
+
+    Recipient, labels and thread are kept in ``metadata`` (nothing is lost)."""
+    subject = tx.first_non_empty(F.col("subject"), NO_SUBJECT)
+    content = F.concat(F.lit("Subject: "), subject, F.lit("\nFrom: "), F.coalesce("sender", F.lit("")),
+                       F.lit("\nDate: "), F.coalesce("date", F.lit("")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    meta = F.create_map(
+        F.lit("recipient"), F.coalesce("recipient", F.lit("")),
+        F.lit("labels"), F.array_join("labels", ","),
+        F.lit("thread_id"), F.coalesce("thread_id", F.lit("")),
+    )
+    return mail.select(F.concat(F.lit(prefix), F.col("id")).alias("filename"), content.alias("content"),
+                       meta.alias("metadata"))
+
+
+# --------------------------------------------------------------------------- test-data binding
+def _b64(text: Column) -> Column:
+    return F.translate(F.regexp_replace(F.base64(F.encode(text, "UTF-8")), "[\\r\\n=]", ""), "+/", "-_")
+
+
+def _escape_html(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def _js(value: Column) -> Column:
+    """A string Column as a JSON string literal (quoted, escaped); null → JSON null."""
+    arr = F.to_json(F.array(value.cast("string")))
+    return F.when(value.isNull(), F.lit("null")).otherwise(arr.substr(F.lit(2), F.length(arr) - 2))
+
+
+def _obj(**fields: Column) -> Column:
+    """JSON object text from already-encoded JSON values."""
+    items = []
+    for i, (k, v) in enumerate(fields.items()):
+        items += [F.lit(("{" if i == 0 else ",") + f'"{k}":'), v]
+    return F.concat(*items, F.lit("}"))
+
+
+def _arr(*values: Column) -> Column:
+    return F.concat(F.lit("["), F.concat_ws(",", *values), F.lit("]"))
+
+
+def _part(mime: str, data: Column | None = None, parts: list[Column] | None = None,
+          filename: Column | None = None, att: Column | None = None, headers: Column | None = None) -> Column:
+    f = {"mimeType": _js(F.lit(mime)), "filename": _js(filename if filename is not None else F.lit(""))}
+    if headers is not None:
+        f["headers"] = headers
+    body = {"data": _js(data) if data is not None else F.lit("null")}
+    if att is not None:
+        body["attachmentId"] = _js(att)
+    f["body"] = _obj(**body)
+    if parts is not None:
+        f["parts"] = _arr(*parts)
+    return _obj(**f)
+
+
+def documents_as_messages(docs: DataFrame) -> DataFrame:
+    """Each document as one message JSON string (column ``value``).
+
+    en (and others): single text/plain body; fr: multipart/alternative with the
+    plain text and an HTML copy; de: single HTML body, duplicate From headers and
+    no Subject; es: multipart/mixed holding an alternative part, an attachment and
+    a trailing signature part.
+    """
+    def h(name: str, value: Column) -> Column:
+        return _obj(name=_js(F.lit(name)), value=_js(value))
+
+    text, src, lang, did = F.col("text"), F.col("source"), F.col("lang"), F.col("doc_id").cast("string")
+    subject = tx.compact(F.left(text, F.lit(40)))
+    std = _arr(h("From", src), h("To", F.lit("inbox@example.com")), h("Subject", subject), h("Date", lang))
+    de_h = _arr(h("From", F.lit("unknown")), h("FROM", src), h("Date", lang))
+    plain = _part("text/plain", _b64(text), headers=std)
+    fr = _part("multipart/alternative", headers=std, parts=[
+        _part("text/plain", _b64(text)),
+        _part("text/html", _b64(F.concat(F.lit("<p>"), _escape_html(text), F.lit("</p>")))),
+    ])
+    de = _part("text/html", _b64(F.concat(F.lit("<div>"), _escape_html(text), F.lit("</div>"))), headers=de_h)
+    es = _part("multipart/mixed", headers=std, parts=[
+        _part("multipart/alternative", parts=[_part("text/plain", _b64(text))]),
+        _part("application/pdf", filename=F.concat(F.lit("doc"), did, F.lit(".pdf")), att=F.concat(F.lit("att"), did)),
+        _part("text/plain", _b64(F.concat(F.lit("-- "), src))),
+    ])
+    payload = F.when(lang == "fr", fr).when(lang == "de", de).when(lang == "es", es).otherwise(plain)
+    value = _obj(id=_js(did), threadId=_js(F.concat(F.lit("t"), src)),
+                 labelIds=_arr(_js(F.lit("INBOX")), _js(F.upper(lang))),
+                 snippet=_js(tx.compact(F.left(text, F.lit(60)))), payload=payload)
+    return docs.select(value.alias("value"))
+
+
+def _mail_rows(spark, sf) -> DataFrame:
+    return normalise(parse_messages(documents_as_messages(table(spark, sf, "documents"))))
+
+
+@register("mail_normalise")
+def mail_normalise_q(spark, sf):
+    m = _mail_rows(spark, sf)
+    return m.select("id", "thread_id", "sender", "recipient", "subject", "date",
+                    F.size("labels").cast("bigint").alias("n_labels"), "snippet", "text",
+                    F.size("attachments").cast("bigint").alias("n_attachments"))
+
+
+@register("mail_parts")
+def mail_parts_q(spark, sf):
+    m = _mail_rows(spark, sf)
+    return m.select("id", F.explode_outer("attachments").alias("a")).where(F.col("a").isNotNull()).select(
+        "id", F.col("a.filename").alias("filename"), F.col("a.attachment_id").alias("attachment_id"))
+
+
+@register("mail_ingest_documents")
+def mail_ingest_documents_q(spark, sf):
+    return mail_documents(_mail_rows(spark, sf)).select("filename", "content")
+
+
+# --------------------------------------------------------------------------- oracles
+def _clean_sql(x: str) -> str:
+    return ("regexp_replace(regexp_replace(regexp_replace(replace(" + x + ", chr(13), ''), '\\n{3,}', "
+            "chr(10) || chr(10), 'g'), '[^\\S\\n]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')")
+
+
+_STRIP = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+_MAIL_TEXT = f"""CASE lang WHEN 'fr' THEN {_clean_sql("text || chr(10) || " + _STRIP)}
+                 WHEN 'de' THEN {_clean_sql(_STRIP)}
+                 WHEN 'es' THEN {_clean_sql("text || chr(10) || '-- ' || source")}
+                 ELSE {_clean_sql('text')} END"""
+_SUBJECT = f"CASE WHEN lang = 'de' THEN '(no subject)' ELSE coalesce(nullif({sql_compact('left(text, 40)')}, ''), '(no subject)') END"
+
+ORACLE["mail_normalise"] = f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, 't' || source AS thread_id, source AS sender,
+       CASE WHEN lang = 'de' THEN NULL ELSE 'inbox@example.com' END AS recipient,
+       {_SUBJECT} AS subject, lang AS date, 2::BIGINT AS n_labels, {sql_compact('left(text, 60)')} AS snippet,
+       {_MAIL_TEXT} AS text, CASE WHEN lang = 'es' THEN 1 ELSE 0 END::BIGINT AS n_attachments
+FROM documents"""
+
+ORACLE["mail_parts"] = """
+SELECT CAST(doc_id AS VARCHAR) AS id, 'doc' || CAST(doc_id AS VARCHAR) || '.pdf' AS filename,
+       'att' || CAST(doc_id AS VARCHAR) AS attachment_id
+FROM documents WHERE lang = 'es'"""
+
+ORACLE["mail_ingest_documents"] = f"""
+SELECT 'mail:' || CAST(doc_id AS VARCHAR) AS filename,
+       'Subject: ' || {_SUBJECT} || chr(10) || 'From: ' || source || chr(10) || 'Date: ' || lang || chr(10) || chr(10)
+       || {_MAIL_TEXT} AS content
+FROM documents"""
