@@ -84,7 +84,9 @@ def stream_dedup_q(spark, sf, delay: str = "3650 days"):
     _drop_files(d, incoming)
     out = os.path.join(root, "unique")
     stream = (spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-              .withColumn("arrived_at", F.timestamp_seconds("doc_id"))
+              # Arrival (ingest) time: rows are never behind the watermark, so every copy
+              # arriving within ``delay`` of the first is suppressed and state stays bounded.
+              .withColumn("arrived_at", F.current_timestamp())
               .withColumn("text_md5", F.md5("text"))
               .withWatermark("arrived_at", delay)
               .dropDuplicatesWithinWatermark(["text_md5"]))

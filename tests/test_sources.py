@@ -1,0 +1,45 @@
+import json
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from corpusflow.sources.eval_corpus import read_eval_corpus, write_report
+from corpusflow.sources.files import assemble_pages, scan_text_files
+
+
+def test_text_file_scan_quarantines_bad_files(spark):
+    root = tempfile.mkdtemp(prefix="cf-files-")
+    with open(os.path.join(root, "a.txt"), "w", encoding="utf-8") as f:
+        f.write("hello world")
+    with open(os.path.join(root, "b.md"), "w", encoding="utf-8") as f:
+        f.write("# title")
+    with open(os.path.join(root, "c.txt"), "wb") as f:
+        f.write(b"bad \xff bytes")
+    with open(os.path.join(root, "d.pdf"), "wb") as f:
+        f.write(b"%PDF")
+    docs, quarantine = scan_text_files(spark, root)
+    assert sorted((r["filename"], r["content"]) for r in docs.collect()) == [("a.txt", "hello world"), ("b.md", "# title")]
+    reasons = sorted((os.path.basename(r["key"]), r["reason"]) for r in quarantine.collect())
+    assert reasons == [("c.txt", "invalid_utf8"), ("d.pdf", "unsupported_suffix")]
+
+
+def test_assemble_pages(spark):
+    pages = spark.createDataFrame([("x", 2, "second"), ("x", 1, "first")], "doc string, page_no int, text string")
+    assert assemble_pages(pages).first()["content"] == "first\nsecond\n"
+
+
+def test_eval_corpus_and_report(spark):
+    root = tempfile.mkdtemp(prefix="cf-eval-")
+    path = os.path.join(root, "corpus.json")
+    with open(path, "w") as f:
+        json.dump({"documents": [{"id": "a", "filename": "a.txt", "content": "x"}],
+                   "queries": [{"text": "q", "expected": "a", "history": [["u", "v"]]}, {"text": "r", "expected": "a"}]},
+                  f, indent=2)
+    docs, queries = read_eval_corpus(spark, path)
+    assert docs.count() == 1
+    qs = {r["query_id"]: r for r in queries.collect()}
+    assert qs[0]["history"] == [["u", "v"]] and qs[1]["history"] == []
+    out = os.path.join(root, "report")
+    write_report(docs.select(F.struct("id", "filename").alias("d")), out)
+    assert len([p for p in os.listdir(out) if p.endswith(".json")]) == 1
