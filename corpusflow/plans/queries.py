@@ -22,7 +22,7 @@ from corpusflow.operators.chunking import chunk_documents, combined_text
 from corpusflow.operators.embedding import (md5_hash_vector, sparse_entries, split_by_contract,
                                             vector_violation)
 from corpusflow.operators.evaluation import ratio_reduction, recall_at_k
-from corpusflow.operators.fusion import fuse
+from corpusflow.operators.search import compare_strategies, search
 from corpusflow.operators.lexical import bm25_topk
 from corpusflow.operators.matching import contained_items
 from corpusflow.operators.quantiles import summary_stats
@@ -271,99 +271,50 @@ def label_precision_q(spark, sf):
 
 
 def _item_queries(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", "text")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _chunk_vector_topk(spark, sf, field: str, k: int, queries=None, qkey="item_id", qtext="text",
-                       payload=()) -> DataFrame:
-    """Hash-vector top-k over chunks; ``field``: content | combined."""
-    c = _chunks(spark, sf)
-    text = F.col("content") if field == "content" else combined_text(F.col("filename"), F.col("content"))
-    corpus = c.select("chunk_id", *payload, token_buckets(text, HASH_DIM).alias("vec"))
-    q = (queries if queries is not None else _item_queries(spark, sf)).select(
-        qkey, token_buckets(qtext, HASH_DIM).alias("qvec"))
-    return knn_topk(corpus, q, corpus_key="chunk_id", corpus_vec="vec", query_key=qkey, query_vec="qvec",
-                    k=k, kind="buckets", dim=HASH_DIM, score_offset=SEARCH.score_offset, payload=payload)
-
-
-def _filename_vector_topk(spark, sf, k: int, payload=()) -> DataFrame:
-    """Filename vectors are equal for every chunk of a file: score the files (one row
-    per document), keep the k best per query, then expand them to their chunks."""
-    d = documents(spark, sf)
-    files = d.select("filename", token_buckets("filename", HASH_DIM).alias("vec"))
-    q = _item_queries(spark, sf).select("item_id", token_buckets("text", HASH_DIM).alias("qvec"))
-    top_files = knn_topk(files, q, corpus_key="filename", corpus_vec="vec", query_key="item_id", query_vec="qvec",
-                         k=k, kind="buckets", dim=HASH_DIM, score_offset=SEARCH.score_offset)
-    hit_docs = d.join(top_files.select("filename").distinct(), "filename", "left_semi")
-    chunks = chunk_documents(hit_docs, ChunkConfig(), keep=["doc_id"])
-    j = top_files.select("query_id", "filename", "score").join(chunks, "filename")
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("chunk_id").asc())
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "query_id", "chunk_id", *payload, "score", "rank")
-
-
-def _bm25_chunks(spark, sf, k: int, payload=()) -> DataFrame:
-    c = _chunks(spark, sf)
-    return bm25_topk(c, _item_queries(spark, sf), corpus_key="chunk_id", field="filename", query_key="item_id",
-                     query_text="text", k=k, payload=payload)
+def _search(spark, sf, strategy: str, k: int) -> DataFrame:
+    return search(_chunks(spark, sf), _item_queries(spark, sf), strategy=strategy, k=k)
 
 
 @register("content_vector_topk")
 def content_vector_topk_q(spark, sf):
-    return _ranked(_chunk_vector_topk(spark, sf, "content", K), "chunk_id")
+    return _ranked(_search(spark, sf, "content_only", K), "chunk_id")
 
 
 @register("combined_vector_topk")
 def combined_vector_topk_q(spark, sf):
-    return _ranked(_chunk_vector_topk(spark, sf, "combined", K), "chunk_id")
+    return _ranked(_search(spark, sf, "combined", K), "chunk_id")
 
 
 @register("filename_vector_topk")
 def filename_vector_topk_q(spark, sf):
-    return _ranked(_filename_vector_topk(spark, sf, K), "chunk_id")
+    return _ranked(_search(spark, sf, "filename_only", K), "chunk_id")
 
 
 @register("bm25_filename")
 def bm25_filename_q(spark, sf):
-    return _ranked(_bm25_chunks(spark, sf, K), "chunk_id")
+    return _ranked(_search(spark, sf, "filename_text", K), "chunk_id")
 
 
 @register("bm25_url")
 def bm25_url_q(spark, sf):
     p = table(spark, sf, "pages")
-    res = bm25_topk(p, _item_queries(spark, sf), corpus_key="page_id", field="url", query_key="item_id",
+    res = bm25_topk(p, _item_queries(spark, sf), corpus_key="page_id", field="url", query_key="query_id",
                     query_text="text", k=K)
     return _ranked(res, "page_id")
 
 
-def _hybrid(spark, sf, k: int) -> DataFrame:
-    content = _chunk_vector_topk(spark, sf, "content", 2 * k, payload=("filename", "chunk_index", "content"))
-    lexical = _bm25_chunks(spark, sf, 2 * k, payload=("filename", "chunk_index", "content"))
-    return fuse([(content, SEARCH.content_weight), (lexical, SEARCH.filename_weight)], k=k)
-
-
 @register("hybrid_search")
 def hybrid_search_q(spark, sf):
-    return _ranked(_hybrid(spark, sf, K), "chunk_id")
+    return _ranked(_search(spark, sf, "hybrid", K), "chunk_id")
 
 
 @register("strategy_compare")
 def strategy_compare_q(spark, sf):
-    k = 5
-    parts = {
-        "content_only": _chunk_vector_topk(spark, sf, "content", k),
-        "filename_only": _filename_vector_topk(spark, sf, k),
-        "filename_text": _bm25_chunks(spark, sf, k),
-        "combined": _chunk_vector_topk(spark, sf, "combined", k),
-        "hybrid": _hybrid(spark, sf, k),
-    }
-    out = None
-    for name, df in parts.items():
-        one = _ranked(df, "chunk_id").select(F.lit(name).alias("strategy"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    res = compare_strategies(_chunks(spark, sf), _item_queries(spark, sf), k=5)
+    return res.select("strategy", "query_id", "rank", "chunk_id", "score")
 
 
 @register("document_chunks")
@@ -449,9 +400,9 @@ def _conv_queries(spark, sf, cfg: CompressionConfig) -> DataFrame:
 
 def _answer_hits(spark, sf) -> DataFrame:
     """Chat retrieval: every user turn (raw message) against the combined chunk vectors."""
-    q = _conv_queries(spark, sf, CompressionConfig(enabled=False))
-    return _chunk_vector_topk(spark, sf, "combined", K, queries=q, qkey="qid", qtext="query",
-                              payload=("filename", "content"))
+    q = _conv_queries(spark, sf, CompressionConfig(enabled=False)).select(
+        F.col("qid").alias("query_id"), F.col("query").alias("text"))
+    return search(_chunks(spark, sf), q, strategy="combined", k=K)
 
 
 @register("turn_pairs")

@@ -130,3 +130,22 @@ def test_contained_items(spark):
     items = spark.createDataFrame([(10, "quick brown"), (11, "dog"), (12, ""), (13, "cat")], "item_id long, text string")
     got = sorted(tuple(r) for r in contained_items(docs, items).collect())
     assert got == [(10, 1), (11, 2)]
+
+
+def test_search_dispatch_and_filters(spark):
+    from corpusflow.config import ChunkConfig
+    from corpusflow.operators.chunking import chunk_documents
+    from corpusflow.operators.search import search
+
+    docs = spark.createDataFrame([(1, "garden.md", "tomatoes water compost"), (2, "travel.txt", "train to montreal"),
+                                  (3, "garden-plan.txt", "plant tomatoes in spring")],
+                                 "doc_id long, filename string, content string")
+    chunks = chunk_documents(docs, ChunkConfig(50, 5), keep=["doc_id"])
+    q = spark.createDataFrame([(1, "garden tomatoes")], "query_id long, text string")
+    for strategy in ("content_only", "filename_only", "filename_text", "combined", "hybrid"):
+        rows = search(chunks, q, strategy=strategy, k=2).collect()
+        assert 1 <= len(rows) <= 2 and all(r["query_id"] == 1 for r in rows)
+    only = search(chunks, q, strategy="content_only", k=3, filters={"filename": "travel.txt"}).collect()
+    assert [r["filename"] for r in only] == ["travel.txt"]
+    with pytest.raises(ValueError):
+        search(chunks, q, strategy="nope")
