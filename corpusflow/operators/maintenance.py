@@ -41,14 +41,15 @@ def index_rows(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), dim: int = HAS
     exploded (not once per chunk, and without a join back to a filename table).
     """
     keep = list(keep or [])
-    per_doc = docs.select(*keep, "filename", "content", md5_hash_vector(F.col("filename"), dim).alias("filename_embedding"))
+    per_doc = docs.select(*keep, "filename", "content",
+                          md5_hash_vector(F.col("filename"), dim, single=True).alias("filename_embedding"))
     chunks = chunk_documents(per_doc, cfg, keep=[*keep, "filename_embedding"])
     combined = combined_text(F.col("filename"), F.col("content"), include_filename)
     out = chunks.select(
         *keep, "filename", "chunk_index", "chunk_id", "content",
-        md5_hash_vector(F.col("content"), dim).alias("content_embedding"),
+        md5_hash_vector(F.col("content"), dim, single=True).alias("content_embedding"),
         "filename_embedding",
-        (md5_hash_vector(combined, dim) if include_filename else md5_hash_vector(F.col("content"), dim)).alias(
+        md5_hash_vector(combined if include_filename else F.col("content"), dim, single=True).alias(
             "combined_embedding"),
         F.create_map().cast("map<string,string>").alias("metadata"),
         F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(dim).alias("dimension"),

@@ -328,9 +328,12 @@ def document_chunks_q(spark, sf):
 
 # =========================================================================== E8 / F2: evaluation
 def _benchmark_truth(spark, sf):
+    """(item_id, doc_id) containment pairs, materialised once: the queries below use
+    them three or four times (item selection, hit test per variant)."""
     docs = table(spark, sf, "documents")
     items = table(spark, sf, "benchmark")
-    return contained_items(docs, items, doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text")
+    truth = contained_items(docs, items, doc_key="doc_id", doc_text="text", item_key="item_id", item_text="text")
+    return truth.checkpoint(eager=True)
 
 
 def _doc_hash_topk(spark, sf, queries: DataFrame, k: int = K, qkey: str = "item_id", qtext: str = "text",

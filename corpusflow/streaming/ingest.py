@@ -35,7 +35,16 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
 def replace_by_filename(batch: DataFrame, index_path: str, filename: str = "filename") -> None:
     """Upsert one micro-batch: rows of the batch's files replace their previous rows."""
     spark = batch.sparkSession
-    batch = batch.withColumn("bucket", bucket_of(filename))
+    # The micro-batch (bounded by maxFilesPerTrigger) is read three times below;
+    # keep it rather than re-running the chunk transform for each use.
+    batch = batch.withColumn("bucket", bucket_of(filename)).persist()
+    try:
+        _merge_batch(spark, batch, index_path, filename)
+    finally:
+        batch.unpersist()
+
+
+def _merge_batch(spark: SparkSession, batch: DataFrame, index_path: str, filename: str) -> None:
     if not _path_exists(spark, index_path):
         batch.write.partitionBy("bucket").mode("append").parquet(index_path)
         return
