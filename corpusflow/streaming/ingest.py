@@ -14,6 +14,7 @@ All scratch output goes under the session's ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +33,31 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _write_buckets(df: DataFrame, path: str, mode: str) -> None:
+    """One task per bucket writes that bucket's file (no tasks × buckets file explosion).
+
+    Size the bucket count so a bucket is about one target file (e.g. 1 GB): then a
+    micro-batch rewrites only the few files it touches, at any table size.
+    """
+    df.repartition("bucket").write.partitionBy("bucket").mode(mode).parquet(path)
+
+
 def replace_by_filename(batch: DataFrame, index_path: str, filename: str = "filename") -> None:
-    """Upsert one micro-batch: rows of the batch's files replace their previous rows."""
+    """Upsert one micro-batch: rows of the batch's files replace their previous rows.
+
+    Only the buckets the batch touches are rewritten (dynamic partition overwrite).
+    The merged buckets are first written as Parquet to a staging folder next to the
+    index (never a machine-local folder), which breaks the read→overwrite cycle; a
+    replayed batch produces the same buckets again, so the upsert is idempotent.
+    """
     spark = batch.sparkSession
-    # The micro-batch (bounded by maxFilesPerTrigger) is read three times below;
+    # The micro-batch (bounded by maxFilesPerTrigger) is read several times below;
     # keep it rather than re-running the chunk transform for each use.
     batch = batch.withColumn("bucket", bucket_of(filename)).persist()
     try:
@@ -46,17 +68,18 @@ def replace_by_filename(batch: DataFrame, index_path: str, filename: str = "file
 
 def _merge_batch(spark: SparkSession, batch: DataFrame, index_path: str, filename: str) -> None:
     if not _path_exists(spark, index_path):
-        batch.write.partitionBy("bucket").mode("append").parquet(index_path)
+        _write_buckets(batch, index_path, "append")
         return
     existing = spark.read.parquet(index_path)
     touched = batch.select("bucket").distinct()
     survivors = (existing.join(touched, "bucket", "left_semi")
                  .join(batch.select(filename).distinct(), filename, "left_anti"))
     merged = survivors.unionByName(batch.select(*existing.columns))
-    # Cut the read→overwrite cycle with a reliable checkpoint (shared checkpoint dir).
-    merged = merged.checkpoint(eager=True)
+    staging = f"{index_path.rstrip('/')}.staging/{uuid.uuid4().hex}"
+    _write_buckets(merged, staging, "overwrite")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    merged.write.partitionBy("bucket").mode("overwrite").parquet(index_path)
+    _write_buckets(spark.read.parquet(staging), index_path, "overwrite")
+    _delete_path(spark, staging)
 
 
 def run_stream_ingest(spark: SparkSession, incoming: str, schema, index_path: str, checkpoint: str,

@@ -51,5 +51,5 @@ def test_index_rows_vectors(spark):
     docs = _docs(spark, [(1, "a.txt", "alpha beta alpha")])
     row = mt.index_rows(docs, keep=["doc_id"]).first()
     assert len(row["content_embedding"]) == 256 and row["dimension"] == 256
-    assert abs(sum(x * x for x in row["content_embedding"]) - 1.0) < 1e-9
+    assert abs(sum(x * x for x in row["content_embedding"]) - 1.0) < 1e-6  # float32 at rest
     assert sum(1 for x in row["filename_embedding"] if x) == 1
