@@ -275,7 +275,8 @@ def _item_queries(spark, sf):
 
 
 def _search(spark, sf, strategy: str, k: int) -> DataFrame:
-    return search(_chunks(spark, sf), _item_queries(spark, sf), strategy=strategy, k=k)
+    # Only ids and scores are reported: no payload travels with the candidates.
+    return search(_chunks(spark, sf), _item_queries(spark, sf), strategy=strategy, k=k, payload=())
 
 
 @register("content_vector_topk")
@@ -313,7 +314,7 @@ def hybrid_search_q(spark, sf):
 
 @register("strategy_compare")
 def strategy_compare_q(spark, sf):
-    res = compare_strategies(_chunks(spark, sf), _item_queries(spark, sf), k=5)
+    res = compare_strategies(_chunks(spark, sf), _item_queries(spark, sf), k=5, payload=())
     return res.select("strategy", "query_id", "rank", "chunk_id", "score")
 
 
@@ -405,7 +406,7 @@ def _answer_hits(spark, sf) -> DataFrame:
     """Chat retrieval: every user turn (raw message) against the combined chunk vectors."""
     q = _conv_queries(spark, sf, CompressionConfig(enabled=False)).select(
         F.col("qid").alias("query_id"), F.col("query").alias("text"))
-    return search(_chunks(spark, sf), q, strategy="combined", k=K)
+    return search(_chunks(spark, sf), q, strategy="combined", k=K, payload=("filename", "content"))
 
 
 @register("turn_pairs")
