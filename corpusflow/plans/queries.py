@@ -446,26 +446,28 @@ def build_prompts_q(spark, sf):
 
 def _eval_variant(spark, sf, queries: DataFrame, qkey: str, message: str, query: str,
                   cfg: CompressionConfig, truth: DataFrame | None, variant: str) -> DataFrame:
+    """One evaluation variant. The hits are read once: hit flags, plain and packed
+    contexts all come out of one aggregate per query."""
     hits = _doc_hash_topk(spark, sf, queries, qkey=qkey, qtext=query, payload=("filename", "content"))
-    before = ctx.pack_context(hits, CompressionConfig(enabled=False)).select("query_id", F.col("context").alias("cb"))
-    after = ctx.pack_context(hits, cfg).select("query_id", F.col("context").alias("ca"))
-    per_q = (queries.select(F.col(qkey).alias("query_id"), F.length(message).alias("qb"), F.length(query).alias("qa"))
-             .join(before, "query_id", "left").join(after, "query_id", "left"))
     extra = []
     if truth is not None:
-        t = truth.select(F.col("item_id").alias("query_id"), "doc_id")
-        hit_q = hits.select("query_id", "doc_id").join(t, ["query_id", "doc_id"], "left_semi").select(
-            "query_id").distinct().withColumn("_hit", F.lit(1))
-        per_q = per_q.join(hit_q, "query_id", "left")
-        n, h = F.count(F.lit(1)), F.sum(F.coalesce("_hit", F.lit(0)))
-        extra = [F.when(n == 0, F.lit(0.0)).otherwise(F.round(h / n, 4)).alias("recall_at_k")]
+        flag = truth.select(F.col("item_id").alias("query_id"), "doc_id").withColumn("_hit", F.lit(1))
+        hits = hits.join(flag, ["query_id", "doc_id"], "left")
+        extra = [F.max(F.coalesce("_hit", F.lit(0))).alias("_hit")]
+    ctxs = ctx.contexts(hits.select("query_id", "rank", "filename", "content", *(["_hit"] if extra else [])),
+                        cfg, extra_aggs=extra)
+    per_q = (queries.select(F.col(qkey).alias("query_id"), F.length(message).alias("qb"), F.length(query).alias("qa"))
+             .join(ctxs, "query_id", "left"))
+    n = F.count(F.lit(1))
+    rec = ([F.when(n == 0, F.lit(0.0)).otherwise(F.round(F.sum(F.coalesce("_hit", F.lit(0))) / n, 4))
+            .alias("recall_at_k")] if extra else [])
     sums = per_q.agg(
-        F.count(F.lit(1)).alias("queries"),
-        *extra,
+        n.alias("queries"),
+        *rec,
         F.coalesce(F.sum("qb"), F.lit(0)).cast("bigint").alias("query_chars_before"),
         F.coalesce(F.sum("qa"), F.lit(0)).cast("bigint").alias("query_chars_after"),
-        F.coalesce(F.sum(F.length("cb")), F.lit(0)).cast("bigint").alias("context_chars_before"),
-        F.coalesce(F.sum(F.length("ca")), F.lit(0)).cast("bigint").alias("context_chars_after"),
+        F.coalesce(F.sum(F.length("context_plain")), F.lit(0)).cast("bigint").alias("context_chars_before"),
+        F.coalesce(F.sum(F.length("context_packed")), F.lit(0)).cast("bigint").alias("context_chars_after"),
     ).withColumn("context_reduction_ratio",
                  ratio_reduction(F.col("context_chars_before"), F.col("context_chars_after")))
     return sums.select(F.lit(variant).alias("variant"), "*")
