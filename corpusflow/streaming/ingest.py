@@ -23,7 +23,7 @@ from corpusflow.config import ChunkConfig
 from corpusflow.operators.chunking import chunk_documents
 from corpusflow.operators.maintenance import bucket_of, scratch_path
 from corpusflow.plans.queries import register
-from corpusflow.sources.tables import documents, table
+from corpusflow.sources.tables import balanced, documents, table
 
 
 def _path_exists(spark: SparkSession, path: str) -> bool:
@@ -39,13 +39,16 @@ def _delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _write_buckets(df: DataFrame, path: str, mode: str) -> None:
+def _write_buckets(df: DataFrame, path: str, mode: str, clustered: bool = False) -> None:
     """One task per bucket writes that bucket's file (no tasks × buckets file explosion).
 
     Size the bucket count so a bucket is about one target file (e.g. 1 GB): then a
     micro-batch rewrites only the few files it touches, at any table size.
+    ``clustered``: the input already holds one file per bucket (staging output),
+    so it is copied without another shuffle.
     """
-    df.repartition("bucket").write.partitionBy("bucket").mode(mode).parquet(path)
+    out = df if clustered else df.repartition("bucket")
+    out.write.partitionBy("bucket").mode(mode).parquet(path)
 
 
 def replace_by_filename(batch: DataFrame, index_path: str, filename: str = "filename") -> None:
@@ -70,23 +73,35 @@ def _merge_batch(spark: SparkSession, batch: DataFrame, index_path: str, filenam
     if not _path_exists(spark, index_path):
         _write_buckets(batch, index_path, "append")
         return
+    # At most INDEX_BUCKETS small ints: a bounded list that turns into static
+    # partition pruning of the existing index.
+    touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]
     existing = spark.read.parquet(index_path)
-    touched = batch.select("bucket").distinct()
-    survivors = (existing.join(touched, "bucket", "left_semi")
+    survivors = (existing.where(F.col("bucket").isin(touched))
                  .join(batch.select(filename).distinct(), filename, "left_anti"))
     merged = survivors.unionByName(batch.select(*existing.columns))
     staging = f"{index_path.rstrip('/')}.staging/{uuid.uuid4().hex}"
     _write_buckets(merged, staging, "overwrite")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    _write_buckets(spark.read.parquet(staging), index_path, "overwrite")
+    _write_buckets(spark.read.parquet(staging), index_path, "overwrite", clustered=True)
     _delete_path(spark, staging)
 
 
 def run_stream_ingest(spark: SparkSession, incoming: str, schema, index_path: str, checkpoint: str,
                       cfg: ChunkConfig = ChunkConfig(), files_per_trigger: int = 1) -> None:
+    """New document files → chunks → upsert into the index, one micro-batch at a time.
+
+    The chunk transform is the batch one, applied to each micro-batch inside
+    ``foreachBatch`` after spreading a batch that arrives in fewer splits than
+    there are task slots (a batch of one file would otherwise be one task).
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(incoming)
-    chunks = chunk_documents(stream, cfg, keep=["doc_id"])
-    q = (chunks.writeStream.foreachBatch(lambda df, _id: replace_by_filename(df, index_path))
+
+    def upsert(docs: DataFrame, _batch_id: int) -> None:
+        chunks = chunk_documents(balanced(docs), cfg, keep=["doc_id"])
+        replace_by_filename(chunks, index_path)
+
+    q = (stream.writeStream.foreachBatch(upsert)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
