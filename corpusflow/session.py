@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -32,9 +34,44 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpusflow`` importable in every Python worker (what ``--py-files`` does).
+
+    Arrow UDFs and ``mapInPandas`` functions refer to this package's modules, which
+    the executors' Python workers must import. The package is zipped once per
+    application into the shared checkpoint folder and added with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = ensure_checkpoint_dir(spark)
+    if "://" in root and not root.startswith("file:"):
+        # A remote checkpoint store: build the archive on the driver; addPyFile
+        # serves it to the executors itself (code, not job data).
+        out_dir = tempfile.mkdtemp(prefix="corpusflow-pyfiles-")
+    else:
+        out_dir = os.path.join(root.replace("file://", "").replace("file:", ""), "corpusflow-pyfiles", uuid.uuid4().hex)
+        os.makedirs(out_dir, exist_ok=True)
+    target = os.path.join(out_dir, "corpusflow.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder the cluster names in ``spark.checkpoint.dir`` (None if unset)."""
     value = spark.conf.get("spark.checkpoint.dir", None)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +107,24 @@ def run_stream_ingest(spark: SparkSession, incoming: str, schema, index_path: st
     q.awaitTermination()
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None = None):
+    """Number of state-store partitions for a *new* stateful query.
+
+    It is fixed in the checkpoint when the query first starts, so it is chosen
+    here: one per task slot by default (the session default of 200 tiny state
+    partitions costs 200 state commits per micro-batch). The session setting is
+    restored afterwards.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _drop_files(df: DataFrame, path: str, n_files: int = 4) -> None:
     """Write a table as several files so the stream sees several arrivals."""
     df.repartition(n_files).write.mode("overwrite").parquet(path)
@@ -137,9 +156,10 @@ def stream_dedup_q(spark, sf, delay: str = "3650 days"):
               .withColumn("text_md5", F.md5("text"))
               .withWatermark("arrived_at", delay)
               .dropDuplicatesWithinWatermark(["text_md5"]))
-    q = (stream.select("text_md5").writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_partitions(spark):
+        q = (stream.select("text_md5").writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(out).select("text_md5")
 
 
@@ -160,7 +180,8 @@ def stream_counts_q(spark, sf):
         batch.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "status", "events") \
             .write.mode("overwrite").parquet(out)
 
-    q = (counts.writeStream.outputMode("complete").foreachBatch(_write)
-         .option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    with state_partitions(spark):
+        q = (counts.writeStream.outputMode("complete").foreachBatch(_write)
+             .option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(out)
