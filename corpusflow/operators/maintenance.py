@@ -67,16 +67,37 @@ def index_rows(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), dim: int = HAS
     )
 
 
-def write_index(index: DataFrame, path: str, mode: str = "append") -> None:
-    """Append (or dynamically overwrite the touched buckets of) the Parquet index."""
+def cluster_by_bucket(df: DataFrame, files_per_bucket: int = 1) -> DataFrame:
+    """Rows of one bucket go to ``files_per_bucket`` tasks (one file each), so a
+    bucketed write produces buckets × files_per_bucket files instead of
+    tasks × buckets. Choose both so one file is about the target file size."""
+    if files_per_bucket <= 1:
+        return df.repartition("bucket")
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(files_per_bucket))
+    return df.repartition(F.col("bucket"), salt)
+
+
+def write_index(index: DataFrame, path: str, mode: str = "append", files_per_bucket: int = 1) -> dict:
+    """Append (or dynamically overwrite the touched buckets of) the Parquet index.
+
+    Returns metrics observed while writing (no second pass over the data): the
+    number of stored chunks and of chunks written without a content vector.
+    """
+    from pyspark.sql import Observation
+
     spark = index.sparkSession
-    stamped = index.withColumn("indexed_at", F.current_timestamp())
-    writer = stamped.write.partitionBy("bucket")
+    obs = Observation("index_write")
+    stamped = index.withColumn("indexed_at", F.current_timestamp()).observe(
+        obs, F.count(F.lit(1)).alias("stored"),
+        F.sum(F.when(F.col("content_embedding").isNull(), 1).otherwise(0)).alias("missing_vectors"))
+    writer = cluster_by_bucket(stamped, files_per_bucket).write.partitionBy("bucket")
     if mode == "replace_buckets":
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         writer.mode("overwrite").parquet(path)
     else:
         writer.mode(mode).parquet(path)
+    metrics = obs.get
+    return {"stored": int(metrics.get("stored") or 0), "missing_vectors": int(metrics.get("missing_vectors") or 0)}
 
 
 def dimension_guard(index: DataFrame, expected: int, fields=VECTOR_FIELDS) -> DataFrame:

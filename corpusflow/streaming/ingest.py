@@ -89,12 +89,13 @@ def _merge_batch(spark: SparkSession, batch: DataFrame, index_path: str, filenam
 
 
 def run_stream_ingest(spark: SparkSession, incoming: str, schema, index_path: str, checkpoint: str,
-                      cfg: ChunkConfig = ChunkConfig(), files_per_trigger: int = 1) -> None:
+                      cfg: ChunkConfig = ChunkConfig(), files_per_trigger: int = 1) -> dict:
     """New document files → chunks → upsert into the index, one micro-batch at a time.
 
     The chunk transform is the batch one, applied to each micro-batch inside
     ``foreachBatch`` after spreading a batch that arrives in fewer splits than
     there are task slots (a batch of one file would otherwise be one task).
+    Returns the run totals from the query progress (micro-batches, documents read).
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(incoming)
 
@@ -105,6 +106,8 @@ def run_stream_ingest(spark: SparkSession, incoming: str, schema, index_path: st
     q = (stream.writeStream.foreachBatch(upsert)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+    progress = [p for p in q.recentProgress if p]
+    return {"batches": len(progress), "input_rows": sum(int(p["numInputRows"]) for p in progress)}
 
 
 @contextmanager

@@ -53,3 +53,24 @@ def test_index_rows_vectors(spark):
     assert len(row["content_embedding"]) == 256 and row["dimension"] == 256
     assert abs(sum(x * x for x in row["content_embedding"]) - 1.0) < 1e-6  # float32 at rest
     assert sum(1 for x in row["filename_embedding"] if x) == 1
+
+
+def test_write_index_observes_counts(spark):
+    docs = _docs(spark, [(1, "a.txt", "one two three"), (2, "b.txt", "four")])
+    idx = mt.index_rows(docs, ChunkConfig(2, 1), keep=["doc_id"])
+    path = os.path.join(tempfile.mkdtemp(prefix="cf-write-"), "index")
+    metrics = mt.write_index(idx, path)
+    assert metrics == {"stored": 3, "missing_vectors": 0}
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_stream_ingest_progress(spark):
+    from corpusflow.streaming.ingest import run_stream_ingest
+
+    root = tempfile.mkdtemp(prefix="cf-stream-")
+    docs = _docs(spark, [(i, f"f{i}.txt", "w " * (i + 1)) for i in range(6)])
+    docs.repartition(3).write.parquet(os.path.join(root, "in"))
+    totals = run_stream_ingest(spark, os.path.join(root, "in"), docs.schema, os.path.join(root, "idx"),
+                               os.path.join(root, "ck"), ChunkConfig(4, 1))
+    assert totals["input_rows"] == 6 and totals["batches"] >= 1
+    assert spark.read.parquet(os.path.join(root, "idx")).select("filename").distinct().count() == 6
