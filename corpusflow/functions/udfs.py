@@ -38,6 +38,43 @@ def dense_from_buckets(bucket_lists, dim: int, normalise: bool = True) -> np.nda
     return mat
 
 
+def md5_text_buckets(texts, dim: int) -> list[np.ndarray]:
+    """Per text: md5 bucket of every lower-cased whitespace token (Python's own
+    ``lower().split()``). Each distinct token is hashed once per call (natural text
+    repeats most tokens, so this is several times cheaper than hashing each one)."""
+    memo: dict[str, int] = {}
+    out = []
+    for text in texts:
+        if text is None:
+            out.append(None)
+            continue
+        ids = []
+        for tok in text.lower().split():
+            b = memo.get(tok)
+            if b is None:
+                b = int.from_bytes(hashlib.md5(tok.encode("utf-8")).digest()[:4], "big") % dim
+                memo[tok] = b
+            ids.append(b)
+        out.append(np.asarray(ids, dtype=np.int64))
+    return out
+
+
+def md5_text_vectors(dim: int, single: bool = False):
+    """pandas_udf: text → L2-normalised md5-bucket count vector (ARRAY<DOUBLE|FLOAT>)."""
+    elem = T.FloatType() if single else T.DoubleType()
+
+    @F.pandas_udf(T.ArrayType(elem))
+    def _vec(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            buckets = md5_text_buckets(list(texts), dim)
+            mat = dense_from_buckets(buckets, dim)
+            if single:
+                mat = mat.astype(np.float32)
+            yield pd.Series([None if b is None else row for b, row in zip(buckets, mat)])
+
+    return _vec
+
+
 def blake2b_buckets(text: str, dim: int) -> list[int]:
     """Reference hash embedder's token → bucket rule (8-byte BLAKE2b, big-endian, mod dim)."""
     out = []

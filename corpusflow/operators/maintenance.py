@@ -15,10 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.config import HASH_DIM, ChunkConfig
-from corpusflow.functions.hashing import token_buckets
-from corpusflow.functions.udfs import bucket_vectors
-from corpusflow.operators.chunking import (COMBINED_CONTENT_PREFIX, COMBINED_FILENAME_PREFIX, chunk_documents,
-                                           n_chunks)
+from corpusflow.operators.chunking import chunk_documents, combined_text, n_chunks
 from corpusflow.operators.embedding import md5_hash_vector
 from corpusflow.functions.text import words
 from corpusflow.session import ensure_checkpoint_dir
@@ -42,25 +39,19 @@ def index_rows(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), dim: int = HAS
 
     The filename vector is computed once per *document* before the chunks are
     exploded (not once per chunk, and without a join back to a filename table).
-    The combined text is "Filename: f\nContent: c", whose tokens are the header's
-    tokens followed by the content's, so its buckets reuse the content buckets
-    instead of hashing every content token a second time.
+    Vectors are computed in Arrow batches where every distinct token is hashed
+    once, so the combined text's content tokens cost a dictionary lookup.
     """
     keep = list(keep or [])
     per_doc = docs.select(*keep, "filename", "content",
                           md5_hash_vector(F.col("filename"), dim, single=True).alias("filename_embedding"))
     chunks = chunk_documents(per_doc, cfg, keep=[*keep, "filename_embedding"])
-    header = F.concat(F.lit(COMBINED_FILENAME_PREFIX), F.col("filename"), F.lit(COMBINED_CONTENT_PREFIX.rstrip()))
-    with_buckets = chunks.select(
-        *keep, "filename", "chunk_index", "chunk_id", "content", "filename_embedding",
-        token_buckets(F.col("content"), dim).alias("_cb"), token_buckets(header, dim).alias("_hb"))
-    combined = F.concat("_hb", "_cb") if include_filename else F.col("_cb")
-    dense = bucket_vectors(dim, single=True)
-    return with_buckets.select(
+    combined = combined_text(F.col("filename"), F.col("content"), include_filename)
+    return chunks.select(
         *keep, "filename", "chunk_index", "chunk_id", "content",
-        dense(F.col("_cb")).alias("content_embedding"),
+        md5_hash_vector(F.col("content"), dim, single=True).alias("content_embedding"),
         "filename_embedding",
-        dense(combined).alias("combined_embedding"),
+        md5_hash_vector(combined, dim, single=True).alias("combined_embedding"),
         F.create_map().cast("map<string,string>").alias("metadata"),
         F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(dim).alias("dimension"),
         bucket_of("filename").alias("bucket"),

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.config import SearchConfig
-from corpusflow.functions.udfs import dense_from_buckets
+from corpusflow.functions.udfs import dense_from_buckets, md5_text_buckets
 from corpusflow.plans.broadcast import blocks
 
 # Largest score matrix (queries × rows) one task materialises at a time.
@@ -43,6 +43,8 @@ def _normalise(mat: np.ndarray) -> np.ndarray:
 def _to_matrix(values, kind: str, dim: int) -> np.ndarray:
     if kind == "buckets":
         return dense_from_buckets(list(values), dim, normalise=True)
+    if kind == "text":
+        return dense_from_buckets(md5_text_buckets(list(values), dim), dim, normalise=True)
     if len(values) == 0:
         return np.zeros((0, dim), dtype=np.float64)
     return _normalise(np.vstack([np.asarray(v, dtype=np.float64) for v in values]))
@@ -109,7 +111,9 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, *, corpus_key: str, corpus_v
     """Exact cosine top-k: for every query row, the ``k`` best corpus rows.
 
     ``kind='dense'``: vector columns are ARRAY<FLOAT|DOUBLE>; ``kind='buckets'``:
-    ARRAY<BIGINT> token buckets, densified to ``dim`` counts inside the task.
+    ARRAY<BIGINT> token buckets, densified to ``dim`` counts inside the task;
+    ``kind='text'``: STRING columns embedded inside the task with the md5 token-hash
+    embedding (tokenised and hashed in the same Arrow batch that is scored).
     Returns (query_name, corpus_key, *payload, score, rank).
     """
     if k < 1:
@@ -146,7 +150,7 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, *, corpus_key: str, corpus_v
             use_dim = dim_b
         else:
             if dim is None:
-                raise ValueError("dim is required for bucket vectors")
+                raise ValueError("dim is required for bucket and text vectors")
             use_dim = dim
         qmat = _to_matrix(pdf["_qv"].to_numpy(), kind, use_dim) if len(pdf) else np.zeros((0, use_dim))
         bq = spark.sparkContext.broadcast((qids, qmat))

@@ -339,10 +339,10 @@ def _benchmark_truth(spark, sf):
 
 def _doc_hash_topk(spark, sf, queries: DataFrame, k: int = K, qkey: str = "item_id", qtext: str = "text",
                    payload=()):
-    docs = documents(spark, sf).select("doc_id", *payload, token_buckets("content", HASH_DIM).alias("vec"))
-    q = queries.select(qkey, token_buckets(qtext, HASH_DIM).alias("qvec"))
+    docs = documents(spark, sf).select("doc_id", *payload, F.col("content").alias("vec"))
+    q = queries.select(qkey, F.col(qtext).alias("qvec"))
     return knn_topk(docs, q, corpus_key="doc_id", corpus_vec="vec", query_key=qkey, query_vec="qvec",
-                    k=k, kind="buckets", dim=HASH_DIM, score_offset=0.0, payload=payload)
+                    k=k, kind="text", dim=HASH_DIM, score_offset=0.0, payload=payload)
 
 
 @register("eval_topk")
