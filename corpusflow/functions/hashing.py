@@ -34,9 +34,10 @@ def md5_bucket(token, dim: int) -> Column:
 
 
 def token_buckets(text, dim: int) -> Column:
-    """Lower-cased whitespace tokens mapped to md5 buckets, one entry per token."""
-    return F.transform(words(F.lower(_col(text))), lambda t: md5_bucket(t, dim))
-
+    """Lower-cased whitespace tokens mapped to md5 buckets, one entry per token.
 
-def hash_tokens(text) -> Column:
-    return words(F.lower(_col(text)))
+    The JVM/SQL statement of the token-hash rule (the DuckDB oracle uses the same
+    expression). The search and index paths evaluate the same rule inside their
+    Arrow tasks (``functions.udfs.md5_text_buckets``); a test pins the two equal.
+    """
+    return F.transform(words(F.lower(_col(text))), lambda t: md5_bucket(t, dim))

@@ -96,22 +96,6 @@ def blake2b_embed(dim: int):
     return _embed
 
 
-def bucket_vectors(dim: int, normalise: bool = True, single: bool = False):
-    """pandas_udf: ARRAY<BIGINT> bucket ids (computed JVM-side) → dense vector,
-    ARRAY<DOUBLE> (or ARRAY<FLOAT> with ``single=True``, the at-rest index type)."""
-    elem = T.FloatType() if single else T.DoubleType()
-
-    @F.pandas_udf(T.ArrayType(elem))
-    def _dense(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for buckets in batches:
-            mat = dense_from_buckets(list(buckets), dim, normalise)
-            if single:
-                mat = mat.astype(np.float32)
-            yield pd.Series(list(mat))
-
-    return _dense
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def html_unescape_nodes(nodes: pd.Series) -> pd.Series:
     """Full HTML5 entity decoding of every text node (stdlib table)."""

@@ -8,7 +8,6 @@ rendered with 9 significant digits), the same shape of check the CI gate runs.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import os
 import sys

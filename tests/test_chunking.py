@@ -1,7 +1,6 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
 
 import spec
 from corpusflow.config import ChunkConfig

@@ -78,3 +78,22 @@ def test_dimension_guard_names_both_dimensions(spark):
     assert len(rows) == 3 and not any(r["ok"] for r in rows)
     assert all("768" in r["message"] and "384" in r["message"] and "re-ingest" in r["message"] for r in rows)
     assert all(r["ok"] for r in dimension_guard(df, 768).collect())
+
+
+def test_in_task_md5_buckets_equal_jvm_rule(spark):
+    """The Arrow-side token hashing equals the JVM/SQL expression on whole documents."""
+    import os
+
+    from corpusflow.functions.hashing import token_buckets
+    from corpusflow.functions.udfs import md5_text_buckets
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("driver test data not present")
+    rows = spark.read.parquet(path).select("text", token_buckets("text", 256).alias("b")).collect()
+    texts = [r["text"] for r in rows] + ["  Éte ÉTÉ\tx y  ", ""]
+    jvm = [list(r["b"]) for r in rows] + [
+        list(r[0]) for r in spark.createDataFrame([(t,) for t in texts[-2:]], "t string")
+        .select(token_buckets("t", 256)).collect()]
+    py = [list(b) for b in md5_text_buckets(texts, 256)]
+    assert py == jvm

@@ -3,7 +3,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from corpusflow.operators.fusion import fuse
 from corpusflow.operators.lexical import bm25_topk
