@@ -34,19 +34,29 @@ def _lit(v) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
+# The same whitespace set as characters, for trim(): it only looks at the ends of
+# the string, where an end-anchored regex is tried at every position.
+WS_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+
+
 def ws_strip(c) -> Column:
     """Python ``str.strip()`` (all Unicode whitespace)."""
-    return F.regexp_replace(_col(c), f"^{WS_RUN}|{WS_RUN}\\z", "")
+    return F.trim(_col(c), F.lit(WS_CHARS))
 
 
 def ws_rstrip(c) -> Column:
     """Python ``str.rstrip()``."""
-    return F.regexp_replace(_col(c), f"{WS_RUN}\\z", "")
+    return F.rtrim(_col(c), F.lit(WS_CHARS))
 
 
 def words(c) -> Column:
-    """Python ``str.split()``: whitespace runs, no empty tokens."""
-    return F.filter(F.split(_col(c), WS_RUN, -1), lambda w: w != F.lit(""))
+    """Python ``str.split()``: whitespace runs, no empty tokens.
+
+    Stripping first leaves no leading/trailing empty token, so no per-word filter
+    lambda (interpreted, not code-generated) runs over every word; only an
+    all-whitespace text needs the explicit empty result."""
+    stripped = ws_strip(_col(c))
+    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, WS_RUN, -1))
 
 
 def compact(c) -> Column:
