@@ -48,8 +48,11 @@ def ship_package(spark: SparkSession) -> None:
     the executors' Python workers must import. The package is zipped once per
     application into the shared checkpoint folder and added with ``addPyFile``.
     """
-    sc = spark.sparkContext
-    app = sc.applicationId
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # pragma: no cover - Connect sessions ship code with addArtifacts
+        return
     if app in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
@@ -77,17 +80,26 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     value = spark.conf.get("spark.checkpoint.dir", None)
     if value:
         return value
-    return spark.sparkContext.getCheckpointDir()
+    try:
+        return spark.sparkContext.getCheckpointDir()
+    except Exception:  # pragma: no cover - no SparkContext (Connect)
+        return None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's checkpoint folder; only when unset (tests, local runs) make one."""
     existing = checkpoint_dir(spark)
     if existing:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(existing)
+        try:
+            if spark.sparkContext.getCheckpointDir() is None:
+                spark.sparkContext.setCheckpointDir(existing)
+        except Exception:  # pragma: no cover - no SparkContext (Connect)
+            pass
         return existing
     local = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
+    try:
+        spark.sparkContext.setCheckpointDir(local)
+    except Exception:  # pragma: no cover
+        pass
     return local
