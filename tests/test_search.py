@@ -148,3 +148,24 @@ def test_search_dispatch_and_filters(spark):
     assert [r["filename"] for r in only] == ["travel.txt"]
     with pytest.raises(ValueError):
         search(chunks, q, strategy="nope")
+
+
+def test_search_on_stored_index_vectors_matches_text_path(spark):
+    from corpusflow.operators.maintenance import index_rows
+    from corpusflow.operators.search import search
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr(
+        "doc_id", "concat(source, '-', lang, '-', cast(doc_id as string), '.txt') AS filename", "text AS content")
+    idx = index_rows(docs, keep=["doc_id"]).cache()
+    q = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").selectExpr("item_id AS query_id", "text")
+    for strategy in ("content_only", "combined", "filename_only"):
+        a = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"])
+             for r in search(idx, q, strategy=strategy, k=3, payload=()).collect()}
+        b = {(r["query_id"], r["rank"]): (r["chunk_id"], r["score"])
+             for r in search(idx, q, strategy=strategy, k=3, payload=(), vectors="stored").collect()}
+        assert a.keys() == b.keys()
+        # float32 at rest: scores agree to 1e-6; ids agree except on float-level near-ties
+        assert all(abs(a[x][1] - b[x][1]) <= 2e-6 for x in a), strategy
+        same = sum(a[x][0] == b[x][0] for x in a)
+        assert same >= 0.95 * len(a), strategy
+    idx.unpersist()
