@@ -39,6 +39,10 @@ def _norm(v):
     return str(v)
 
 
+_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+          "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 def digest(pdf: pd.DataFrame) -> tuple[list[str], list[str]]:
     cols = sorted(pdf.columns)
     rows = sorted("|".join(_norm(r[c]) for c in cols) for r in pdf.to_dict("records"))
@@ -64,7 +68,10 @@ def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool =
     for name in names or sorted(qs):
         t0 = time.time()
         try:
-            sdf = qs[name](spark, sf_dir).toPandas()
+            sframe = qs[name](spark, sf_dir)
+            stypes = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                      for f in sframe.schema.fields}
+            sdf = sframe.toPandas()
         except Exception as exc:  # noqa: BLE001
             report[name] = {"status": "spark_error", "error": repr(exc)[:2000]}
             if verbose:
@@ -77,7 +84,9 @@ def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool =
                 print(f"{name:32s} rows-only {len(sdf)} rows ({ts:.1f}s)")
             continue
         try:
-            odf = con.execute(sqls[name]).fetchdf()
+            rel = con.sql(sqls[name])
+            otypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+            odf = rel.df()
         except Exception as exc:  # noqa: BLE001
             report[name] = {"status": "oracle_error", "error": repr(exc)[:2000]}
             if verbose:
@@ -85,13 +94,16 @@ def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool =
             continue
         sc, sr = digest(sdf)
         oc, orow = digest(odf)
-        ok = sc == oc and sr == orow
-        status = "match" if ok else "mismatch"
+        types_ok = stypes == otypes
+        ok = sc == oc and sr == orow and types_ok
+        status = "match" if ok else ("type_mismatch" if sc == oc and sr == orow else "mismatch")
         report[name] = {"status": status, "spark_rows": len(sdf), "oracle_rows": len(odf),
                         "spark_cols": sc, "oracle_cols": oc}
         if verbose:
             print(f"{name:32s} {status:8s} spark={len(sdf)} oracle={len(odf)} ({ts:.1f}s)")
             if not ok:
+                if not types_ok:
+                    print("   types", stypes, "vs", otypes)
                 if sc != oc:
                     print("   cols", sc, "vs", oc)
                 else:
