@@ -1,0 +1,28 @@
+import random
+import statistics
+
+import spec
+from corpusflow.operators.quantiles import summary_stats
+
+
+def test_summary_stats_match_python_on_skewed_groups(spark):
+    rnd = random.Random(4)
+    rows = []
+    # group "hot" holds a third of the rows, most of them one repeated value
+    for i in range(3000):
+        rows.append(("hot", 5.0 if rnd.random() < 0.6 else round(rnd.uniform(0, 100), 2)))
+    for g in ("a", "b", "c", "d"):
+        for i in range(rnd.randint(1, 1500)):
+            rows.append((g, round(rnd.expovariate(0.1), 2)))
+    rows.append(("single", 7.5))
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {r["g"]: r for r in summary_stats(df, ["g"], "v", {"p95": 0.95}, buckets=16).collect()}
+    by = {}
+    for g, v in rows:
+        by.setdefault(g, []).append(v)
+    for g, vs in by.items():
+        r = got[g]
+        assert r["n"] == len(vs)
+        assert r["mean"] == round(statistics.mean(vs), 3)
+        assert r["p50"] == round(statistics.median(vs), 3)
+        assert r["p95"] == round(spec.nearest_rank(vs, 0.95), 3)
