@@ -43,8 +43,8 @@ def _op1_sql() -> str:
     return f"""
 WITH d AS (SELECT doc_id, {_SQL_WORDS.format('text')} AS w FROM documents),
      phrase(k, label, p) AS (VALUES {phrases}), notice(label, t, needed) AS (VALUES {notices}),
-     at AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
-     place AS (SELECT doc_id, label, k, i - 1 AS i FROM at JOIN phrase ON w[i] = p[1] AND list_slice(w, i, i + len(p) - 1) = p),
+     pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+     place AS (SELECT doc_id, label, k, i - 1 AS i FROM pos JOIN phrase ON w[i] = p[1] AND list_slice(w, i, i + len(p) - 1) = p),
      base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list_sort(list(DISTINCT label)) AS l FROM place GROUP BY 1),
      block AS (SELECT doc_id, list_slice(w, i + 1, i + {2 * STRIDE}) AS b
                FROM (SELECT doc_id, w, unnest(range(0, len(w), {STRIDE})) AS i FROM d)),
@@ -141,7 +141,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     joined = {c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"),
                                                                    s["end"].cast("string"))), ",") for c in ("base", "spans")}
-    return found.select("doc_id", *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+    return found.select("doc_id", *[F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in KINDS],
                         F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
 
 
