@@ -22,11 +22,12 @@ from corpusflow.sources.tables import TABLES  # noqa: E402
 
 
 def _norm(v):
-    if v is None:
+    # A nullable integer column reaches pandas as NaN or NA, depending on the engine.
+    if v is None or v is pd.NA:
         return "<null>"
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return "<null>"
         return f"{v:.9g}"
     if hasattr(v, "tolist"):
         v = v.tolist()
