@@ -145,6 +145,12 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined["base"], 256).alias("base_sha256"), joined["spans"].alias("spans"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusflow.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -154,6 +160,7 @@ QUERIES: dict[str, Query] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_token_counts": op8_token_counts,
     "op9_personal_data": op9_personal_data,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
