@@ -19,13 +19,23 @@ from pyspark.sql import functions as F
 from corpusflow.llm.common import table, written
 from corpusflow.llm.decontaminate import remove_contaminated
 from corpusflow.llm.mixing import mixed
+from corpusflow.llm.near_dup import keep_one
 from corpusflow.llm.sharding import balanced_shards
+from corpusflow.llm.toxicity import drop_toxic, train
 
 SHARDS = 16
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -41,6 +51,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
     ("mix", mix),
     ("shard", shard),

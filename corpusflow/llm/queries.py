@@ -113,6 +113,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusflow.llm.toxicity import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, train(docs, table(spark, sf_dir, "labels"))).drop("text_key")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusflow.llm.sharding import balanced_shards
 
@@ -156,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_warc": op3_warc,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_fingerprints": op7_fingerprints,
     "op8_token_counts": op8_token_counts,
