@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import text_key, text_of
+from corpusflow.llm.common import text_key, text_of, written
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELLED_ROWS = 1000
@@ -332,12 +332,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
             yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in out], pa.list_(pa.string())),
                                               pa.array([s[1] for s in out], pa.list_(pa.int32()))], names=["tokens", "labels"])
 
-    chosen = (docs.select(text_of(text_col).alias("_cf_text"), F.xxhash64(F.col(id_col), text_key(text_col)).alias("_cf_h"))
-              .filter(F.col("_cf_text").rlike("[0-9@]")).orderBy("_cf_h").limit(rows).select("_cf_text"))
+    # The sample is chosen by narrow rows, so that only its texts move.
+    keyed = docs.select(F.col(id_col).alias("_cf_id"), text_key(text_col).alias("_cf_key"), text_of(text_col).alias("_cf_text"))
+    chosen = (keyed.filter(F.col("_cf_text").rlike("[0-9@]")).select(F.xxhash64("_cf_id", "_cf_key").alias("_cf_h"))
+              .distinct().orderBy("_cf_h").limit(rows))
+    chosen = F.broadcast(written(chosen, "labelled"))  # ``rows`` hashes
+    chosen = (keyed.withColumn("_cf_h", F.xxhash64("_cf_id", "_cf_key")).join(chosen, "_cf_h", "left_semi")
+              .dropDuplicates(["_cf_h"]).select("_cf_text"))
     found = chosen.mapInArrow(label, "tokens array<string>, labels array<int>").collect()
     # Examples weigh as much as the documents' rows: they are what the rules do not say.
     own = example_sequences()
     sequences = [(r["tokens"], r["labels"]) for r in found]
+    sequences.sort()  # the order of the rows is Spark's; the model must not depend on it
     return train_crf(sequences + own * max(1, len(sequences) // (4 * len(own))))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.common import text_of
 
-#: Rows that the tier-one table is fitted on, its size, and the characters of its longest entry.
+#: Rows (in expectation) that the tier-one table is fitted on, its size, and the characters of its longest entry.
 SAMPLE_ROWS = 2000
 FREQUENT = 50_000
 MAX_CHARS = 32
@@ -116,10 +116,11 @@ def _frequent_runs(docs: DataFrame, text_col: str, tokenizer_json: str) -> dict[
         yield pa.RecordBatch.from_pydict({"p": pa.array([p for p, _ in top], pa.string()),
                                           "n": pa.array([n for _, n in top], pa.int64())})
 
-    sample = docs.select(text_of(text_col).alias("_cf_text")).limit(SAMPLE_ROWS)
+    share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
+    sample = docs.select(text_of(text_col).alias("_cf_text")).sample(share, seed=1)
     top = sample.mapInArrow(count, "p string, n long").orderBy(F.desc("n"), "p").limit(FREQUENT).collect()
     tokenizer = Tokenizer.from_str(tokenizer_json)
-    found = [r["p"] for r in top]
+    found = sorted({r["p"] for r in top})
     return {p: len(e.ids) for p, e in zip(found, tokenizer.encode_batch(found, add_special_tokens=False))}
 
 

@@ -1,0 +1,83 @@
+import hashlib
+import uuid
+from collections import Counter
+
+import pytest
+from conftest import prose
+
+from corpusflow.llm import warc
+from corpusflow.llm.common import shared_path
+
+BIG, TWIN = prose(1, 40_000) + " é漢" * 9000, prose(2, 400)
+PAGES = [(1, "http://a/1", "short"), (2, "http://a/2", "short"), (3, None, None), (4, "http://a/4\nX: y", ""), (5, "http://a/5", BIG),
+         (6, "http://a/6", TWIN), (7, "http://a/7", TWIN), (8, "http://a/8", TWIN), (8, "http://a/8", TWIN),
+         (None, "http://a/n", TWIN), (None, None, "no id"), (9, "http://ü/9", "WARC/1.1\r\n\r\nno record\r\n\r\n0\r\n\r\n"), (10, "u", "é" * 500),
+         (11, "u", "é" * 500), (12, "u", "x" * 999), (13, "u", "x" * 999)]
+
+
+def want():
+    groups = {}
+    for i, _, t in PAGES:
+        d = (t or "").encode()
+        if len(d) >= 1000 and i is not None:
+            groups[d] = max(i, groups.get(d, i))
+    out = Counter()
+    for i, _, t in PAGES:
+        d = (t or "").encode()
+        top = groups.get(d)
+        revisit = top is not None and (i is None or i < top)
+        out[(str(i) if i is not None else "", len(d), hashlib.sha1(d).hexdigest(), "revisit" if revisit else "response",
+             str(top) if revisit else None, None if revisit else d, None)] += 1
+    return out
+
+
+@pytest.mark.parametrize("segment, groups", [(64 << 10, 100), (1000, 0), (7, 100)])
+def test_round_trip(spark, monkeypatch, segment, groups):
+    monkeypatch.setattr(warc, "MAX_BROADCAST_GROUPS", groups)
+    pages = [p for p in PAGES if segment > 100 or p[2] != BIG]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS _cf_digest", "2 AS page")
+    path = shared_path(spark, "warc-test")
+    warc.write_warc(df, path, segment_bytes=segment, chunk_bytes=100)
+    found = Counter((r["page"], r["payload_bytes"], r["digest"], r["record_type"], r["refers_to"],
+                     None if r["payload"] is None else bytes(r["payload"]), r["error"]) for r in warc.read_warc(spark, path).collect())
+    expected = want() if segment > 100 else Counter({k: n for k, n in want().items() if k[1] != len(BIG.encode())})
+    assert found == expected
+
+
+def test_empty_table(spark):
+    path = shared_path(spark, "warc-test")
+    warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.read_warc(spark, path).count() == 0
+
+
+def test_files_are_warc(spark, tmp_path):
+    path = str(tmp_path / "w")
+    warc.write_warc(spark.createDataFrame([(1, "http://a", "x" * 50_000)], "page_id long, url string, html string"), path, segment_bytes=20_000)
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "w").glob("part-*")))
+    records = list(warc.walk(data))
+    assert [f["warc-type"] for f, _ in records] == ["response", "continuation", "continuation"]
+    assert [f["warc-segment-number"] for f, _ in records] == ["1", "2", "3"]
+    assert int(records[-1][0]["warc-segment-total-length"]) == sum(len(b) for _, b in records)
+    assert {f["warc-segment-origin-id"] for f, _ in records[1:]} == {records[0][0]["warc-record-id"]}
+
+
+def test_broken_records_are_reported(spark, tmp_path):
+    def rec(kind, block, **more):
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", more.pop("rid", f"<urn:uuid:{uuid.uuid4()}>")), ("WARC-Page-ID", more.pop("page", "1"))]
+        return warc._record([*fields, *((k.replace("_", "-"), v) for k, v in more.items())], block) + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    sha = "sha1:AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA"
+    body = http + warc.chunked(b"hello", 2)
+    data = (rec("response", http + b"5\r\nhel", page="cut") + rec("response", body, page="digest", WARC_Payload_Digest=sha)
+            + rec("response", body[:30], rid="<a>", page="gap", WARC_Segment_Number="1")
+            + rec("continuation", body[40:], WARC_Segment_Origin_ID="<a>", WARC_Segment_Number="3", WARC_Segment_Total_Length=str(len(body)))
+            + rec("continuation", body[30:], WARC_Segment_Origin_ID="<b>", WARC_Segment_Number="2", WARC_Segment_Total_Length=str(len(body)))
+            + rec("response", body[:30], rid="<b>", page="good", WARC_Segment_Number="1") + rec("warcinfo", b"software: x", page="-"))
+    (tmp_path / "x.warc").write_bytes(data)
+    found = {r["page"]: (r["payload"], r["error"]) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert found["good"] == (b"hello", None)
+    assert found["cut"][0] is None and "framing" in found["cut"][1]
+    assert found["digest"] == (b"hello", "digest differs")
+    assert found["gap"][0] is None and "segments" in found["gap"][1]
+    assert len(found) == 4
