@@ -117,9 +117,9 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ranges = int(min(MAX_RANGES, max(1, -(-total // range_bytes))))
     bounds = np.empty(0, np.int64)
     if ranges > 1:
-        cuts = docs.select(order.alias("o")).agg(F.percentile_approx(
-            "o", [i / ranges for i in range(1, ranges)], F.lit(max(10_000, 20 * ranges)))).first()[0]
-        bounds = np.unique(np.array(cuts, np.int64))
+        cuts = docs.select(order.cast("double").alias("o")).approxQuantile(
+            "o", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))
+        bounds = np.unique(np.array(cuts).clip(-2.0**62, 2.0**62).astype(np.int64))
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
