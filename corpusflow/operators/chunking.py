@@ -60,3 +60,11 @@ def combined_text(filename: Column, content: Column, include_filename: bool = Tr
     if not include_filename:
         return content
     return F.concat(F.lit(COMBINED_FILENAME_PREFIX), filename, F.lit(COMBINED_CONTENT_PREFIX), content)
+
+
+def fetch_document(chunks: DataFrame, filename: str | None = None, limit: int | None = None) -> DataFrame:
+    """The chunks of one document in order (of all given chunks without a ``filename``): all of
+    them, or the first ``limit``. Every column comes along, vectors included."""
+    found = chunks if filename is None else chunks.where(F.col("filename") == filename)
+    found = found.orderBy("chunk_index")
+    return found if limit is None else found.limit(limit)

@@ -69,24 +69,19 @@ def cluster_by_bucket(df: DataFrame, files_per_bucket: int = 1) -> DataFrame:
 
 
 def write_index(index: DataFrame, path: str, mode: str = "append", files_per_bucket: int = 1) -> dict:
-    """Append (or dynamically overwrite the touched buckets of) the Parquet index.
+    """Append to (or overwrite) the Parquet index; ``streaming.ingest`` replaces single files in it.
 
     Returns metrics observed while writing (no second pass over the data): the
     number of stored chunks and of chunks written without a content vector.
     """
     from pyspark.sql import Observation
 
-    spark = index.sparkSession
     obs = Observation("index_write")
     stamped = index.withColumn("indexed_at", F.current_timestamp()).observe(
         obs, F.count(F.lit(1)).alias("stored"),
         F.sum(F.when(F.col("content_embedding").isNull(), 1).otherwise(0)).alias("missing_vectors"))
     writer = cluster_by_bucket(stamped, files_per_bucket).write.partitionBy("bucket")
-    if mode == "replace_buckets":
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        writer.mode("overwrite").parquet(path)
-    else:
-        writer.mode(mode).parquet(path)
+    writer.mode(mode).parquet(path)
     metrics = obs.get
     return {"stored": int(metrics.get("stored") or 0), "missing_vectors": int(metrics.get("missing_vectors") or 0)}
 
@@ -111,8 +106,8 @@ def dimension_guard(index: DataFrame, expected: int, fields=VECTOR_FIELDS) -> Da
         "field", "min_dim", "max_dim", F.lit(expected).cast("bigint").alias("expected_dim"),
         ok.alias("ok"),
         F.when(ok, F.lit("")).otherwise(F.format_string(
-            "index uses %d-dimension vectors but the provider produces %d; "
-            "write to a new index and re-ingest the documents", F.col("max_dim"), F.lit(expected))).alias("message"),
+            "stored vectors have %d to %d dimensions, the embedder gives %d: build a new index with this embedder, "
+            "or take the one that built this index", F.col("min_dim"), F.col("max_dim"), F.lit(expected))).alias("message"),
     )
 
 

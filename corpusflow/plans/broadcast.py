@@ -53,39 +53,19 @@ def size_of(df: DataFrame, cols: list[str]) -> tuple[int, int]:
     return int(row["n"]), int(row["bytes"] or 0)
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate of a plan (None when unknown)."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # pragma: no cover - defensive: estimate is only a shortcut
-        return None
-
-
-# The optimizer estimates scans from (compressed) file sizes; only trust an estimate
-# far below the bound, and check the collected block afterwards anyway.
-_ESTIMATE_MARGIN = 16
-
-
 def blocks(df: DataFrame, key: str, cols: list[str], max_bytes: int) -> Iterator[Block]:
     """Yield the rows of ``df`` as driver-side pandas blocks of at most ``max_bytes``.
 
-    Rows are assigned to blocks by a hash of ``key`` (no global sort, no single task).
-    A block that still comes out too large (hash imbalance) is re-split. When the
-    optimizer's estimate is far below the bound, the rows are collected in one job
-    and the bound is verified on what arrived.
+    The size is measured first. Rows are assigned to blocks by a hash of ``key`` and
+    of their place in the scan (no global sort, no single task), so rows that share a key
+    separate too; a block that still comes out too large is split again.
     """
-    est = estimated_bytes(df.select(*cols))
-    if est is not None and est * _ESTIMATE_MARGIN <= max_bytes:
-        pdf = df.select(*cols).toPandas()
-        _check(pdf, max_bytes)
-        yield Block(0, 1, pdf)
-        return
     n, total = size_of(df, cols)
     if n == 0:
         yield Block(0, 1, pd.DataFrame({c: [] for c in cols}))
         return
-    n_blocks = max(1, math.ceil(total / max_bytes))
-    yield from _split(df, key, cols, max_bytes, n_blocks, salt=0)
+    yield from _split(df.withColumn("_cf_place", F.monotonically_increasing_id()), key, cols, max_bytes,
+                      max(1, math.ceil(total / max_bytes)), salt=0)
 
 
 def _split(df, key, cols, max_bytes, n_blocks, salt) -> Iterator[Block]:
@@ -94,7 +74,7 @@ def _split(df, key, cols, max_bytes, n_blocks, salt) -> Iterator[Block]:
         _check(pdf, max_bytes)
         yield Block(0, 1, pdf)
         return
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(n_blocks))
+    bucket = F.pmod(F.xxhash64(F.col(key), F.col("_cf_place"), F.lit(salt)), F.lit(n_blocks))
     for b in range(n_blocks):
         part = df.where(bucket == b)
         n, total = size_of(part, cols)

@@ -125,8 +125,9 @@ SELECT doc_id, chunk_index::BIGINT AS chunk_index, chunk_id, 'hash-md5' AS provi
        {_nnz(COMBINED)}::BIGINT AS combined_nnz
 FROM chunks"""
 
-_GUARD_MSG = ("'index uses ' || CAST(max_dim AS VARCHAR) || '-dimension vectors but the provider produces ' "
-              "|| CAST(e AS VARCHAR) || '; write to a new index and re-ingest the documents'")
+_GUARD_MSG = ("'stored vectors have ' || CAST(min_dim AS VARCHAR) || ' to ' || CAST(max_dim AS VARCHAR) "
+              "|| ' dimensions, the embedder gives ' || CAST(e AS VARCHAR) "
+              "|| ': build a new index with this embedder, or take the one that built this index'")
 ORACLE["dimension_guard"] = f"""
 WITH d AS (SELECT min(len(embedding))::BIGINT AS min_dim, max(len(embedding))::BIGINT AS max_dim FROM embeddings),
 ex AS (SELECT unnest([64, 768])::BIGINT AS e)

@@ -18,7 +18,7 @@ from corpusflow.functions.hashing import chunk_id
 from corpusflow.functions.vectors import cosine, l2_normalise, norm
 from corpusflow.operators import context as ctx
 from corpusflow.operators import maintenance as mt
-from corpusflow.operators.chunking import chunk_documents, combined_text
+from corpusflow.operators.chunking import chunk_documents, combined_text, fetch_document
 from corpusflow.operators.embedding import (md5_hash_vector, sparse_entries, split_by_contract,
                                             vector_violation)
 from corpusflow.operators.evaluation import ratio_reduction, recall_at_k
@@ -323,7 +323,7 @@ def document_chunks_q(spark, sf):
     d = documents(spark, sf)
     target = d.orderBy(F.length("content").desc(), F.col("doc_id").asc()).limit(1).select("filename")
     c = chunk_documents(d.join(F.broadcast(target), "filename", "left_semi"), ChunkConfig())
-    return c.orderBy("chunk_index").limit(1000).select(
+    return fetch_document(c).select(
         "filename", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_id", "content")
 
 

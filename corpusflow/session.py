@@ -96,6 +96,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - no SparkContext (Connect)
             pass
         return existing
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     try:

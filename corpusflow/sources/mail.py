@@ -3,8 +3,9 @@
 Messages have the shape of a mail API's ``full`` format: ``id``, ``threadId``,
 ``labelIds``, ``snippet`` and a ``payload`` with ``mimeType``, ``filename``,
 ``headers`` [{name, value}], ``body`` {data (url-safe base64), attachmentId} and
-recursive ``parts``. They are parsed with a fixed-depth schema (``MAX_DEPTH``
-levels of nested parts) and walked with higher-order functions, all on the JVM.
+recursive ``parts``. The schema is as deep as the deepest message given, so no part is
+left out; parts are walked with higher-order functions, and one Arrow UDF decodes the
+entities of what they found. Rows that are no JSON object go to ``bad_messages``.
 
 Rules (first match wins for every part, depth first, in order):
   filename and attachmentId → attachment; text/plain with data → text;
@@ -15,6 +16,11 @@ case-insensitive and the last duplicate wins.
 
 from __future__ import annotations
 
+import html
+import json
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +30,6 @@ from corpusflow.plans.oracle import ORACLE, compact as sql_compact
 from corpusflow.plans.queries import register
 from corpusflow.sources.tables import table
 
-MAX_DEPTH = 5
 # Defaults of a normalised message.
 NO_SUBJECT = "(no subject)"
 DOCUMENT_PREFIX = "mail:"
@@ -36,7 +41,7 @@ _BODY = T.StructType([
 ])
 
 
-def part_schema(depth: int = MAX_DEPTH) -> T.StructType:
+def part_schema(depth: int) -> T.StructType:
     fields = [
         T.StructField("partId", T.StringType()),
         T.StructField("mimeType", T.StringType()),
@@ -49,13 +54,38 @@ def part_schema(depth: int = MAX_DEPTH) -> T.StructType:
     return T.StructType(fields)
 
 
-MESSAGE_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("threadId", T.StringType()),
-    T.StructField("labelIds", T.ArrayType(T.StringType())),
-    T.StructField("snippet", T.StringType()),
-    T.StructField("payload", part_schema(MAX_DEPTH)),
-])
+def message_schema(depth: int) -> T.StructType:
+    return T.StructType([
+        T.StructField("id", T.StringType()),
+        T.StructField("threadId", T.StringType()),
+        T.StructField("labelIds", T.ArrayType(T.StringType())),
+        T.StructField("snippet", T.StringType()),
+        T.StructField("payload", part_schema(depth)),
+    ])
+
+
+@F.pandas_udf(T.IntegerType())
+def part_levels(values: pd.Series) -> pd.Series:
+    """Levels of nested parts in each JSON message."""
+    def levels(value) -> int:
+        try:
+            waiting = [(json.loads(value)["payload"], 0)]
+        except (TypeError, ValueError, KeyError):
+            return 0
+        deepest = 0
+        while waiting:
+            part, depth = waiting.pop()
+            deepest = max(deepest, depth)
+            if isinstance(part, dict) and isinstance(part.get("parts"), list):
+                waiting += [(p, depth + 1) for p in part["parts"]]
+        return deepest
+
+    return values.map(levels).astype("int32")
+
+
+def _depth(payload: T.StructType) -> int:
+    """Levels of nested parts in a payload's schema."""
+    return 1 + _depth(payload["parts"].dataType.elementType) if "parts" in payload.fieldNames() else 0
 
 
 def b64url_text(data: Column) -> Column:
@@ -80,20 +110,40 @@ def _has_data(part: Column) -> Column:
     return F.coalesce(part["body"]["data"], F.lit("")) != ""
 
 
+_FOUND = "array<struct<html:boolean,nodes:array<string>>>"
+
+
+def _found(html: bool, text: Column) -> Column:
+    nodes = tx.html_nodes(text) if html else F.array(text)
+    return F.array(F.struct(F.lit(html).alias("html"), nodes.alias("nodes"))).cast(_FOUND)
+
+
 def part_texts(part: Column, depth: int) -> Column:
-    """ARRAY<STRING>: texts found under one part, depth first (empties kept; the
-    caller drops them — equal to dropping them at every level)."""
+    """What one part says, depth first: plain texts, and the raw text nodes of HTML parts."""
     mime = F.coalesce(part["mimeType"], F.lit(""))
-    empty = F.array().cast("array<string>")
+    empty = F.array().cast(_FOUND)
     nested = (F.flatten(F.transform(part["parts"], lambda p: part_texts(p, depth - 1)))
               if depth > 0 else empty)
+    data = b64url_text(part["body"]["data"])
     return (F.when(_is_attachment(part), empty)
-            .when((mime == "text/plain") & _has_data(part), F.array(b64url_text(part["body"]["data"])))
-            .when((mime == "text/html") & _has_data(part), F.array(tx.html_to_text(b64url_text(part["body"]["data"]))))
+            .when((mime == "text/plain") & _has_data(part), _found(False, data))
+            .when((mime == "text/html") & _has_data(part), _found(True, data))
             .when(mime.startswith("multipart/") & _has_parts(part, depth), nested)
             .otherwise(empty))
 
 
+@F.arrow_udf(T.StringType())
+def found_text(found: pa.Array) -> pa.Array:
+    """Texts and decoded HTML of a message, the non-empty ones joined by line feeds."""
+    def said(part) -> str:
+        nodes = [n for n in part["nodes"] or [] if n is not None]
+        if not part["html"]:
+            return "".join(nodes)
+        return "\n".join(filter(None, (html.unescape(n).strip() for n in nodes)))
+
+    return pa.array(["\n".join(filter(None, map(said, parts or []))) for parts in found.to_pylist()], pa.string())
+
+
 _ATT = "array<struct<filename:string,attachment_id:string,data:binary>>"
 
 
@@ -111,22 +161,25 @@ def part_attachments(part: Column, depth: int) -> Column:
             .otherwise(empty))
 
 
-def message_text(payload: Column) -> Column:
+def message_text(payload: Column, depth: int) -> Column:
     mime = F.coalesce(payload["mimeType"], F.lit(""))
-    walked = F.array_join(
-        F.filter(F.flatten(F.transform(payload["parts"], lambda p: part_texts(p, MAX_DEPTH - 1))),
-                 lambda t: t.isNotNull() & (t != "")), "\n")
+    empty = F.array().cast(_FOUND)
     body = payload["body"]["data"]
-    single = F.when(F.coalesce(body, F.lit("")) == "", F.lit("")).when(
-        mime == "text/html", tx.html_to_text(b64url_text(body))).otherwise(b64url_text(body))
-    multipart = mime.startswith("multipart/") & (F.coalesce(F.size(payload["parts"]), F.lit(0)) > 0)
-    return tx.clean_text(F.when(multipart, walked).otherwise(single))
+    single = F.when(F.coalesce(body, F.lit("")) == "", empty).when(
+        mime == "text/html", _found(True, b64url_text(body))).otherwise(_found(False, b64url_text(body)))
+    if depth > 0:
+        walked = F.flatten(F.transform(payload["parts"], lambda p: part_texts(p, depth - 1)))
+        multipart = mime.startswith("multipart/") & (F.coalesce(F.size(payload["parts"]), F.lit(0)) > 0)
+        single = F.when(multipart, walked).otherwise(single)
+    return tx.clean_text(found_text(single))
 
 
-def message_attachments(payload: Column) -> Column:
+def message_attachments(payload: Column, depth: int) -> Column:
+    if depth == 0:
+        return F.array().cast(_ATT)
     mime = F.coalesce(payload["mimeType"], F.lit(""))
     multipart = mime.startswith("multipart/") & (F.coalesce(F.size(payload["parts"]), F.lit(0)) > 0)
-    walked = F.flatten(F.transform(payload["parts"], lambda p: part_attachments(p, MAX_DEPTH - 1)))
+    walked = F.flatten(F.transform(payload["parts"], lambda p: part_attachments(p, depth - 1)))
     return F.when(multipart, walked).otherwise(F.array().cast(_ATT))
 
 
@@ -140,6 +193,7 @@ def normalise(messages: DataFrame, message_col: str = "message") -> DataFrame:
     """Parsed messages → (id, thread_id, sender, recipient, subject, date, labels,
     snippet, text, attachments)."""
     m = F.col(message_col)
+    depth = _depth(messages.schema[message_col].dataType["payload"].dataType)
     headers = F.coalesce(m["payload"]["headers"], F.array().cast(T.ArrayType(_HEADER)))
     return messages.select(
         m["id"].alias("id"),
@@ -150,14 +204,26 @@ def normalise(messages: DataFrame, message_col: str = "message") -> DataFrame:
         header(headers, "date").alias("date"),
         F.coalesce(m["labelIds"], F.array().cast("array<string>")).alias("labels"),
         F.coalesce(m["snippet"], F.lit("")).alias("snippet"),
-        message_text(m["payload"]).alias("text"),
-        message_attachments(m["payload"]).alias("attachments"),
+        message_text(m["payload"], depth).alias("text"),
+        message_attachments(m["payload"], depth).alias("attachments"),
     )
 
 
+def _is_message(json_col: str) -> Column:
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(json_col))).startswith("OBJECT"), F.lit(False))
+
+
 def parse_messages(raw: DataFrame, json_col: str = "value") -> DataFrame:
-    """JSON text (one message per row, e.g. ``spark.read.text``) → parsed struct."""
-    return raw.select(F.from_json(F.col(json_col), MESSAGE_SCHEMA).alias("message"))
+    """JSON text (one message per row, e.g. ``spark.read.text``) → parsed struct, of the rows that are
+    JSON objects. One pass over the messages first finds how deep their parts are nested."""
+    depth = raw.select(part_levels(F.col(json_col)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return raw.where(_is_message(json_col)).select(F.from_json(F.col(json_col), message_schema(depth)).alias("message"))
+
+
+def bad_messages(raw: DataFrame, json_col: str = "value") -> DataFrame:
+    """The rows that are no JSON object, for quarantine."""
+    return raw.where(~_is_message(json_col)).select(F.lit("mail").alias("source"), F.col(json_col).alias("detail"),
+                                                   F.lit("not_a_json_object").alias("reason"))
 
 
 def read_messages(spark, path: str) -> DataFrame:

@@ -49,7 +49,8 @@ def _write_buckets(df: DataFrame, path: str, mode: str, clustered: bool = False)
     so it is copied without another shuffle.
     """
     out = df if clustered else df.repartition("bucket")
-    out.write.partitionBy("bucket").mode(mode).parquet(path)
+    # Overwriting replaces the buckets that the rows fall in, for this write alone.
+    out.write.option("partitionOverwriteMode", "dynamic").partitionBy("bucket").mode(mode).parquet(path)
 
 
 def replace_by_filename(batch: DataFrame, index_path: str, filename: str = "filename") -> None:
@@ -83,7 +84,6 @@ def _merge_batch(spark: SparkSession, batch: DataFrame, index_path: str, filenam
     merged = survivors.unionByName(batch.select(*existing.columns))
     staging = f"{index_path.rstrip('/')}.staging/{uuid.uuid4().hex}"
     _write_buckets(merged, staging, "overwrite")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     _write_buckets(spark.read.parquet(staging), index_path, "overwrite", clustered=True)
     _delete_path(spark, staging)
 

@@ -76,7 +76,7 @@ def test_dimension_guard_names_both_dimensions(spark):
                                "content_embedding array<float>, filename_embedding array<float>, combined_embedding array<float>")
     rows = dimension_guard(df, 384).collect()
     assert len(rows) == 3 and not any(r["ok"] for r in rows)
-    assert all("768" in r["message"] and "384" in r["message"] and "re-ingest" in r["message"] for r in rows)
+    assert all("768" in r["message"] and "384" in r["message"] and "new index" in r["message"] for r in rows)
     assert all(r["ok"] for r in dimension_guard(df, 768).collect())
 
 
@@ -97,3 +97,18 @@ def test_in_task_md5_buckets_equal_jvm_rule(spark):
         .select(token_buckets("t", 256)).collect()]
     py = [list(b) for b in md5_text_buckets(texts, 256)]
     assert py == jvm
+
+
+def test_one_bad_text_loses_its_own_vector_only(spark):
+    from pyspark.sql import functions as F
+
+    from corpusflow.operators.embedding import CallableProvider, embed_column
+
+    def fn(text):
+        if text == "t7":
+            raise ValueError("poison")
+        return [float(len(text)), 1.0]
+
+    df = spark.range(100).select(F.concat(F.lit("t"), F.col("id")).alias("t")).coalesce(1)
+    got = df.select("t", embed_column(F.col("t"), lambda: CallableProvider(fn, 2), 2).alias("v")).collect()
+    assert [r["t"] for r in got if r["v"] is None] == ["t7"]

@@ -52,3 +52,20 @@ def test_mail_documents_layout(spark):
     doc = mail.mail_documents(mail.normalise(mail.parse_messages(raw))).first()
     assert doc["filename"] == "mail:9"
     assert doc["content"] == "Subject: (no subject)\nFrom: me\nDate: today\n\nbody text"
+
+
+def test_parts_of_any_depth_and_all_entities(spark):
+    part = {"mimeType": "text/html", "body": {"data": b64("<p>caf&eacute; &#8217;x&rsquo; &euro;5 &#x41; &amp;lt;</p>".encode())}}
+    for _ in range(9):
+        part = {"mimeType": "multipart/mixed", "parts": [part, {"mimeType": "x/y", "filename": "f", "body": {"attachmentId": "a"}}]}
+    rows = _rows(spark, [{"id": "deep", "payload": part},
+                         {"id": "flat", "payload": {"mimeType": "text/plain", "body": {"data": b64(b"1 &amp; 2")}}}])
+    assert rows["deep"]["text"] == "café ’x’ €5 A &lt;"
+    assert len(rows["deep"]["attachments"]) == 9
+    assert rows["flat"]["text"] == "1 &amp; 2" and rows["flat"]["attachments"] == []
+
+
+def test_bad_json_is_quarantined(spark):
+    raw = spark.createDataFrame([("not json",), ("[1]",), (None,), (json.dumps({"id": "ok"}),)], "value string")
+    assert [r["id"] for r in mail.normalise(mail.parse_messages(raw)).collect()] == ["ok"]
+    assert sorted(str(r["detail"]) for r in mail.bad_messages(raw).collect()) == ["None", "[1]", "not json"]

@@ -52,3 +52,11 @@ def test_topk_merge_is_partial_then_final(spark):
 def test_scan_prunes_columns(spark):
     plan = _plan(entry.queries()["compact_text"](spark, SF))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_rows_that_share_a_key_split_into_blocks(spark):
+    from corpusflow.plans.broadcast import blocks
+
+    df = spark.range(40).selectExpr("1L AS k", "repeat('x', 1000) AS t")
+    got = list(blocks(df, "k", ["k", "t"], 8000))
+    assert len(got) > 1 and sum(len(b.frame) for b in got) == 40
