@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.config import HASH_DIM, ChunkConfig
 from corpusflow.operators.chunking import chunk_documents, combined_text, n_chunks
-from corpusflow.operators.embedding import md5_hash_vector
+from corpusflow.operators.embedding import EmbeddingProvider, embed_column, md5_hash_vector, provenance, split_by_contract
 from corpusflow.functions.text import words
 from corpusflow.session import ensure_checkpoint_dir
 
@@ -34,30 +35,52 @@ def bucket_of(filename) -> F.Column:
 
 def index_rows(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), dim: int = HASH_DIM,
                include_filename: bool = True, provider: str = "hash-md5", model: str = "md5-token-hash",
-               keep: list[str] | None = None) -> DataFrame:
+               keep: list[str] | None = None, embedder: Callable[[], EmbeddingProvider] | None = None) -> DataFrame:
     """Chunks with the three vectors and provenance.
 
+    ``embedder`` makes the provider that embeds all three texts (once per task; once here to
+    read its dimension and provenance). Without one, vectors are md5 token hashes. A text
+    that the provider fails on gets a NULL vector: ``index_parts`` separates such rows.
+
     The filename vector is computed once per *document* before the chunks are
     exploded (not once per chunk, and without a join back to a filename table).
     Vectors are computed in Arrow batches where every distinct token is hashed
     once, so the combined text's content tokens cost a dictionary lookup.
     """
     keep = list(keep or [])
-    per_doc = docs.select(*keep, "filename", "content",
-                          md5_hash_vector(F.col("filename"), dim, single=True).alias("filename_embedding"))
+    made = embedder() if embedder else None
+    if made is not None:
+        dim = made.dimension
+        origin = provenance(made)
+    else:
+        origin = [F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(dim).alias("dimension")]
+
+    def vector(text: Column) -> Column:
+        return embed_column(text, embedder, dim) if embedder else md5_hash_vector(text, dim, single=True)
+
+    per_doc = docs.select(*keep, "filename", "content", vector(F.col("filename")).alias("filename_embedding"))
     chunks = chunk_documents(per_doc, cfg, keep=[*keep, "filename_embedding"])
     combined = combined_text(F.col("filename"), F.col("content"), include_filename)
     return chunks.select(
         *keep, "filename", "chunk_index", "chunk_id", "content",
-        md5_hash_vector(F.col("content"), dim, single=True).alias("content_embedding"),
+        vector(F.col("content")).alias("content_embedding"),
         "filename_embedding",
-        md5_hash_vector(combined, dim, single=True).alias("combined_embedding"),
+        vector(combined).alias("combined_embedding"),
         F.create_map().cast("map<string,string>").alias("metadata"),
-        F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(dim).alias("dimension"),
+        *origin,
         bucket_of("filename").alias("bucket"),
     )
 
 
+def index_parts(index: DataFrame, dim: int, fields=VECTOR_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """(rows to store, quarantined rows with ``reason`` and ``detail``): every vector must keep the contract."""
+    good, bad = index, None
+    for field in fields:
+        good, out = split_by_contract(good, field, dim)
+        bad = out if bad is None else bad.unionByName(out)
+    return good, bad
+
+
 def cluster_by_bucket(df: DataFrame, files_per_bucket: int = 1) -> DataFrame:
     """Rows of one bucket go to ``files_per_bucket`` tasks (one file each), so a
     bucketed write produces buckets × files_per_bucket files instead of

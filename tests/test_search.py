@@ -169,3 +169,45 @@ def test_search_on_stored_index_vectors_matches_text_path(spark):
         same = sum(a[x][0] == b[x][0] for x in a)
         assert same >= 0.95 * len(a), strategy
     idx.unpersist()
+
+
+def test_a_users_embedder_builds_and_searches_the_index(spark, tmp_path):
+    """Two embedders give different, checked rankings; a text that fails loses its own row only."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from corpusflow.operators.embedding import CallableProvider
+    from corpusflow.operators.maintenance import index_parts, index_rows, write_index
+    from corpusflow.operators.search import search
+
+    def letters(alphabet):
+        def fn(text):
+            if "poison" in text:
+                raise ValueError("poison")
+            return [1.0 + text.count(c) for c in alphabet]
+
+        return fn
+
+    docs = spark.createDataFrame([("a.txt", "aaa bb"), ("b.txt", "b bbb a"), ("c.txt", "ccc xx"), ("p.txt", "poison")], "filename string, content string")
+    queries = spark.createDataFrame([(1, "aa"), (2, "bbbb"), (3, "x")], "query_id long, text string")
+    for alphabet in ("abc", "xyc"):
+        fn = letters(alphabet)
+        embedder = lambda fn=fn: CallableProvider(fn, 3, name="letters", model=alphabet)
+        good, bad = index_parts(index_rows(docs, embedder=embedder), 3)
+        assert [r["filename"] for r in bad.select("filename").distinct().collect()] == ["p.txt"]
+        path = str(tmp_path / alphabet)
+        write_index(good, path)
+        index = spark.read.parquet(path)
+        assert {(r["provider"], r["model"], r["dimension"]) for r in index.collect()} == {("letters", alphabet, 3)}
+        found = search(index, queries, strategy="content_only", k=3, embedder=embedder, payload=("filename", "metadata")).collect()
+
+        def cos(a, b):
+            a, b = np.array(fn(a)), np.array(fn(b))
+            return round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)) + 1, 6)
+
+        for q, text in [(1, "aa"), (2, "bbbb"), (3, "x")]:
+            want = {f: cos(text, t) for f, t in [("a.txt", "aaa bb"), ("b.txt", "b bbb a"), ("c.txt", "ccc xx")]}
+            got = {r["filename"]: r["score"] for r in found if r["query_id"] == q}
+            assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 2e-6 for f in want)
+            ranked = [r["score"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])]
+            assert ranked == sorted(ranked, reverse=True)
