@@ -54,14 +54,24 @@ def merge_topk(best: pd.DataFrame | None, qids: np.ndarray, scores: np.ndarray,
                keys: np.ndarray, payload: dict, *, k: int, key: str, qname: str) -> pd.DataFrame | None:
     """Fold a (queries × rows) score matrix into the running per-query top-k.
 
-    Candidates are every cell scoring at least the row-wise k-th best valid score, so
-    ties at the boundary survive and the final order (score desc, key asc) is exact.
+    Candidates are the k best valid cells of each row; of those that tie with the k-th, the
+    ones with the lowest keys, so the final order (score desc, key asc) is exact and at
+    most k cells of a row become candidates.
     """
     n = scores.shape[1]
     if n > k:
         masked = np.where(valid, scores, -np.inf)
         kth = -np.partition(-masked, k - 1, axis=1)[:, k - 1]
         valid = valid & (masked >= kth[:, None])
+        tied = np.nonzero(valid.sum(axis=1) > k)[0]
+        if len(tied):
+            by_key = np.argsort(keys, kind="stable")
+            part = masked[tied][:, by_key]
+            above, equal = part > kth[tied, None], part == kth[tied, None]
+            room = k - above.sum(axis=1)
+            kept = np.zeros_like(above)
+            kept[:, by_key] = above | (equal & (np.cumsum(equal, axis=1) <= room[:, None]))
+            valid[tied] &= kept
     qi, ci = np.nonzero(valid)
     if len(qi) == 0:
         return best
@@ -85,9 +95,10 @@ def _local_topk(qids: np.ndarray, qmat: np.ndarray, batches: Iterator[pd.DataFra
         if len(pdf) == 0:
             continue
         if kind == "dense":
-            pdf = pdf[pdf[vec].map(len) == dim]
-            if len(pdf) == 0:
-                continue
+            odd = int((pdf[vec].map(len) != dim).sum())
+            if odd:
+                raise ValueError(f"{odd} corpus vectors of a batch do not have dimension {dim}; "
+                                 "separate them first (embedding.split_by_contract)")
         cmat = _to_matrix(pdf[vec].to_numpy(), kind, dim)
         keys = pdf[key].to_numpy()
         pay = {p: pdf[p].to_numpy() for p in payload}

@@ -30,7 +30,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("CORPUSFLOW_DRIVER_MEMORY", "16g"))
+    if master and master.startswith("local"):  # on a cluster spark-submit sizes the driver
+        builder = builder.config("spark.driver.memory", os.environ.get("CORPUSFLOW_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)

@@ -211,3 +211,26 @@ def test_a_users_embedder_builds_and_searches_the_index(spark, tmp_path):
             assert got.keys() == want.keys() and all(abs(got[f] - want[f]) < 2e-6 for f in want)
             ranked = [r["score"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])]
             assert ranked == sorted(ranked, reverse=True)
+
+
+def test_ties_give_k_candidates_and_odd_vectors_fail(spark):
+    import numpy as np
+    import pytest
+
+    from corpusflow.operators.vector_search import knn_topk, merge_topk
+
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        scores = rng.integers(0, 3, (5, 40)).astype(float)
+        valid = rng.random((5, 40)) < 0.8
+        keys = rng.permutation(40)
+        got = merge_topk(None, np.arange(5), scores, valid, keys, {}, k=4, key="c", qname="q")
+        want = [(q, *x) for q in range(5) for x in sorted((-scores[q, i], keys[i]) for i in range(40) if valid[q, i])[:4]]
+        assert [(a, -b, c) for a, b, c in got[["q", "score", "c"]].itertuples(index=False)] == [(q, s, k) for q, s, k in want]
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(500)], "c long, v array<double>")
+    queries = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(300)], "q long, v array<double>")
+    hits = knn_topk(same, queries, corpus_key="c", corpus_vec="v", query_key="q", query_vec="v", k=3).collect()
+    assert len(hits) == 900 and {r["c"] for r in hits} == {0, 1, 2}
+    odd = same.union(spark.createDataFrame([(999, [1.0])], "c long, v array<double>"))
+    with pytest.raises(Exception, match="do not have dimension 2"):
+        knn_topk(odd, queries, corpus_key="c", corpus_vec="v", query_key="q", query_vec="v", k=3).collect()
