@@ -88,10 +88,19 @@ def _merge_batch(spark: SparkSession, batch: DataFrame, index_path: str, filenam
     _delete_path(spark, staging)
 
 
+def latest_in_batch(docs: DataFrame, version: str, filename: str = "filename") -> DataFrame:
+    """One row per file: that with the greatest version (of equal ones, the greatest row)."""
+    rest = [c for c in docs.columns if c not in (version, filename)]
+    newest = docs.groupBy(filename).agg(F.max(F.struct(version, *rest)).alias("_newest"))
+    return newest.select(*[F.col(filename) if c == filename else F.col(f"_newest.{c}").alias(c) for c in docs.columns])
+
+
 def run_stream_ingest(spark: SparkSession, incoming: str, schema, index_path: str, checkpoint: str,
-                      cfg: ChunkConfig = ChunkConfig(), files_per_trigger: int = 1) -> dict:
+                      cfg: ChunkConfig = ChunkConfig(), files_per_trigger: int = 1, version: str = "doc_id") -> dict:
     """New document files → chunks → upsert into the index, one micro-batch at a time.
 
+    Of several versions of a file in one micro-batch the one with the greatest ``version`` is stored.
+
     The chunk transform is the batch one, applied to each micro-batch inside
     ``foreachBatch`` after spreading a batch that arrives in fewer splits than
     there are task slots (a batch of one file would otherwise be one task).
@@ -100,7 +109,7 @@ def run_stream_ingest(spark: SparkSession, incoming: str, schema, index_path: st
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(incoming)
 
     def upsert(docs: DataFrame, _batch_id: int) -> None:
-        chunks = chunk_documents(balanced(docs), cfg, keep=["doc_id"])
+        chunks = chunk_documents(latest_in_batch(balanced(docs), version), cfg, keep=["doc_id"])
         replace_by_filename(chunks, index_path)
 
     q = (stream.writeStream.foreachBatch(upsert)

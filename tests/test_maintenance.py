@@ -74,3 +74,15 @@ def test_stream_ingest_progress(spark):
                                os.path.join(root, "ck"), ChunkConfig(4, 1))
     assert totals["input_rows"] == 6 and totals["batches"] >= 1
     assert spark.read.parquet(os.path.join(root, "idx")).select("filename").distinct().count() == 6
+
+
+def test_two_versions_in_one_micro_batch(spark, tmp_path):
+    from corpusflow.streaming.ingest import run_stream_ingest
+
+    schema = "doc_id long, filename string, content string"
+    spark.createDataFrame([(1, "a.txt", "old words"), (3, "a.txt", "new words"), (2, "b.txt", "other"), (2, "a.txt", "between")],
+                          schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    index, ckpt = str(tmp_path / "index"), str(tmp_path / "ckpt")
+    run_stream_ingest(spark, str(tmp_path / "in"), schema, index, ckpt)
+    assert {(r["filename"], r["content"]) for r in spark.read.parquet(index).collect()} == {("a.txt", "new words"), ("b.txt", "other")}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
