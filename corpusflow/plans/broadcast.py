@@ -9,6 +9,8 @@ corpus is scanned once per block. No block ever exceeds ``max_bytes``.
 from __future__ import annotations
 
 import math
+import os
+import uuid
 from dataclasses import dataclass
 from typing import Iterator
 
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.session import ensure_checkpoint_dir
+
 
 class BroadcastTooLarge(RuntimeError):
     pass
@@ -56,16 +60,26 @@ def size_of(df: DataFrame, cols: list[str]) -> tuple[int, int]:
 def blocks(df: DataFrame, key: str, cols: list[str], max_bytes: int) -> Iterator[Block]:
     """Yield the rows of ``df`` as driver-side pandas blocks of at most ``max_bytes``.
 
-    The size is measured first. Rows are assigned to blocks by a hash of ``key`` and
-    of their place in the scan (no global sort, no single task), so rows that share a key
-    separate too; a block that still comes out too large is split again.
+    The size is measured first. If one block does not hold the rows, they are assigned to
+    blocks by a hash of ``key`` and of their place in the scan (no global sort, no single
+    task), so rows that share a key separate too; a block that still comes out too large is
+    split again. The rows are written once with their places, and every block is read from
+    there: after a shuffle the order of rows, and so their places, may differ from job to job.
     """
     n, total = size_of(df, cols)
     if n == 0:
         yield Block(0, 1, pd.DataFrame({c: [] for c in cols}))
         return
-    yield from _split(df.withColumn("_cf_place", F.monotonically_increasing_id()), key, cols, max_bytes,
-                      max(1, math.ceil(total / max_bytes)), salt=0)
+    n_blocks = max(1, math.ceil(total / max_bytes))
+    yield from _split(_placed(df, key, cols) if n_blocks > 1 else df, key, cols, max_bytes, n_blocks, salt=0)
+
+
+def _placed(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """The rows with their places in ``_cf_place``, frozen as Parquet in the shared folder."""
+    rows = df.select(*dict.fromkeys([key, *cols])).withColumn("_cf_place", F.monotonically_increasing_id())
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "corpusflow-blocks", uuid.uuid4().hex)
+    rows.write.parquet(path)
+    return df.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _split(df, key, cols, max_bytes, n_blocks, salt) -> Iterator[Block]:
