@@ -62,3 +62,42 @@ def test_edges(edges, empty):
     check(EDGES, mix(edges).collect(), 64 << 10)
     assert mixed(edges).count() == len(EDGES)
     assert mixed(empty).count() == 0
+
+
+def test_equal_shares_stay_within_a_block_on_long_inputs(frame):
+    docs = frame([(i, "123456789", "abc"[i % 3]) for i in range(3000)])  # a document fills a block
+    found = sorted(mix(docs, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, block_bytes=10).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in found] == list(range(3000))
+    given = dict.fromkeys("abc", 0)
+    for t, r in enumerate(found, 1):
+        given[r["source"]] += 1
+        assert all(abs(3 * n - t) < 3 for n in given.values()), (t, given)
+
+
+def test_many_small_sources_leave_a_large_one_its_weight(frame):
+    docs = frame([(i, "x" * 99, f"s{i}") for i in range(2000)] + [(2000 + i, "x" * 999, "hot") for i in range(100)])
+    found = mix(docs, block_bytes=1000).collect()
+    assert len(found) == 2100
+    share = 100_000 ** 0.5 / (100_000 ** 0.5 + 2000 * 100 ** 0.5)
+    hot = [r for r in found if r["source"] == "hot"]
+    assert all(r["weight"] == pytest.approx(share, rel=1e-9) for r in hot)
+    for r in hot:
+        assert int(r["block"] / share) <= r["slot"] < (r["block"] + 1) / share + 1
+
+
+def test_weights_that_are_missing_or_zero():
+    from corpusflow.llm.mixing import exact_weights
+
+    assert exact_weights({"a": 0.2, "b": 0.5, "c": 0.3}) == {"a": 2, "b": 5, "c": 3}
+    assert exact_weights({"a": 1, "b": 0, "z": 0}, ["a", "b", None]) == {"a": 1000, "b": 1, None: 1}
+    for bad in ({"a": -1.0, "b": 2}, {"a": 0}, {"a": float("nan")}):
+        with pytest.raises(ValueError):
+            exact_weights(bad)
+
+
+def test_schedule_is_written_in_parts(spark):
+    from corpusflow.llm.mixing import pfair_slots, schedule
+
+    found = schedule(spark, [1, 1, 3], [4, 30, 60], 5, rows=7)
+    assert sorted(map(tuple, found.collect())) == sorted(pfair_slots([1, 1, 3], [4, 30, 60], 5))
+    assert found.count() == 94
