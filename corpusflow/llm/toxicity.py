@@ -14,6 +14,10 @@ enough, by hash of the id). Candidate features are counted in Spark; the driver
 FEATURES_PER_CATEGORY most telling of them and the sample's rows in those terms. Prediction streams over
 whole texts without a shuffle.
 
+The sample's class ratio is not that of the labels. The chain works on the sample's terms inside, and its
+probabilities are then reckoned back by the sampling rates of toxic and clean rows: for the last category this
+is its intercept less the log of their ratio. So THRESHOLD means the same however many labels there are.
+
 Defined results: null and empty texts have no features, so the intercepts decide; label rows with a null id or label
 are not used, and an id with several labels is toxic if one says so; repeated rows get a row each;
 without labels of both kinds every probability is 0; an empty table gives no rows.
@@ -99,6 +103,8 @@ class Chain:
     weights: list[np.ndarray] = field(default_factory=list)
     earlier: list[np.ndarray] = field(default_factory=list)
     intercepts: list[float] = field(default_factory=list)
+    #: Sampling rate of rows with the last category over that of rows without; the others lie within the last.
+    sampling: float = 1.0
 
     def predict(self, rows: list[np.ndarray]) -> np.ndarray:
         """Probabilities (rows by categories) of rows given as places of their features."""
@@ -110,7 +116,7 @@ class Chain:
         for c, (w, e, b) in enumerate(zip(self.weights, self.earlier, self.intercepts)):
             z = np.bincount(owner, w[flat], len(rows)) + out[:, :c] @ e + b
             out[:, c] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        return out
+        return np.minimum(out / (out[:, -1:] + (1 - out[:, -1:]) * self.sampling), 1.0)
 
 
 def fit_linear(flat: np.ndarray, owner: np.ndarray, more: np.ndarray, gold: np.ndarray, use: np.ndarray, features: int,
@@ -154,12 +160,18 @@ def fit_chain(categories: list[str], index: dict[bytes, int], rows: list[np.ndar
     return chain
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled texts with their categories: ``text`` and a column per category of CHAIN."""
+def known_labels(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """A row per labelled id of ``docs``: ``_cf_id``, ``_cf_toxic`` and ``_cf_hash``."""
     known = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_cf_id"))
              .agg(F.max(F.col(label_col).cast("int")).alias("_cf_toxic")).withColumn("_cf_hash", F.xxhash64("_cf_id")))
     # Labels of documents that are in the table; an id's row is one text even if it repeats.
-    known = known.join(docs.select(F.col(id_col).alias("_cf_id")).distinct(), "_cf_id", "left_semi")
+    return written(known.join(docs.select(F.col(id_col).alias("_cf_id")).distinct(), "_cf_id", "left_semi"), "known")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int,
+                    known: DataFrame | None = None) -> DataFrame:
+    """At most ``rows`` labelled texts with their categories: ``text`` and a column per category of CHAIN."""
+    known = known_labels(docs, labels, id_col, label_col) if known is None else known
     toxic = known.filter("_cf_toxic > 0").orderBy("_cf_hash", "_cf_id").limit(rows // 2)
     clean = known.filter("_cf_toxic <= 0").orderBy("_cf_hash", "_cf_id").limit(rows - rows // 2)
     chosen = F.broadcast(written(toxic.unionByName(clean), "labelled"))  # at most ``rows`` ids
@@ -173,7 +185,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           rows: int = LABELLED_ROWS) -> Chain:
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col, rows)
+    known = known_labels(docs, labels, id_col, label_col)
+    sample = labelled_sample(docs, labels, id_col, text_col, label_col, rows, known)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,6 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in CHAIN]).first()
     if not sizes["n"] or not sizes["toxic"] or sizes["toxic"] == sizes["n"]:
         return Chain(CHAIN)
+    every = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("_cf_toxic") > 0).cast("long")).alias("toxic")).first()
 
     counts = (sample.select(*CHAIN, F.explode("features").alias("feature")).groupBy("feature")
               .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in CHAIN]).filter(F.col("n") >= MIN_ROWS))
@@ -211,8 +225,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int32()))], names=["id", *CHAIN, "places"])
 
     placed = sample.mapInArrow(places, f"id {kind}, {fields}, places array<int>").orderBy(F.xxhash64("id")).collect()
-    return fit_chain(CHAIN, index, [np.array(r["places"], np.int64) for r in placed],
-                     np.array([[r[c] for c in CHAIN] for r in placed]))
+    chain = fit_chain(CHAIN, index, [np.array(r["places"], np.int64) for r in placed],
+                      np.array([[r[c] for c in CHAIN] for r in placed]))
+    chain.sampling = (sizes["toxic"] / every["toxic"]) / ((sizes["n"] - sizes["toxic"]) / (every["n"] - every["toxic"]))
+    return chain
 
 
 def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -75,3 +75,11 @@ def test_the_sample_is_bounded(spark, frame):
     rows, labels = corpus(100, 2)
     sample = tx.labelled_sample(frame(rows + rows), spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id", "text", "toxic", 20)
     assert sample.count() <= 20
+
+
+@pytest.mark.parametrize("rows", [100, 8000])
+def test_probabilities_do_not_depend_on_the_sample_bound(spark, frame, rows):
+    docs = frame([(i, "words that tell nothing", "s") for i in range(1000)])
+    known = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "doc_id long, toxic int")
+    found = tx.predict(docs, tx.train(docs, known, rows=rows)).agg(F.avg("p_toxic"), F.max("rejected")).first()
+    assert found[0] == pytest.approx(0.1, abs=0.02) and not found[1]
