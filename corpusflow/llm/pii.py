@@ -4,10 +4,12 @@ Rules find e-mail addresses, IP addresses, card and phone numbers as the scan's
 words them; their spans always stay. A linear-chain conditional random field reads the
 text as tokens (runs without white space), each with features of its word shape and of its
 neighbours', and labels them; Viterbi decodes in numpy batches. Its spans that touch no rule span are
-added: numbers that the rules drop or miss (no plus sign, other separators, "name at host").
+added: numbers that the rules drop or miss (no plus sign, other separators).
 
 The CRF is trained from a small labelled table: the examples below, and the tokens of at
-most LABELLED_ROWS documents (those with digits or "@", in hash order) labelled by the rules.
+most LABELLED_ROWS documents (those with digits or "@", in hash order) labelled by the rules: of each
+the first WINDOWS_PER_DOCUMENT windows around such tokens, a window of over WINDOW_TOKENS tokens being cut
+between spans into several.
 
 Decoding is exact but skips what cannot matter: where a token's best label is O by more
 than any change of the transitions around it could make up, the best path goes through O, so the
@@ -37,6 +39,9 @@ KINDS = ["email", "ip", "card", "phone"]
 LABELLED_ROWS = 1000
 #: Tokens on each side of a span that become part of its training sequence.
 CONTEXT = 4
+#: Training sequences of a document, and tokens of a sequence.
+WINDOWS_PER_DOCUMENT = 20
+WINDOW_TOKENS = 60
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -308,8 +313,11 @@ def example_sequences() -> list[tuple[list[str], list[int]]]:
     return out
 
 
-def window_sequences(text: str) -> list[tuple[list[str], list[int]]]:
-    """Training sequences of a text: runs of tokens with digits or "@" and CONTEXT plain ones around them."""
+def window_sequences(text: str, longest: int = WINDOW_TOKENS) -> list[tuple[list[str], list[int]]]:
+    """Training sequences of a text: runs of tokens with digits or "@" and CONTEXT plain ones around them.
+
+    Runs of over ``longest`` tokens are cut, before a token that goes on with no span if there is one.
+    """
     places, labels = labelled(text, rule_spans(text))
     tokens = [text[a:b] for a, b in places]
     marked = [i for i, t in enumerate(tokens) if _MARKED.fullmatch(t)]
@@ -318,17 +326,24 @@ def window_sequences(text: str) -> list[tuple[list[str], list[int]]]:
         j = i
         while j + 1 < len(marked) and marked[j + 1] - marked[j] <= 2 * CONTEXT:
             j += 1
-        lo, hi = max(0, marked[i] - CONTEXT), marked[j] + CONTEXT + 1
-        out.append((tokens[lo:hi], labels[lo:hi]))
+        lo, hi = max(0, marked[i] - CONTEXT), min(marked[j] + CONTEXT + 1, len(tokens))
+        while lo < hi:
+            cut = min(lo + longest, hi)
+            if cut < hi:  # labels of tokens inside a span are even
+                cut = next((k for k in range(cut, lo, -1) if labels[k] == 0 or labels[k] % 2), cut)
+            out.append((tokens[lo:cut], labels[lo:cut]))
+            lo = cut
         i = j + 1
-    return [s for s in out if len(s[0]) <= 60]
+    return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS) -> Crf:
-    """The CRF from the examples and at most ``rows`` documents labelled by the rules."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABELLED_ROWS,
+          windows: int = WINDOWS_PER_DOCUMENT, longest: int = WINDOW_TOKENS) -> Crf:
+    """The CRF from the examples and at most ``rows`` documents labelled by the rules, with at most
+    ``windows`` sequences of ``longest`` tokens each."""
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [s for t in batch.column(0).to_pylist() for s in window_sequences(t)[:20]]
+            out = [s for t in batch.column(0).to_pylist() for s in window_sequences(t, longest)[:windows]]
             yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in out], pa.list_(pa.string())),
                                               pa.array([s[1] for s in out], pa.list_(pa.int32()))], names=["tokens", "labels"])
 
