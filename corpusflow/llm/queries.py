@@ -158,6 +158,25 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusflow.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusflow.llm.dialogues import damaged, repair_report
+
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(conversations), ids=conversations)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusflow.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -169,6 +188,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_personal_data": op9_personal_data,
     "op10_near_dedup": op10_near_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_dialogue_repair": op12_dialogue_repair,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
