@@ -21,7 +21,8 @@ from corpusflow.llm.common import word_bytes
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _WORDS: dict[bytes, int] = {}
-_MAX_WORDS = 1_000_000
+#: Words whose hashes a worker remembers: some 30 MB. A task forgets them at its end.
+_MAX_WORDS = 150_000
 
 
 def _key(number: int) -> np.uint64:
@@ -37,10 +38,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def forget() -> None:
+    _WORDS.clear()
+
+
 def hashes_of(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words; the worker remembers those of a bounded number of words."""
     if len(_WORDS) > _MAX_WORDS:
-        _WORDS.clear()
+        forget()
     out = list(map(_WORDS.get, words))
     if None in out:
         for i, h in enumerate(out):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import written
+from corpusflow.llm.common import bounded_batches, written
 
 SEGMENT_ROWS = 512
 #: Costs of the edits, and of a truncated row that stays.
@@ -361,6 +361,7 @@ def repair(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
            ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(reports, turns). Reports: a row per conversation of ``conversations`` and of ``ids`` with ``gaps, blank, duplicate,
     truncated, illegal, cost, audit``. Turns: the repaired conversations (``id, position, role, text, edit``)."""
+    bounded_batches(conversations.sparkSession)
     rows = _distinct_rows(conversations, conv, turn, role, text)
     named = rows.select("id") if ids is None else ids.select(F.col(conv).alias("id")).unionByName(rows.select("id"))
     reports = written(_reports(named.distinct(), _segments(_classes(rows))), "reports")

@@ -9,6 +9,7 @@ are one vertex of the graph, so copies cost one row each and no pairs.
    (1 - 0.8**5)**32 < 3e-6, nearer pairs far less often.
 2. Each key elects a random member as its pivot. A vertex is verified against
    the few pivots that it shares most keys with, which joins most of each group.
+   Numbers of shingles rule out pairs of too unlike lengths before any text is fetched.
 3. What then still lies in different components under one key is verified without exception: pairs of
    small keys one by one, large keys in blocks: vertices outside the key's largest
    component, some hundred at a time, against some hundred members at a time, by a
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import bagminhash as bag
-from corpusflow.llm.common import text_key, text_of, word_bytes, written
+from corpusflow.llm.common import bounded_batches, text_key, text_of, word_bytes, written
 from corpusflow.llm.components import components
 
 SHINGLE = 5
@@ -47,6 +48,8 @@ MAX_BROADCAST_IDS = 1_000_000
 #: Shingles that are hashed into signatures together in a task.
 _BATCH_WORDS = 300_000
 _COLUMNS = 4096
+#: Multisets that a verifying task remembers.
+HELD_BYTES = 16 << 20
 
 
 def near(common: int, a: int, b: int) -> bool:
@@ -55,35 +58,59 @@ def near(common: int, a: int, b: int) -> bool:
 
 
 def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, text key, vertex (hash of the words; null without words), band keys."""
+    """Per row: id, text key, vertex and check (halves of a 128-bit hash of the words; null without words),
+    number of shingles, band keys."""
     import xxhash
 
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def sign_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, keys, texts = batch.columns
+        start = 0
+        while start < len(texts):
+            found, vertices, checks, total, end = [], [], [], 0, start
+            while end < len(texts) and (end == start or total < _BATCH_WORDS):
+                words = word_bytes(texts[end].as_py())
+                both = xxhash.xxh3_128_intdigest(b" ".join(words))
+                vertices.append((both & (1 << 64) - 1) - (1 << 63) if words else None)
+                checks.append((both >> 64) - (1 << 63) if words else None)
+                found.append(bag.shingles(bag.hashes_of(words), SHINGLE))
+                total += len(words)
+                end += 1
+            with_words = [f for f in found if len(f)]
+            bands = iter(bag.band_keys(bag.signatures(with_words, BANDS * ROWS), BANDS).tolist() if with_words else [])
+            yield pa.RecordBatch.from_arrays(
+                [ids[start:end], keys[start:end], pa.array(vertices, pa.int64()), pa.array(checks, pa.int64()),
+                 pa.array([len(f) for f in found], pa.int64()),
+                 pa.array([next(bands) if len(f) else [] for f in found], pa.list_(pa.int64()))],
+                names=["id", "key", "vertex", "check", "shingles", "bands"])
+            start = end
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, keys, texts = batch.columns
-            start = 0
-            while start < len(texts):
-                found, vertices, total, end = [], [], 0, start
-                while end < len(texts) and (end == start or total < _BATCH_WORDS):
-                    data = texts[end].as_py()
-                    words = word_bytes(data)
-                    vertices.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63) if words else None)
-                    found.append(bag.shingles(bag.hashes_of(words), SHINGLE))
-                    total += len(words)
-                    end += 1
-                with_words = [f for f in found if len(f)]
-                bands = iter(bag.band_keys(bag.signatures(with_words, BANDS * ROWS), BANDS).tolist() if with_words else [])
-                yield pa.RecordBatch.from_arrays(
-                    [ids[start:end], keys[start:end], pa.array(vertices, pa.int64()),
-                     pa.array([next(bands) if len(f) else [] for f in found], pa.list_(pa.int64()))],
-                    names=["id", "key", "vertex", "bands"])
-                start = end
+        try:
+            for batch in batches:
+                yield from sign_batch(batch)
+        finally:
+            bag.forget()
 
     rows = docs.select(F.col(id_col).alias("_cf_id"), text_key(text_col).alias("_cf_key"),
                        text_of(text_col).cast("binary").alias("_cf_text"))
-    return rows.mapInArrow(sign, f"id {kind}, key long, vertex long, bands array<long>")
+    return rows.mapInArrow(sign, f"id {kind}, key long, vertex long, check long, shingles long, bands array<long>")
+
+
+def _told_apart(signed: DataFrame) -> DataFrame:
+    """Different words under one 64-bit vertex get vertices of their own, by the other half of their hash."""
+    met = signed.groupBy("vertex").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).filter("lo <> hi")
+    met = written(met.select(F.col("vertex").alias("_cf_met")), "collisions")
+    if met.isEmpty():
+        return signed
+    own = F.when(F.col("_cf_met").isNotNull(), F.xxhash64("vertex", "check")).otherwise(F.col("vertex"))
+    return written(signed.join(met, F.col("vertex") == F.col("_cf_met"), "left").withColumn("vertex", own).drop("_cf_met"), "signed")
+
+
+def _alike_in_size(a: str, b: str):
+    """Whether two numbers of shingles allow the threshold."""
+    return F.least(a, b) * NEAR[1] >= F.greatest(a, b) * NEAR[0]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, signed: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -100,17 +127,20 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, signed: DataFrame, verti
 
 
 class _Multisets:
-    """Shingle multisets of the last texts asked for."""
+    """Shingle multisets of the last texts asked for, of HELD_BYTES together."""
 
-    def __init__(self, keep: int = 64):
-        self.keep, self.held = keep, {}
+    def __init__(self, most: int | None = None):
+        self.most, self.size, self.held = HELD_BYTES if most is None else most, 0, {}
 
-    def __call__(self, vertex: int, text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    def __call__(self, vertex: int, text: pa.Scalar) -> tuple[np.ndarray, np.ndarray, int]:
         if vertex not in self.held:
-            if len(self.held) >= self.keep:
-                self.held.pop(next(iter(self.held)))
-            found = bag.shingles(bag.word_hashes(text), SHINGLE)
-            self.held[vertex] = (*np.unique(found, return_counts=True), len(found))
+            shingles = bag.shingles(bag.word_hashes(text.as_py()), SHINGLE)
+            found = (*np.unique(shingles, return_counts=True), len(shingles))
+            self.size += found[0].nbytes + found[1].nbytes
+            while self.held and self.size > self.most:
+                old = self.held.pop(next(iter(self.held)))
+                self.size -= old[0].nbytes + old[1].nbytes
+            self.held[vertex] = found
         return self.held[vertex]
 
 
@@ -118,13 +148,16 @@ def _verified_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that are near. The texts of ``a`` come sorted, so each is read once."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multiset = _Multisets()
-        for batch in batches:
-            out = []
-            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = multiset(a, text_a), multiset(b, text_b)
-                if NEAR[1] * min(x[2], y[2]) >= NEAR[0] * max(x[2], y[2]) and near(bag.overlap(x, y), x[2], y[2]):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        try:
+            for batch in batches:
+                kept = []
+                for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                    x, y = multiset(a, text_a), multiset(b, text_b)
+                    kept.append(near(bag.overlap(x, y), x[2], y[2]))
+                mask = pa.array(kept, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
+        finally:
+            bag.forget()
 
     left = texts.select(F.col("vertex").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("vertex").alias("b"), F.col("text").alias("text_b"))
@@ -205,16 +238,17 @@ def _verified_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``class_id``, the smallest id of its class, and ``class_size``, its documents.
     ``text_key``, ``vertex`` and ``class_key`` (null without words) come along."""
-    signed = written(_signed(docs, id_col, text_col), "signed")
-    keys = signed.filter(F.col("vertex").isNotNull()).select("vertex", F.explode("bands").alias("key")).distinct()
+    bounded_batches(docs.sparkSession)
+    signed = _told_apart(written(_signed(docs, id_col, text_col), "signed"))
+    keys = signed.filter(F.col("vertex").isNotNull()).select("vertex", "shingles", F.explode("bands").alias("key")).distinct()
     # The member with the smallest hash under a key is its pivot: another one under each key.
-    pivots = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "vertex"), "vertex")).alias("p"))
-              .filter("n > 1").select("key", "n", F.col("p.vertex").alias("pivot")))
+    pivots = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "vertex"), "vertex", "shingles")).alias("p"))
+              .filter("n > 1").select("key", "n", F.col("p.vertex").alias("pivot"), F.col("p.shingles").alias("pivot_shingles")))
     members = written(keys.join(pivots, "key"), "members")
     texts = _texts(docs, id_col, text_col, signed, members.select("vertex").distinct())
 
     best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")  # at most BANDS rows each
-    first = (members.filter("vertex <> pivot").groupBy(F.col("vertex").alias("a"), F.col("pivot").alias("b"))
+    first = (members.filter("vertex <> pivot").filter(_alike_in_size("shingles", "pivot_shingles")).groupBy(F.col("vertex").alias("a"), F.col("pivot").alias("b"))
              .agg(F.count(F.lit(1)).alias("shared")).withColumn("_cf_rank", F.row_number().over(best))
              .filter(F.col("_cf_rank") <= PIVOTS).select("a", "b"))
     tried = written(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "tried")
@@ -222,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = components(links)
 
     named = (members.join(names.withColumnRenamed("node", "vertex"), "vertex", "left")
-             .select("key", "n", "vertex", F.coalesce("component", "vertex").alias("component")))
+             .select("key", "n", "vertex", "shingles", F.coalesce("component", "vertex").alias("component")))
     spread = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(
         F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "component")).alias("top"))
     open_keys = spread.filter("parts > 1").select("key", F.col("top.component").alias("main"))
@@ -230,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small, large = rest.filter(F.col("n") <= SMALL_KEY), rest.filter(F.col("n") > SMALL_KEY)
     x, y = small.alias("x"), small.alias("y")
     pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.vertex") > F.col("y.vertex"))
-                    & (F.col("x.component") != F.col("y.component")))
+                    & (F.col("x.component") != F.col("y.component")) & _alike_in_size("x.shingles", "y.shingles"))
              .select(F.col("x.vertex").alias("a"), F.col("y.vertex").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     more = written(_verified_pairs(pairs, texts).unionByName(_verified_blocks(large, texts)), "near")
 

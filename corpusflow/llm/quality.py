@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import text_of, written
+from corpusflow.llm.common import bounded_batches, text_of, written
 
 #: Fixed values of the base rules.
 MIN_WORDS, REPEAT_WORDS, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -127,6 +127,7 @@ def counts_of(data: bytes) -> tuple[int, int, int, int, int, int]:
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                 source_col: str = "source") -> DataFrame:
     """``id, lang, source`` and the counts of every text."""
+    bounded_batches(docs.sparkSession)
     names = ("id", "lang", "source")
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip((id_col, lang_col, source_col), names)], text_of(text_col).cast("binary").alias("text"))
     kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import text_key, text_of, word_bytes, written
+from corpusflow.llm.common import bounded_batches, text_key, text_of, word_bytes, written
 
 LABELLED_ROWS = 8000
 FEATURES_PER_CATEGORY = 1000
@@ -75,7 +75,7 @@ def features_of(data: bytes | None) -> set[bytes]:
 class Places:
     """Places in a vocabulary of the features of a text. What a word brings is remembered for a bounded number of words."""
 
-    def __init__(self, index: dict[bytes, int], keep: int = 500_000):
+    def __init__(self, index: dict[bytes, int], keep: int = 100_000):
         self.index, self.keep, self.words = index, keep, {}
         self.wanted = {f[2:] if f.startswith(b"2*") else f for f in index}
 
@@ -185,12 +185,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           rows: int = LABELLED_ROWS) -> Chain:
+    bounded_batches(docs.sparkSession)
     known = known_labels(docs, labels, id_col, label_col)
     sample = labelled_sample(docs, labels, id_col, text_col, label_col, rows, known)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(features_of(t)) for t in batch.column(1).to_pylist()]
+            found = [sorted(features_of(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found, pa.list_(pa.binary()))],
                                              names=["id", *CHAIN, "features"])
 
@@ -233,6 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: a probability per category, and ``rejected`` if the last reaches ``threshold``."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(chain)  # a weight per chosen feature and category
     kind = docs.schema[id_col].dataType.simpleString()
     names = [f"p_{c}" for c in chain.categories]
@@ -240,7 +242,7 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places(model.value.index)
         for batch in batches:
-            rows = [places(t) for t in batch.column(2).to_pylist()]
+            rows = [places(t.as_py()) for t in batch.column(2)]
             found = model.value.predict(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, c]) for c in range(len(names)))],
                                              names=["id", "text_key", *names])

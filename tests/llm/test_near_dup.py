@@ -119,3 +119,19 @@ def test_edges(edges, empty):
     ids = Counter(r["doc_id"] for r in kept.collect())
     assert ids == Counter({1: 1, 2: 1, 3: 1, 4: 1, None: 2, 5: 1, 6: 1, 8: 1, 9: 1})
     assert nd.keep_one(empty).count() == 0
+
+
+def test_words_that_share_a_vertex_are_told_apart(spark):
+    rows = [(1, 10, 5, 100), (2, 10, 5, 100), (3, 10, 6, 100), (4, 11, 5, 100), (5, None, None, 0)]
+    found = {r["id"]: r["vertex"] for r in nd._told_apart(spark.createDataFrame(rows, "id long, vertex long, check long, shingles long")).collect()}
+    assert found[1] == found[2] and found[1] != found[3] and found[4] == 11 and found[5] is None and len(found) == 5
+
+
+def test_multisets_hold_few_bytes():
+    import pyarrow as pa
+
+    held = nd._Multisets(5000)
+    for k in range(50):
+        n = len(held(k, pa.scalar(prose(k, 150).encode()))[0])
+        assert n == 146 and held.size == sum(v[0].nbytes + v[1].nbytes for v in held.held.values()) <= 5000
+    assert held(7, pa.scalar(prose(7, 2000).encode()))[2] == 1996 and len(held.held) == 1
