@@ -13,13 +13,15 @@ The schedule has one row per existing block, and each block depends on those bef
 the driver computes it in order, with one block per source and a bounded part of the rows in
 memory, and writes it to the shared folder; documents get their slots from it by a join.
 
+Sources are as many as the data hold: the driver keeps one entry for each.
+
 A document starts in the block that holds its first byte. Slots without a block (a long
 document covers several blocks; a source is used up) stay vacant, and
 the remaining sources keep their rates to one another. Nothing is dropped or repeated.
 
 Defined results: a null text has size 1, like an empty one (UTF-8 bytes plus 1); a null source is a
 source of its own; sources without a positive given weight get 1/PERIOD of the given sum each; repeated
-rows are placed one by one; an empty table gives no rows.
+rows are placed one by one (rows that are alike in all columns are interchangeable); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,18 +33,18 @@ from fractions import Fraction
 from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.common import shared_path, text_key, text_of
+from corpusflow.llm.common import shared_path, text_key, text_of, written
 from corpusflow.llm.prefix_sums import with_prefix
 
 BLOCK_BYTES = 64 << 10
 #: Units of rounded weights (``period``), and what a source without a weight is reckoned by.
 PERIOD = 1000
-#: Sources are configuration, not data: more of them than this is an error.
-MAX_SOURCES = 10_000
+#: Copies of a row that one task writes out.
+COPIES = 1024
 
 
 def exact_weights(shares: dict, more: list = ()) -> dict:
@@ -114,13 +116,9 @@ def schedule(spark: SparkSession, units: list[int], counts: list[int], total: in
     return spark.read.schema(kind).parquet(path)
 
 
-def source_bytes(docs: DataFrame, source_col: str, text_col: str) -> dict:
-    """Bytes of each source."""
-    sizes = (docs.groupBy(F.col(source_col).alias("s"))
-             .agg(F.sum(F.octet_length(text_of(text_col)) + F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect())
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return {r["s"]: int(r["n"]) for r in sizes}
+def source_bytes(sized: DataFrame) -> dict:
+    """Bytes of each source, from rows of ``_cf_source`` and ``_cf_size``."""
+    return {r["s"]: int(r["n"]) for r in sized.groupBy(F.col("_cf_source").alias("s")).agg(F.sum("_cf_size").alias("n")).collect()}
 
 
 def mix(docs: DataFrame, shares: dict | None = None, id_col: str = "doc_id", source_col: str = "source",
@@ -130,7 +128,22 @@ def mix(docs: DataFrame, shares: dict | None = None, id_col: str = "doc_id", sou
     ``shares`` maps sources to target weights; by default they are the sources' bytes to the power ``alpha``
     (1 keeps the corpus's own shares). They are kept exactly unless ``period`` asks for that many whole units.
     """
-    sizes = source_bytes(docs, source_col, text_col)
+    placed = _placed(docs, {}, shares, id_col, source_col, text_col, block_bytes, period, alpha)
+    return placed.select(
+        F.col("_cf_id").alias(id_col), F.col("_cf_key").alias("text_key"), F.col("_cf_source").alias(source_col),
+        F.col("_cf_size").alias("size"), F.col("_cf_start").alias("start_byte"), F.col("_cf_block").alias("block"),
+        F.col("_cf_slot").alias("slot"), F.col("_cf_position").alias("position"), F.col("_cf_weight").alias("weight"))
+
+
+def _placed(docs: DataFrame, more: dict[str, Column], shares: dict | None = None, id_col: str = "doc_id", source_col: str = "source",
+            text_col: str = "text", block_bytes: int = BLOCK_BYTES, period: int | None = None, alpha: float = 0.5) -> DataFrame:
+    """The places of all documents, with the columns ``more``. Texts are read once, for their sizes and keys."""
+    keys = {"_cf_id": F.col(id_col), "_cf_key": text_key(text_col), **more}
+    sized = written(docs.select(
+        *[c.alias(n) for n, c in keys.items()], F.col(source_col).alias("_cf_source"),
+        (F.octet_length(text_of(text_col)) + F.lit(1)).cast("long").alias("_cf_size"))
+        .withColumn("_cf_shuffle", F.xxhash64("_cf_id", "_cf_key")), "sizes")
+    sizes = source_bytes(sized)
     wanted = shares or {s: float(n) ** alpha for s, n in sizes.items()}
     if period:
         units = {**{s: 1 for s in sizes}, **(whole_weights(wanted, period) if wanted else {})}
@@ -144,31 +157,41 @@ def mix(docs: DataFrame, shares: dict | None = None, id_col: str = "doc_id", sou
     weights = spark.createDataFrame([(s, i, units[s] / total) for i, s in enumerate(names)], T.StructType([
         T.StructField("_cf_ws", source_type), T.StructField("_cf_wi", T.IntegerType()), T.StructField("_cf_weight", T.DoubleType())]))
 
-    sized = docs.select(
-        F.col(id_col).alias("_cf_id"), F.col(source_col).alias("_cf_source"), text_key(text_col).alias("_cf_key"),
-        (F.octet_length(text_of(text_col)) + F.lit(1)).cast("long").alias("_cf_size"))
-    sized = sized.withColumn("_cf_shuffle", F.xxhash64("_cf_id", "_cf_key"))
-    blocks = with_prefix(sized, ["_cf_source", "_cf_shuffle", "_cf_id", "_cf_key"], {"_cf_start": "_cf_size"}, group="_cf_source")
+    blocks = with_prefix(sized, ["_cf_source", "_cf_shuffle", *keys], {"_cf_start": "_cf_size"}, group="_cf_source")
     blocks = blocks.withColumn("_cf_block", F.expr(f"_cf_start div {int(block_bytes)}"))
-    # One row per source; the schedule is as long as the corpus has blocks and is joined by its size.
-    blocks = blocks.join(F.broadcast(weights), F.col("_cf_source").eqNullSafe(F.col("_cf_ws")))
+    blocks = blocks.join(weights, F.col("_cf_source").eqNullSafe(F.col("_cf_ws")))
     slots = (blocks.join(plan, (F.col("_cf_wi") == F.col("_cf_ps")) & (F.col("_cf_block") == F.col("_cf_pj")))
              .withColumn("_cf_one", F.lit(1).cast("long"))
-             .select("_cf_id", "_cf_key", "_cf_source", "_cf_size", "_cf_start", "_cf_block", "_cf_slot", "_cf_weight", "_cf_one"))
+             .select(*keys, "_cf_source", "_cf_size", "_cf_start", "_cf_block", "_cf_slot", "_cf_weight", "_cf_one"))
     # Documents of a slot are all of one source, in the order of their first bytes.
-    placed = with_prefix(slots, ["_cf_slot", "_cf_start"], {"_cf_position": "_cf_one"})
-    return placed.select(
-        F.col("_cf_id").alias(id_col), F.col("_cf_key").alias("text_key"), F.col("_cf_source").alias(source_col),
-        F.col("_cf_size").alias("size"), F.col("_cf_start").alias("start_byte"), F.col("_cf_block").alias("block"),
-        F.col("_cf_slot").alias("slot"), F.col("_cf_position").alias("position"), F.col("_cf_weight").alias("weight"))
+    return with_prefix(slots, ["_cf_slot", "_cf_start"], {"_cf_position": "_cf_one"})
+
+
+def _row_keys(docs: DataFrame) -> dict[str, Column]:
+    """Two 64-bit hashes of all columns of a row."""
+    parts = []
+    for name, kind in docs.dtypes:
+        column = F.col(f"`{name}`")
+        parts += [F.to_json(F.struct(column)) if "map<" in kind or kind == "variant" else column, column.isNull()]
+    return {"_cf_row1": F.xxhash64(F.lit(1), *parts), "_cf_row2": F.xxhash64(F.lit(2), *parts)}
 
 
 def mixed(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` in the order of the mixture: written out, file after file holds it row by row."""
-    id_col, text_col = params.get("id_col", "doc_id"), params.get("text_col", "text")
-    placed = mix(docs, **params).select(F.col(id_col).alias("_cf_mid"), F.col("text_key").alias("_cf_mkey"),
-                                        F.col("position").alias("_cf_position"))
-    # Repeated rows (same id and text) are alike, so one row carries all their positions.
-    placed = placed.groupBy("_cf_mid", "_cf_mkey").agg(F.sort_array(F.collect_list("_cf_position")).alias("_cf_positions"))
-    same = F.col(id_col).eqNullSafe(F.col("_cf_mid")) & (text_key(text_col) == F.col("_cf_mkey"))
-    return (docs.join(placed, same).orderBy(F.col("_cf_positions")[0]).select(docs.columns))
+    """``docs`` in the order of the mixture: written out, file after file holds it row by row.
+
+    Rows that are alike in all columns are one row with a number of copies, which take their places one by one:
+    one with more than COPIES copies is spread over tasks by that many.
+    """
+    keys = _row_keys(docs)
+    placed = _placed(docs, keys, **params).select(*keys, "_cf_position", "_cf_start", "_cf_size")
+    copies = placed.groupBy(*keys).agg(F.min("_cf_start").alias("_cf_first"), F.count(F.lit(1)).alias("_cf_n"))
+    # Copies follow each other in the order of their source, so their first bytes number them.
+    numbered = placed.join(copies, [*keys]).select(
+        *keys, "_cf_position", "_cf_n", F.expr(f"(_cf_start - _cf_first) div _cf_size div {COPIES}").alias("_cf_chunk"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("_cf_doc"), *[c.alias(n) for n, c in keys.items()]).dropDuplicates([*keys])
+    often = numbered.filter(F.col("_cf_n") > COPIES)
+    single = rows.join(numbered.filter(F.col("_cf_n") <= COPIES), [*keys]).select("_cf_doc", "_cf_position")
+    spread = (rows.join(often.select(*keys, "_cf_chunk").distinct(), [*keys])
+              .join(often, [*keys, "_cf_chunk"]).select("_cf_doc", "_cf_position"))
+    return single.unionByName(spread).orderBy("_cf_position").select("_cf_doc.*")

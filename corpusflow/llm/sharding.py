@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import text_of
+from corpusflow.llm.common import text_of, written
 from corpusflow.llm.prefix_sums import with_prefix
 
 
@@ -26,11 +26,11 @@ def balanced_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", t
     if shards < 1:
         raise ValueError("shards must be positive")
     leading = {f"_cf_order{i}": c for i, c in enumerate(order or [])}
-    rows = docs.select(
+    rows = written(docs.select(
         *[c.alias(n) for n, c in leading.items()],
         F.col(id_col).alias("_cf_id"),
         (F.octet_length(text_of(text_col)) + F.lit(1)).cast("long").alias("_cf_size"),
-        F.crc32(text_of(text_col).cast("binary")).alias("_cf_crc"), F.lit(1).cast("long").alias("_cf_one"))
+        F.crc32(text_of(text_col).cast("binary")).alias("_cf_crc"), F.lit(1).cast("long").alias("_cf_one")), "sizes")
     placed = with_prefix(rows, [*leading, "_cf_id", "_cf_crc", "_cf_size"], {"_cf_start": "_cf_size", "_cf_rank": "_cf_one"})
     # Middle of the document on the byte line, doubled to stay in whole numbers.
     shard = F.expr(f"cast((2 * _cf_start + _cf_size) * {int(shards)}L div (2 * _cf_start_total) as int)")

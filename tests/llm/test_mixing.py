@@ -58,6 +58,54 @@ def test_mixture(spark, frame):
     assert [r["doc_id"] for r in out.collect()] == sorted(position, key=position.get)
 
 
+def brute_positions(rows, shares, block_bytes):
+    """Sources' rows in the order of their copies' keys are not known from outside: positions by source and block alone."""
+    from fractions import Fraction
+
+    exact = {s: Fraction(str(w)) for s, w in shares.items()}
+    exact = {s: w / sum(exact.values()) for s, w in exact.items()}
+    sizes = {s: sum(len((t or "").encode()) + 1 for _, t, z in rows if z == s) for s in shares}
+    left = {s: -(-sizes[s] // block_bytes) for s in shares}
+    done, slot, order = dict.fromkeys(shares, 0), 0, {}
+    names = sorted(shares)
+    while any(done[s] < left[s] for s in names):  # earliest deadline first among released blocks, slot by slot
+        ready = [(-(-(done[s] + 1) // exact[s]), names.index(s), s) for s in names if done[s] < left[s] and done[s] // exact[s] <= slot]
+        if ready:
+            s = min(ready)[2]
+            order[slot] = (s, done[s])
+            done[s] += 1
+        slot += 1
+    return order
+
+
+def test_positions_against_brute_force(frame):
+    rng = random.Random(8)
+    rows = [(i, prose(i, rng.randint(1, 40)), rng.choice("aaabbc")) for i in range(250)] + [(7, prose(7, 9), "b")] * 30
+    shares = {"a": 0.3, "b": 0.6, "c": 0.1}
+    found = sorted(mix(frame(rows), shares, block_bytes=300).collect(), key=lambda r: r["position"])
+    order = brute_positions(rows, shares, 300)
+    assert [r["position"] for r in found] == list(range(len(rows)))
+    for r in found:
+        assert order[r["slot"]] == (r["source"], r["block"])
+    for a, b in zip(found, found[1:]):
+        assert (a["slot"], a["start_byte"]) < (b["slot"], b["start_byte"])
+
+
+def test_repeated_rows_keep_their_places(frame, monkeypatch):
+    """40 rows of one source and 40 copies of a row of another alternate, also where copies are spread over tasks."""
+    from corpusflow.llm import mixing
+
+    rows = [(i, f"text number {i:04d}", "a") for i in range(40)] + [(900, "text number 9000", "b")] * 40
+    for copies in (1024, 7):
+        monkeypatch.setattr(mixing, "COPIES", copies)
+        out = [r["source"] for r in mixed(frame(rows), shares={"a": 1, "b": 1}, block_bytes=17).collect()]
+        assert out == ["a", "b"] * 40
+    # The same id and text under another source, or beside another column, is another row.
+    rows = [(1, "x" * 16, "a"), (1, "x" * 16, "b"), (1, "x" * 16, None), (1, None, "a"), (1, "x" * 16, "a")]
+    out = mixed(frame(rows), block_bytes=17).collect()
+    assert sorted((r["doc_id"], str(r["text"]), str(r["source"])) for r in out) == sorted((i, str(t), str(s)) for i, t, s in rows)
+
+
 def test_edges(edges, empty):
     check(EDGES, mix(edges).collect(), 64 << 10)
     assert mixed(edges).count() == len(EDGES)
