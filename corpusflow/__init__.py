@@ -1,8 +1,7 @@
 """corpusflow: corpus ingestion, retrieval and evaluation as Spark DataFrame jobs.
 
 Every public operator takes DataFrames (plus plain Python parameters) and returns a
-DataFrame. Nothing is collected to the driver except size-checked query blocks that
-are broadcast to the tasks scanning the corpus (see ``plans.blocks``).
+DataFrame. Neither corpora nor queries pass the driver (see ``plans.cells``).
 """
 
 from corpusflow.config import ChunkConfig, CompressionConfig, SearchConfig, Bm25Config  # noqa: F401

@@ -1,37 +1,33 @@
 """Exact top-k vector search of many queries against a corpus.
 
-Plan shape (per query block):
-
-    corpus scan ─(filters pushed to Parquet)─► mapInPandas[matmul + local top-k]
-        ─► Exchange(hashpartitioning(query_id)) ─► row_number() <= k
-
-* The query side is broadcast in size-checked blocks (``plans.broadcast``); the
-  corpus is never shuffled, collected or joined pairwise. Each task scores its
-  Arrow batches with one BLAS matmul and keeps only ``k`` candidates per query,
-  so the shuffle carries ``partitions × queries × k`` narrow rows.
-* Scores are ``round(cos + offset, digits)``; ties break on the corpus key, so
-  the local and global top-k agree exactly and results are deterministic.
-* Payload columns (content, filename, …) ride along with the candidates so no
-  join back to the corpus is needed.
+Plan shape:
+
+    corpus scan ─(filters pushed to Parquet)─► mapInArrow[vectors of a batch → one cell]
+        ─► join with the query cells (broadcast up to a measured size, a shuffled grid beyond: ``plans.cells``)
+        ─► mapInArrow[matmul of two cells, local top-k] ─► Exchange(hashpartitioning(query_id)) ─► row_number() <= k
+
+* Neither side passes the driver. A corpus row is embedded, normalised and packed once, however many queries there are.
+* Scores are ``round(cos + offset, digits)``; ties break on the corpus key. Cells are sorted by key, so a cell's
+  candidates are cut exactly, and the shuffle carries at most ``k`` narrow rows per query, cell group and task.
+* Payload columns (content, filename, …) ride along with the candidates so no join back to the corpus is needed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from typing import Iterable, Iterator, Sequence
+from typing import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.config import SearchConfig
 from corpusflow.functions.udfs import dense_from_buckets, md5_text_buckets
-from corpusflow.plans.broadcast import blocks
+from corpusflow.plans.cells import frozen, of_cell, packed, pairs
 
-# Largest score matrix (queries × rows) one task materialises at a time.
-_MAX_SCORE_CELLS = 1 << 24
+#: Candidates that a task holds before it hands them on.
+MAX_HELD = 1 << 20
 
 
 def _normalise(mat: np.ndarray) -> np.ndarray:
@@ -40,78 +36,89 @@ def _normalise(mat: np.ndarray) -> np.ndarray:
     return mat / norms[:, None]
 
 
-def _to_matrix(values, kind: str, dim: int) -> np.ndarray:
+def vector_matrix(column: pa.Array, kind: str, dim: int | None) -> np.ndarray:
+    """Unit vectors (rows) of a column without nulls: vectors, token buckets, or texts to be embedded."""
     if kind == "buckets":
-        return dense_from_buckets(list(values), dim, normalise=True)
+        return dense_from_buckets(column.to_pylist(), dim, normalise=True)
     if kind == "text":
-        return dense_from_buckets(md5_text_buckets(list(values), dim), dim, normalise=True)
-    if len(values) == 0:
-        return np.zeros((0, dim), dtype=np.float64)
-    return _normalise(np.vstack([np.asarray(v, dtype=np.float64) for v in values]))
-
-
-def merge_topk(best: pd.DataFrame | None, qids: np.ndarray, scores: np.ndarray, valid: np.ndarray,
-               keys: np.ndarray, payload: dict, *, k: int, key: str, qname: str) -> pd.DataFrame | None:
-    """Fold a (queries × rows) score matrix into the running per-query top-k.
-
-    Candidates are the k best valid cells of each row; of those that tie with the k-th, the
-    ones with the lowest keys, so the final order (score desc, key asc) is exact and at
-    most k cells of a row become candidates.
-    """
-    n = scores.shape[1]
-    if n > k:
-        masked = np.where(valid, scores, -np.inf)
-        kth = -np.partition(-masked, k - 1, axis=1)[:, k - 1]
-        valid = valid & (masked >= kth[:, None])
-        tied = np.nonzero(valid.sum(axis=1) > k)[0]
-        if len(tied):
-            by_key = np.argsort(keys, kind="stable")
-            part = masked[tied][:, by_key]
-            above, equal = part > kth[tied, None], part == kth[tied, None]
-            room = k - above.sum(axis=1)
-            kept = np.zeros_like(above)
-            kept[:, by_key] = above | (equal & (np.cumsum(equal, axis=1) <= room[:, None]))
-            valid[tied] &= kept
-    qi, ci = np.nonzero(valid)
-    if len(qi) == 0:
-        return best
-    cand = pd.DataFrame({qname: qids[qi], key: keys[ci], "score": scores[qi, ci]})
-    for p, values in payload.items():
-        cand[p] = values[ci]
-    merged = cand if best is None else pd.concat([best, cand], ignore_index=True)
-    merged = merged.sort_values([qname, "score", key], ascending=[True, False, True], kind="mergesort")
-    return merged.groupby(qname, sort=False).head(k)
-
-
-def _local_topk(qids: np.ndarray, qmat: np.ndarray, batches: Iterator[pd.DataFrame], *, key: str,
-                vec: str, kind: str, dim: int, k: int, offset: float, digits: int,
-                payload: Sequence[str], exclude_self: bool, qname: str) -> pd.DataFrame | None:
-    best: pd.DataFrame | None = None
-    nq = len(qids)
-    for pdf in batches:
-        if len(pdf) == 0 or nq == 0:
-            continue
-        pdf = pdf[pdf[vec].notna()]
-        if len(pdf) == 0:
-            continue
-        if kind == "dense":
-            odd = int((pdf[vec].map(len) != dim).sum())
-            if odd:
-                raise ValueError(f"{odd} corpus vectors of a batch do not have dimension {dim}; "
-                                 "separate them first (embedding.split_by_contract)")
-        cmat = _to_matrix(pdf[vec].to_numpy(), kind, dim)
-        keys = pdf[key].to_numpy()
-        pay = {p: pdf[p].to_numpy() for p in payload}
-        n = len(pdf)
-        step = max(1, _MAX_SCORE_CELLS // n)
-        for q0 in range(0, nq, step):
-            q1 = min(nq, q0 + step)
-            scores = np.round(qmat[q0:q1] @ cmat.T + offset, digits)
-            valid = np.ones(scores.shape, dtype=bool)
-            if exclude_self:
-                valid &= qids[q0:q1, None] != keys[None, :]
-            best = merge_topk(best, qids[q0:q1], scores, valid, keys, pay, k=k, key=key, qname=qname)
-    return best
+        return dense_from_buckets(md5_text_buckets(column.to_pylist(), dim), dim, normalise=True)
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    width = dim if dim is not None else int(lengths[0])
+    odd = int((lengths != width).sum())
+    if odd:
+        raise ValueError(f"{odd} vectors of a batch do not have dimension {width}; separate them first (embedding.split_by_contract)")
+    return _normalise(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width))
+
+
+def _cells(rows: DataFrame, key: str, vec: str, kind: str, dim: int | None) -> DataFrame:
+    """Cells of the rows with a vector, sorted by key: all columns but the vector, then the unit vector's bytes."""
+    rest = [c for c in rows.columns if c != vec]
+
+    def prepare(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        batch = batch.filter(batch.column(vec).is_valid())
+        if not batch.num_rows:
+            return None
+        batch = batch.take(pa.compute.sort_indices(batch, sort_keys=[(key, "ascending")], null_placement="at_start"))
+        matrix = np.ascontiguousarray(vector_matrix(batch.column(vec), kind, dim), "<f8")
+        width = 8 * matrix.shape[1]
+        vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), batch.num_rows, [None, pa.py_buffer(matrix.tobytes())])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), vectors], names=[*rest, "_v"])
+
+    return packed(rows, prepare)
+
+
+def _vectors(table: pa.Table) -> np.ndarray:
+    column = table.column("_v").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    width = column.type.byte_width
+    return np.frombuffer(column.buffers()[1], "<f8", count=len(column) * (width // 8), offset=column.offset * width).reshape(len(column), -1)
+
+
+class TopK:
+    """The best ``k`` corpus rows of each query of one cell, over the corpus cells seen so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.size = k, 0
+        #: Scores below these can't be among the best any more.
+        self.floor = np.full(queries, -np.inf)
+        self.held: list[pa.Table] = []
+
+    def add(self, scores: np.ndarray, rows: pa.Table, valid: np.ndarray | None = None) -> None:
+        """``scores`` (queries by rows) of rows that are sorted by key."""
+        if valid is not None:
+            scores = np.where(valid, scores, -np.inf)
+        lowest = self.floor
+        if scores.shape[1] > self.k:
+            kth = -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1]
+            lowest = np.maximum(lowest, kth)
+        chosen = (scores >= lowest[:, None]) & (scores > -np.inf)
+        tied = np.nonzero(chosen.sum(axis=1) > self.k)[0]
+        if len(tied):  # of those equal to the k-th, the first by key
+            above = scores[tied] > lowest[tied, None]
+            equal = chosen[tied] & ~above
+            chosen[tied] = above | (equal & (np.cumsum(equal, axis=1) <= (self.k - above.sum(axis=1))[:, None]))
+        at, row = np.nonzero(chosen)
+        if len(at):
+            found = rows.take(pa.array(row)).append_column("_score", pa.array(scores[at, row])).append_column("_at", pa.array(at))
+            self.held.append(found)
+            self.size += len(at)
+
+    def cut(self, key: str) -> pa.Table | None:
+        """Keep the best ``k`` of each query only."""
+        if not self.held:
+            return None
+        table = pa.concat_tables(self.held)
+        if len(self.held) > 1:
+            table = table.take(pa.compute.sort_indices(table, sort_keys=[("_at", "ascending"), ("_score", "descending"), (key, "ascending")],
+                                                       null_placement="at_start"))
+            at = table.column("_at").to_numpy()
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+            full = np.flatnonzero(place == self.k - 1)
+            self.floor[at[full]] = np.maximum(self.floor[at[full]], table.column("_score").to_numpy()[full])
+            table = table.filter(pa.array(place < self.k))
+        self.held, self.size = [table], table.num_rows
+        return table
 
 
 def knn_topk(corpus: DataFrame, queries: DataFrame, *, corpus_key: str, corpus_vec: str,
@@ -124,59 +131,66 @@ def knn_topk(corpus: DataFrame, queries: DataFrame, *, corpus_key: str, corpus_v
     ``kind='dense'``: vector columns are ARRAY<FLOAT|DOUBLE>; ``kind='buckets'``:
     ARRAY<BIGINT> token buckets, densified to ``dim`` counts inside the task;
     ``kind='text'``: STRING columns embedded inside the task with the md5 token-hash
-    embedding (tokenised and hashed in the same Arrow batch that is scored).
-    Returns (query_name, corpus_key, *payload, score, rank).
+    embedding (tokenised and hashed in the same Arrow batch that is packed).
+    Query cells of up to ``max_block_bytes`` together are broadcast. Returns (query_name, corpus_key, *payload, score, rank).
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    payload = [p for p in payload if p not in (corpus_key,)]
-    spark = corpus.sparkSession
-    qsrc = queries.select(F.col(query_key).alias(query_name), F.col(query_vec).alias("_qv")).where(
-        F.col("_qv").isNotNull()
-    )
-    cols = [corpus_key, *payload, corpus_vec]
-    # NULL vectors are dropped inside the task: a Filter here would evaluate a derived
-    # vector expression twice (once for the predicate, once for the projection).
-    csrc = corpus.select(*cols)
-    out_schema = T.StructType(
+    if dim is None and kind != "dense":
+        raise ValueError("dim is required for bucket and text vectors")
+    payload = [p for p in payload if p != corpus_key]
+    out = T.StructType(
         [T.StructField(query_name, queries.schema[query_key].dataType, True)]
         + [T.StructField(c, corpus.schema[c].dataType, True) for c in [corpus_key, *payload]]
-        + [T.StructField("score", T.DoubleType(), True)]
-    )
-
-    parts = []
-    for blk in blocks(qsrc, query_name, [query_name, "_qv"], max_block_bytes):
-        pdf = blk.frame
-        qids = pdf[query_name].to_numpy()
-        if kind == "dense":
-            if len(pdf):
-                sizes = {len(v) for v in pdf["_qv"]}
-                if len(sizes) != 1:
-                    raise ValueError(f"query vectors have mixed dimensions {sorted(sizes)}")
-                dim_b = sizes.pop()
-            else:
-                dim_b = dim or 0
-            if dim is not None and len(pdf) and dim_b != dim:
-                raise ValueError(f"query vectors have dimension {dim_b}, expected {dim}")
-            use_dim = dim_b
-        else:
-            if dim is None:
-                raise ValueError("dim is required for bucket and text vectors")
-            use_dim = dim
-        qmat = _to_matrix(pdf["_qv"].to_numpy(), kind, use_dim) if len(pdf) else np.zeros((0, use_dim))
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        scan = csrc
-
-        def _fn(it, bq=bq, use_dim=use_dim):
-            b_qids, b_qmat = bq.value
-            best = _local_topk(b_qids, b_qmat, it, key=corpus_key, vec=corpus_vec, kind=kind, dim=use_dim,
-                               k=k, offset=score_offset, digits=digits, payload=payload,
-                               exclude_self=exclude_self, qname=query_name)
-            if best is not None and len(best):
-                yield best[[f.name for f in out_schema.fields]]
-
-        parts.append(scan.mapInPandas(_fn, out_schema))
-
-    local = reduce(DataFrame.unionByName, parts)
-    w = Window.partitionBy(query_name).orderBy(F.col("score").desc(), F.col(corpus_key).asc())
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        + [T.StructField("score", T.DoubleType(), True)])
+    asked, seen = frozen(
+        _cells(queries.select(F.col(query_key).alias("_q"), F.col(query_vec).alias("_qv")), "_q", "_qv", kind, dim), "query-cells",
+        bytes=F.sum(F.octet_length("cell")), least=F.min("width"), most=F.max("width"))
+    if seen["least"] != seen["most"]:
+        raise ValueError(f"query vectors have mixed dimensions {[seen['least'] // 8, seen['most'] // 8]}")
+    if seen["most"] is not None:
+        dim = seen["most"] // 8  # one dimension for both sides: another one in the corpus fails in its task
+    # NULL vectors are dropped inside the task: a Filter here would evaluate a derived vector expression twice.
+    known = _cells(corpus.select(corpus_key, *payload, F.col(corpus_vec).alias("_cv")), corpus_key, "_cv", kind, dim)
+    met = pairs(asked, int(seen["bytes"] or 0), known, max_block_bytes)
+
+    return ranked(met, out, corpus_key, payload, k, score_offset, digits, exclude_self)
+
+
+def ranked(met: DataFrame, out: T.StructType, key: str, payload: list[str], k: int, offset: float, digits: int,
+           exclude_self: bool = False) -> DataFrame:
+    """The best ``k`` rows of each query from pairs of cells (``q, qn, c``), with their ``rank``. ``out`` is the query's column,
+    the key, the payload and the score."""
+    query_name = out.fields[0].name
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[pa.Array, np.ndarray, TopK]] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for ids, _, top in best.values():
+                table = top.cut(key)
+                if table is not None:
+                    columns = [ids.take(table.column("_at")), *(table.column(c) for c in [key, *payload, "_score"])]
+                    yield from pa.Table.from_arrays(columns, names=[f.name for f in out.fields]).to_batches(max_chunksize=10_000)
+            best.clear()
+
+        for batch in batches:
+            for q, number, c in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2)):
+                if number not in best:
+                    table = of_cell(q)
+                    best[number] = table.column("_q").combine_chunks(), _vectors(table), TopK(table.num_rows, k)
+                ids, matrix, top = best[number]
+                rows = of_cell(c)
+                scores = np.round(matrix @ _vectors(rows).T + offset, digits)
+                valid = None
+                if exclude_self:
+                    valid = ids.to_numpy(zero_copy_only=False)[:, None] != rows.column(key).to_numpy()[None, :]
+                top.add(scores, rows.drop_columns(["_v"]), valid)
+                if top.size > 8 * k * len(matrix):
+                    top.cut(key)
+                if sum(t.size for _, _, t in best.values()) > MAX_HELD:
+                    yield from handed_on()
+        yield from handed_on()
+
+    order = Window.partitionBy(query_name).orderBy(F.col("score").desc(), F.col(key).asc())
+    return met.select("q", "qn", "c").mapInArrow(score, out).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -271,6 +271,10 @@ ORACLE["vector_topk"] = f"""
 WITH {_dense_topk()}
 SELECT query_id, rank::BIGINT AS rank, vec_id, score FROM r WHERE rank <= 3"""
 
+ORACLE["ann_recall"] = """
+SELECT count(*) AS queries, count(*) * least(3, (SELECT count(*) FROM embeddings)) AS neighbours, true AS recall_reached
+FROM embeddings WHERE vec_id % 50 = 0"""
+
 ORACLE["filtered_vector_topk"] = f"""
 WITH {_dense_topk('label = 3')}
 SELECT query_id, rank::BIGINT AS rank, vec_id, score FROM r WHERE rank <= 3"""

@@ -17,6 +17,7 @@ from corpusflow.functions import text as tx
 from corpusflow.functions.hashing import chunk_id
 from corpusflow.functions.vectors import cosine, l2_normalise, norm
 from corpusflow.operators import context as ctx
+from corpusflow.operators.ann import ann_topk, build_ann
 from corpusflow.operators import maintenance as mt
 from corpusflow.operators.chunking import chunk_documents, combined_text, fetch_document
 from corpusflow.operators.embedding import (md5_hash_vector, sparse_entries, split_by_contract,
@@ -259,6 +260,19 @@ def filtered_vector_topk_q(spark, sf):
     return _ranked(_dense_knn(spark, sf, corpus_filter=F.col("label") == 3), "vec_id")
 
 
+@register("ann_recall")
+def ann_recall_q(spark, sf):
+    """The approximate index over all embeddings, searched for every 50th of them and held against the exact search."""
+    e = table(spark, sf, "embeddings")
+    index = build_ann(e, key="vec_id", vec="embedding", k=K)
+    asked = e.where(F.col("vec_id") % 50 == 0)
+    near = ann_topk(index, asked, query_key="vec_id", query_vec="embedding", k=K)
+    exact = knn_topk(e, asked, corpus_key="vec_id", corpus_vec="embedding", query_key="vec_id", query_vec="embedding", k=K)
+    both = exact.select("query_id", "vec_id").join(near.select("query_id", "vec_id", F.lit(1).alias("_hit")), ["query_id", "vec_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("neighbours"),
+                    (F.sum(F.coalesce("_hit", F.lit(0))) >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
 @register("label_precision_at_k")
 def label_precision_q(spark, sf):
     e = table(spark, sf, "embeddings")

@@ -73,7 +73,41 @@ def test_knn_plan_has_no_cartesian_product(spark):
     plan = knn_topk(cdf, cdf, corpus_key="id", corpus_vec="v", query_key="id", query_vec="v", k=2) \
         ._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
-    assert "MapInPandas" in plan
+    assert "BroadcastHashJoin" in plan and plan.count("MapInArrow") == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = knn_topk(cdf, cdf, corpus_key="id", corpus_vec="v", query_key="id", query_vec="v", k=2, max_block_bytes=10)
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan and "hashpartitioning(x" in plan
+
+
+def test_grid_follows_the_bytes_of_both_sides():
+    from corpusflow.plans.cells import TASK_BYTES, grid
+
+    assert grid(100, 100, 16) == (4, 4)
+    assert grid(10**6, 1, 16) == (16, 1)
+    assert grid(1, 10**6, 16) == (1, 16)
+    across, down = grid(TASK_BYTES * 1000, TASK_BYTES * 10, 16)
+    assert across * down >= 1010 and 60 < across / down < 160
+
+
+def test_ten_times_the_queries_leave_the_driver_flat(spark):
+    """Only the number and size of query cells reach the driver: nothing is collected or broadcast from Python."""
+    import inspect
+
+    from corpusflow.operators import vector_search
+    from corpusflow.plans import cells
+
+    for module in (vector_search, cells):
+        code = inspect.getsource(module)
+        assert "toPandas" not in code and ".collect()" not in code and "sparkContext.broadcast" not in code
+    corpus = spark.createDataFrame(_vectors(50, 4, 3), "id long, v array<double>")
+    for n in (300, 3000):
+        queries = spark.createDataFrame(_vectors(n, 4, 5), "qid long, v array<double>")
+        found = knn_topk(corpus, queries, corpus_key="id", corpus_vec="v", query_key="qid", query_vec="v", k=1, max_block_bytes=20_000)
+        assert found.count() == n
 
 
 def _bm25_spec(docs, queries, k, k1=1.2, b=0.75):
@@ -117,6 +151,35 @@ def test_bm25_matches_spec(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed, k", [(1, 1), (2, 3), (3, 5), (4, 2)])
+def test_bm25_on_random_rows_with_hot_terms(spark, seed, k):
+    """One term in nearly all rows, many alike rows, weak terms that must not be lost, salted postings."""
+    rnd = random.Random(seed)
+    rare = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join((["txt"] if rnd.random() < 0.95 else []) + (["en"] if rnd.random() < 0.5 else [])
+                         + [rnd.choice(rare) for _ in range(rnd.choice([0, 0, 1, 1, 2, 6]))] + ["x"] * rnd.randint(0, 2))) for i in range(600)]
+    queries = [(q, " ".join(["txt", "en", *(rnd.choice(rare + ["none"]) for _ in range(rnd.randint(0, 3)))][rnd.randint(0, 1):])) for q in range(40)]
+    queries += [(50, ""), (51, "txt"), (52, "absent")]
+    cdf = spark.createDataFrame([(i, t, f"p{i}") for i, t in docs], "id long, name string, extra string").repartition(3)
+    qdf = spark.createDataFrame([*queries, (60, None)], "qid long, text string")
+    res = bm25_topk(cdf, qdf, corpus_key="id", field="name", query_key="qid", query_text="text", k=k, payload=("extra",), postings_per_salt=5).collect()
+    got = {}
+    for r in sorted(res, key=lambda r: (r["query_id"], r["rank"])):
+        assert r["extra"] == f"p{r['id']}"
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    assert got == {q: v for q, v in _bm25_spec(docs, queries, k).items() if v}
+
+
+def test_bm25_has_no_python_and_deals_hot_terms(spark):
+    rows = spark.range(3000).selectExpr("id", "concat('hot w', id) AS name")
+    asked = spark.range(20).selectExpr("id AS qid", "concat('hot w', id * 7) AS text")
+    res = bm25_topk(rows, asked, corpus_key="id", field="name", query_key="qid", query_text="text", k=2, postings_per_salt=100)
+    plan = res._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "salt" in plan
+    got = {(r["query_id"], r["rank"]): r["id"] for r in res.collect()}
+    assert all(got[q, 1] == 7 * q and got[q, 2] == (0 if q else 1) for q in range(20))
+
+
 def test_fuse_sums_by_key(spark):
     a = spark.createDataFrame([(1, "c1", 2.0), (1, "c2", 1.5)], "query_id long, chunk_id string, score double")
     b = spark.createDataFrame([(1, "c2", 3.0), (1, "c3", 1.0)], "query_id long, chunk_id string, score double")
@@ -131,6 +194,52 @@ def test_contained_items(spark):
     assert got == [(10, 1), (11, 2)]
 
 
+def test_contained_items_against_plain_search(spark, monkeypatch):
+    """Items of every length class, at every place, in hot boilerplate, repeated, with null ids and texts that cross slabs."""
+    from corpusflow.operators import matching
+
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdé漢 ") for _ in range(rnd.randint(1, 9)))
+    boiler = "the same passage stands in very many of these texts, word for word"
+    docs = [(i, " ".join(word() for _ in range(rnd.randint(0, 60))) + (boiler if i % 2 else "")) for i in range(300)]
+    docs += [(500, None), (501, ""), (None, boiler + " null id"), (7, docs[7][1]), (502, "ab" * 4000 + "needle in a long text " + "ba" * 4000)]
+    items = [(k, t) for k, t in enumerate([boiler, boiler[5:40], "a", "é", "漢", "ab", "bcd", "never there", "needle in a long", "abab" * 12, "",
+                                           None, "null id", boiler])]
+    for k in range(100, 160):
+        text = rnd.choice(docs)[1] or "zz"
+        start = rnd.randrange(max(1, len(text)))
+        items.append((k, text[start:start + rnd.choice([1, 2, 3, 5, 9, 17, 30, 31, 40, 90])]))
+    want = sorted((str(k), str(d)) for k, t in items for d, text in docs if t and text is not None and t in text)
+    ddf = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    idf = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(r["item_id"]), str(r["doc_id"])) for r in matching.contained_items(ddf, idf).collect())
+    assert got == want
+    assert matching.contained_items(ddf, idf.where("item_id = 10")).collect() == []
+    assert matching.contained_items(ddf.limit(0), idf).collect() == []
+
+
+def test_windows_of_a_passage_are_those_of_the_text_around_it(monkeypatch):
+    from corpusflow.operators import matching
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        data = rng.integers(97, 100, rng.integers(40, 400)).astype(np.uint8)
+        a = rng.integers(0, len(data) - 35)
+        b = rng.integers(a + 1, len(data) + 1)
+        c = matching.length_class(b - a)
+        width, span = matching.CLASSES[c]
+        inner = matching.span_hashes(data[a:b], width, span)
+        assert len(inner) and set(inner) <= set(matching.span_hashes(data, width, span))
+        monkeypatch.setattr(matching, "_SLAB", 50)  # slabs and texts that follow each other lose no window
+        texts = [data, data[a:b], data[:3], data[a:]]
+        offsets = np.cumsum([0, *map(len, texts)])
+        kept = [set() for _ in texts]
+        for owner, hashes in matching.text_windows(np.concatenate(texts), offsets, width, span):
+            for o, h in zip(owner, hashes.view(np.uint64)):
+                kept[o].add(h)
+        assert all(set(matching.span_hashes(t, width, span)) == k for t, k in zip(texts, kept))
+
+
 def test_search_dispatch_and_filters(spark):
     from corpusflow.config import ChunkConfig
     from corpusflow.operators.chunking import chunk_documents
@@ -214,19 +323,24 @@ def test_a_users_embedder_builds_and_searches_the_index(spark, tmp_path):
 
 
 def test_ties_give_k_candidates_and_odd_vectors_fail(spark):
-    import numpy as np
-    import pytest
+    import pyarrow as pa
 
-    from corpusflow.operators.vector_search import knn_topk, merge_topk
+    from corpusflow.operators.vector_search import TopK
 
     rng = np.random.default_rng(1)
     for _ in range(50):
-        scores = rng.integers(0, 3, (5, 40)).astype(float)
-        valid = rng.random((5, 40)) < 0.8
-        keys = rng.permutation(40)
-        got = merge_topk(None, np.arange(5), scores, valid, keys, {}, k=4, key="c", qname="q")
-        want = [(q, *x) for q in range(5) for x in sorted((-scores[q, i], keys[i]) for i in range(40) if valid[q, i])[:4]]
-        assert [(a, -b, c) for a, b, c in got[["q", "score", "c"]].itertuples(index=False)] == [(q, s, k) for q, s, k in want]
+        top, want = TopK(5, 4), [[] for _ in range(5)]
+        for cell in range(rng.integers(1, 6)):
+            scores = rng.integers(0, 3, (5, 40)).astype(float)
+            valid = rng.random((5, 40)) < 0.8
+            keys = np.sort(rng.permutation(1000)[:40])
+            top.add(scores, pa.table({"c": keys, "p": keys * 7}), valid)
+            if rng.random() < 0.5:
+                top.cut("c")
+            for q in range(5):
+                want[q] += [(-scores[q, i], int(keys[i])) for i in range(40) if valid[q, i]]
+        got = [(r["_at"], -r["_score"], r["c"], r["p"]) for r in top.cut("c").to_pylist()]
+        assert sorted(got) == [(q, s, c, 7 * c) for q in range(5) for s, c in sorted(want[q])[:4]]
     same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(500)], "c long, v array<double>")
     queries = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(300)], "q long, v array<double>")
     hits = knn_topk(same, queries, corpus_key="c", corpus_vec="v", query_key="q", query_vec="v", k=3).collect()
