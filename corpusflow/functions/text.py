@@ -100,8 +100,8 @@ def clean_text(c) -> Column:
 
 
 # ---------------------------------------------------------------------------
-# Named HTML entities decoded on the JVM path (the full table is
-# available through ``html_to_text(..., full_entities=True)``).
+# Named HTML entities decoded on the JVM path (all others are decoded
+# by ``functions.udfs.html_unescape_nodes``).
 #   &quot; -> "   &apos; -> '   &#39; -> '   &lt; -> <   &gt; -> >
 #   &nbsp; -> U+00A0   &copy; -> U+00A9   &reg; -> U+00AE   &middot; -> U+00B7
 #   &ndash; -> U+2013  &mdash; -> U+2014  &hellip; -> U+2026
@@ -131,25 +131,34 @@ def unescape_basic(c) -> Column:
     return out
 
 
+# A tag ends at the first ">" outside quotes; one whose quotes never close ends at the first ">" of all.
+_TAG = ("(?s)<[/!?]?[A-Za-z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+        "|<[/!?]?[A-Za-z][^>]*+>")
+# An ampersand that does not begin one of the entities above.
+_OTHER_ENTITY = "&(?!(?:" + "|".join(e[1:-1] for e, _ in _ENTITIES) + ");)"
+
+
 def html_nodes(c) -> Column:
     """Markup → array of raw text nodes (comments, doctype, script/style/template removed)."""
     h = F.coalesce(_col(c), F.lit(""))
     h = F.regexp_replace(h, "(?s)<!--.*?-->", NODE_SENTINEL)
     h = F.regexp_replace(h, "(?is)<(script|style|template)\\b[^>]*>.*?</\\1\\s*>", NODE_SENTINEL)
-    h = F.regexp_replace(h, "(?s)<[^>]*>", NODE_SENTINEL)
+    h = F.regexp_replace(h, _TAG, NODE_SENTINEL)
     return F.split(h, NODE_SENTINEL, -1)
 
 
-def html_to_text(c, full_entities: bool = False) -> Column:
-    """Visible text nodes, each stripped, empties dropped, joined by newline."""
+def html_to_text(c, full_entities: bool = True) -> Column:
+    """Visible text nodes, each stripped, empties dropped, joined by newline.
+
+    The common entities are decoded on the JVM. Only the nodes of a page that holds another one (or a bare ampersand)
+    pass an Arrow UDF that knows all of them; ``full_entities=False`` leaves those as they are."""
     nodes = html_nodes(c)
+    known = F.transform(nodes, unescape_basic)
     if full_entities:
         from corpusflow.functions.udfs import html_unescape_nodes
 
-        nodes = html_unescape_nodes(nodes)
-    else:
-        nodes = F.transform(nodes, unescape_basic)
-    stripped = F.transform(nodes, ws_strip)
+        known = F.coalesce(html_unescape_nodes(F.when(F.rlike(_col(c), F.lit(_OTHER_ENTITY)), nodes)), known)
+    stripped = F.transform(known, ws_strip)
     return F.array_join(F.filter(stripped, lambda n: n != F.lit("")), "\n")
 
 

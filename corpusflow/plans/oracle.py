@@ -594,6 +594,6 @@ FROM events GROUP BY ALL"""
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpusflow.sources import mail  # noqa: F401  (adds mail oracles)
+    from corpusflow.plans import mail_queries  # noqa: F401  (adds mail oracles)
 
     return dict(ORACLE)

@@ -3,13 +3,14 @@
 Messages have the shape of a mail API's ``full`` format: ``id``, ``threadId``,
 ``labelIds``, ``snippet`` and a ``payload`` with ``mimeType``, ``filename``,
 ``headers`` [{name, value}], ``body`` {data (url-safe base64), attachmentId} and
-recursive ``parts``. The schema is as deep as the deepest message given, so no part is
-left out; parts are walked with higher-order functions, and one Arrow UDF decodes the
-entities of what they found. Rows that are no JSON object go to ``bad_messages``.
+recursive ``parts``. One Arrow UDF walks the parts of a message without recursion and gives those that
+count as a flat list, in order, so neither the schema nor the plan depends on how deep a message is nested;
+everything behind it (decoding, HTML, cleaning) is Column expressions, but for entities. Rows that are no JSON object
+(or nested too deeply to be read as JSON) go to ``bad_messages``.
 
 Rules (first match wins for every part, depth first, in order):
   filename and attachmentId → attachment; text/plain with data → text;
-  text/html with data → visible text; multipart/* with parts → recurse.
+  text/html with data → visible text; multipart/* with parts → its parts.
 Non-empty texts are joined by newlines, then cleaned. Header names are
 case-insensitive and the last duplicate wins.
 """
@@ -19,73 +20,78 @@ from __future__ import annotations
 import html
 import json
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from corpusflow.functions import text as tx
-from corpusflow.plans.oracle import ORACLE, compact as sql_compact
-from corpusflow.plans.queries import register
-from corpusflow.sources.tables import table
 
 # Defaults of a normalised message.
 NO_SUBJECT = "(no subject)"
 DOCUMENT_PREFIX = "mail:"
 
-_HEADER = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
-_BODY = T.StructType([
-    T.StructField("data", T.StringType()), T.StructField("attachmentId", T.StringType()),
-    T.StructField("size", T.LongType()),
-])
-
-
-def part_schema(depth: int) -> T.StructType:
-    fields = [
-        T.StructField("partId", T.StringType()),
-        T.StructField("mimeType", T.StringType()),
-        T.StructField("filename", T.StringType()),
-        T.StructField("headers", T.ArrayType(_HEADER)),
-        T.StructField("body", _BODY),
-    ]
-    if depth > 0:
-        fields.append(T.StructField("parts", T.ArrayType(part_schema(depth - 1))))
-    return T.StructType(fields)
-
-
-def message_schema(depth: int) -> T.StructType:
-    return T.StructType([
-        T.StructField("id", T.StringType()),
-        T.StructField("threadId", T.StringType()),
-        T.StructField("labelIds", T.ArrayType(T.StringType())),
-        T.StructField("snippet", T.StringType()),
-        T.StructField("payload", part_schema(depth)),
-    ])
-
-
-@F.pandas_udf(T.IntegerType())
-def part_levels(values: pd.Series) -> pd.Series:
-    """Levels of nested parts in each JSON message."""
-    def levels(value) -> int:
-        try:
-            waiting = [(json.loads(value)["payload"], 0)]
-        except (TypeError, ValueError, KeyError):
-            return 0
-        deepest = 0
-        while waiting:
-            part, depth = waiting.pop()
-            deepest = max(deepest, depth)
-            if isinstance(part, dict) and isinstance(part.get("parts"), list):
-                waiting += [(p, depth + 1) for p in part["parts"]]
-        return deepest
-
-    return values.map(levels).astype("int32")
-
-
-def _depth(payload: T.StructType) -> int:
-    """Levels of nested parts in a payload's schema."""
-    return 1 + _depth(payload["parts"].dataType.elementType) if "parts" in payload.fieldNames() else 0
+#: A message without its tree: ``found`` holds the parts that count, in order.
+_ARROW = pa.struct([
+    ("id", pa.string()), ("threadId", pa.string()), ("labelIds", pa.list_(pa.string())), ("snippet", pa.string()),
+    ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))),
+    ("found", pa.list_(pa.struct([("kind", pa.string()), ("filename", pa.string()), ("attachment_id", pa.string()), ("data", pa.string())]))),
+    ("bad", pa.string())])
+MESSAGE = from_arrow_type(_ARROW)
+
+
+def _said(value) -> str | None:
+    """A JSON value as text."""
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def _field(value, name: str):
+    return value.get(name) if isinstance(value, dict) else None
+
+
+def _found_parts(payload) -> list[dict]:
+    """The parts of a payload that count, depth first."""
+    mime = _said(_field(payload, "mimeType")) or ""
+    parts = _field(payload, "parts")
+    if not (mime.startswith("multipart/") and isinstance(parts, list) and parts):
+        data = _said(_field(_field(payload, "body"), "data"))
+        return [{"kind": "html" if mime == "text/html" else "plain", "data": data}] if data else []
+    found, waiting = [], parts[::-1]
+    while waiting:
+        part = waiting.pop()
+        mime, filename = (_said(_field(part, n)) or "" for n in ("mimeType", "filename"))
+        data, attachment = (_said(_field(_field(part, "body"), n)) for n in ("data", "attachmentId"))
+        if filename and attachment:
+            found.append({"kind": "attachment", "filename": filename, "attachment_id": attachment, "data": data})
+        elif mime in ("text/plain", "text/html") and data:
+            found.append({"kind": mime[5:], "data": data})
+        elif mime.startswith("multipart/") and isinstance(_field(part, "parts"), list):
+            waiting += part["parts"][::-1]
+    return found
+
+
+def _message(value: str | None) -> dict:
+    try:
+        m = json.loads(value)
+    except RecursionError:
+        return {"bad": "nested_too_deeply"}
+    except (TypeError, ValueError):
+        m = None
+    if not isinstance(m, dict):
+        return {"bad": "not_a_json_object"}
+    payload, labels = m.get("payload"), m.get("labelIds")
+    headers = _field(payload, "headers")
+    return {"id": _said(m.get("id")), "threadId": _said(m.get("threadId")), "snippet": _said(m.get("snippet")),
+            "labelIds": [_said(x) for x in labels] if isinstance(labels, list) else None,
+            "headers": [{"name": _said(_field(h, "name")), "value": _said(_field(h, "value"))} for h in headers] if isinstance(headers, list) else None,
+            "found": _found_parts(payload)}
+
+
+@F.arrow_udf(MESSAGE)
+def read_message(values: pa.Array) -> pa.Array:
+    """Each JSON message with its parts as a flat list; ``bad`` says why a row is none."""
+    return pa.array([_message(v.as_py()) for v in values], _ARROW)
 
 
 def b64url_text(data: Column) -> Column:
@@ -98,40 +104,6 @@ def b64url_bytes(data: Column) -> Column:
     return F.unbase64(F.translate(data, "-_", "+/"))
 
 
-def _has_parts(part: Column, depth: int) -> Column:
-    return part["parts"].isNotNull() if depth > 0 else F.lit(False)
-
-
-def _is_attachment(part: Column) -> Column:
-    return (F.coalesce(part["filename"], F.lit("")) != "") & (F.coalesce(part["body"]["attachmentId"], F.lit("")) != "")
-
-
-def _has_data(part: Column) -> Column:
-    return F.coalesce(part["body"]["data"], F.lit("")) != ""
-
-
-_FOUND = "array<struct<html:boolean,nodes:array<string>>>"
-
-
-def _found(html: bool, text: Column) -> Column:
-    nodes = tx.html_nodes(text) if html else F.array(text)
-    return F.array(F.struct(F.lit(html).alias("html"), nodes.alias("nodes"))).cast(_FOUND)
-
-
-def part_texts(part: Column, depth: int) -> Column:
-    """What one part says, depth first: plain texts, and the raw text nodes of HTML parts."""
-    mime = F.coalesce(part["mimeType"], F.lit(""))
-    empty = F.array().cast(_FOUND)
-    nested = (F.flatten(F.transform(part["parts"], lambda p: part_texts(p, depth - 1)))
-              if depth > 0 else empty)
-    data = b64url_text(part["body"]["data"])
-    return (F.when(_is_attachment(part), empty)
-            .when((mime == "text/plain") & _has_data(part), _found(False, data))
-            .when((mime == "text/html") & _has_data(part), _found(True, data))
-            .when(mime.startswith("multipart/") & _has_parts(part, depth), nested)
-            .otherwise(empty))
-
-
 @F.arrow_udf(T.StringType())
 def found_text(found: pa.Array) -> pa.Array:
     """Texts and decoded HTML of a message, the non-empty ones joined by line feeds."""
@@ -144,43 +116,16 @@ def found_text(found: pa.Array) -> pa.Array:
     return pa.array(["\n".join(filter(None, map(said, parts or []))) for parts in found.to_pylist()], pa.string())
 
 
-_ATT = "array<struct<filename:string,attachment_id:string,data:binary>>"
-
-
-def part_attachments(part: Column, depth: int) -> Column:
-    mime = F.coalesce(part["mimeType"], F.lit(""))
-    empty = F.array().cast(_ATT)
-    nested = (F.flatten(F.transform(part["parts"], lambda p: part_attachments(p, depth - 1)))
-              if depth > 0 else empty)
-    one = F.array(F.struct(part["filename"].alias("filename"), part["body"]["attachmentId"].alias("attachment_id"),
-                           b64url_bytes(part["body"]["data"]).alias("data"))).cast(_ATT)
-    return (F.when(_is_attachment(part), one)
-            .when((mime == "text/plain") & _has_data(part), empty)
-            .when((mime == "text/html") & _has_data(part), empty)
-            .when(mime.startswith("multipart/") & _has_parts(part, depth), nested)
-            .otherwise(empty))
-
-
-def message_text(payload: Column, depth: int) -> Column:
-    mime = F.coalesce(payload["mimeType"], F.lit(""))
-    empty = F.array().cast(_FOUND)
-    body = payload["body"]["data"]
-    single = F.when(F.coalesce(body, F.lit("")) == "", empty).when(
-        mime == "text/html", _found(True, b64url_text(body))).otherwise(_found(False, b64url_text(body)))
-    if depth > 0:
-        walked = F.flatten(F.transform(payload["parts"], lambda p: part_texts(p, depth - 1)))
-        multipart = mime.startswith("multipart/") & (F.coalesce(F.size(payload["parts"]), F.lit(0)) > 0)
-        single = F.when(multipart, walked).otherwise(single)
-    return tx.clean_text(found_text(single))
+def message_text(found: Column) -> Column:
+    texts = F.transform(F.filter(found, lambda p: p["kind"] != "attachment"), lambda p: F.struct(
+        (p["kind"] == "html").alias("html"),
+        F.when(p["kind"] == "html", tx.html_nodes(b64url_text(p["data"]))).otherwise(F.array(b64url_text(p["data"]))).alias("nodes")))
+    return tx.clean_text(found_text(texts))
 
 
-def message_attachments(payload: Column, depth: int) -> Column:
-    if depth == 0:
-        return F.array().cast(_ATT)
-    mime = F.coalesce(payload["mimeType"], F.lit(""))
-    multipart = mime.startswith("multipart/") & (F.coalesce(F.size(payload["parts"]), F.lit(0)) > 0)
-    walked = F.flatten(F.transform(payload["parts"], lambda p: part_attachments(p, depth - 1)))
-    return F.when(multipart, walked).otherwise(F.array().cast(_ATT))
+def message_attachments(found: Column) -> Column:
+    return F.transform(F.filter(found, lambda p: p["kind"] == "attachment"), lambda p: F.struct(
+        p["filename"].alias("filename"), p["attachment_id"].alias("attachment_id"), b64url_bytes(p["data"]).alias("data")))
 
 
 def header(headers: Column, name: str) -> Column:
@@ -193,8 +138,7 @@ def normalise(messages: DataFrame, message_col: str = "message") -> DataFrame:
     """Parsed messages → (id, thread_id, sender, recipient, subject, date, labels,
     snippet, text, attachments)."""
     m = F.col(message_col)
-    depth = _depth(messages.schema[message_col].dataType["payload"].dataType)
-    headers = F.coalesce(m["payload"]["headers"], F.array().cast(T.ArrayType(_HEADER)))
+    headers = F.coalesce(m["headers"], F.array().cast("array<struct<name: string, value: string>>"))
     return messages.select(
         m["id"].alias("id"),
         m["threadId"].alias("thread_id"),
@@ -204,26 +148,20 @@ def normalise(messages: DataFrame, message_col: str = "message") -> DataFrame:
         header(headers, "date").alias("date"),
         F.coalesce(m["labelIds"], F.array().cast("array<string>")).alias("labels"),
         F.coalesce(m["snippet"], F.lit("")).alias("snippet"),
-        message_text(m["payload"], depth).alias("text"),
-        message_attachments(m["payload"], depth).alias("attachments"),
+        message_text(m["found"]).alias("text"),
+        message_attachments(m["found"]).alias("attachments"),
     )
 
 
-def _is_message(json_col: str) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(json_col))).startswith("OBJECT"), F.lit(False))
-
-
 def parse_messages(raw: DataFrame, json_col: str = "value") -> DataFrame:
-    """JSON text (one message per row, e.g. ``spark.read.text``) → parsed struct, of the rows that are
-    JSON objects. One pass over the messages first finds how deep their parts are nested."""
-    depth = raw.select(part_levels(F.col(json_col)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return raw.where(_is_message(json_col)).select(F.from_json(F.col(json_col), message_schema(depth)).alias("message"))
+    """JSON text (one message per row, e.g. ``spark.read.text``) → parsed ``message``, of the rows that are JSON objects."""
+    return raw.select(read_message(F.col(json_col)).alias("message")).where(F.col("message.bad").isNull())
 
 
 def bad_messages(raw: DataFrame, json_col: str = "value") -> DataFrame:
-    """The rows that are no JSON object, for quarantine."""
-    return raw.where(~_is_message(json_col)).select(F.lit("mail").alias("source"), F.col(json_col).alias("detail"),
-                                                   F.lit("not_a_json_object").alias("reason"))
+    """The rows that are no message, for quarantine."""
+    read = raw.select(F.col(json_col).alias("detail"), read_message(F.col(json_col))["bad"].alias("reason"))
+    return read.where(F.col("reason").isNotNull()).select(F.lit("mail").alias("source"), "detail", "reason")
 
 
 def read_messages(spark, path: str) -> DataFrame:
@@ -231,6 +169,26 @@ def read_messages(spark, path: str) -> DataFrame:
     return normalise(parse_messages(spark.read.text(path)))
 
 
+def sent_at(date: Column) -> Column:
+    """Time of a date header (day, month, year, time, zone; a weekday before it is ignored); null if it is none."""
+    plain = F.regexp_replace(F.trim(date), "^[A-Za-z]{3}, *", "")
+    return F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z"))
+
+
+def select_messages(mail: DataFrame, limit: int, sender: str | None = None, label: str | None = None,
+                    newer_than: Column | None = None) -> DataFrame:
+    """The newest ``limit`` messages that pass all given filters: sender (contained, whatever its case), label, and time
+    after ``newer_than``. Messages without a readable date come last; equal dates by id."""
+    kept = mail.withColumn("sent_at", sent_at(F.col("date")))
+    if sender is not None:
+        kept = kept.where(F.contains(F.lower("sender"), F.lit(sender.lower())))
+    if label is not None:
+        kept = kept.where(F.array_contains("labels", label))
+    if newer_than is not None:
+        kept = kept.where(F.col("sent_at") > newer_than)
+    return kept.orderBy(F.col("sent_at").desc_nulls_last(), "id").limit(limit)
+
+
 def mail_documents(mail: DataFrame, prefix: str = DOCUMENT_PREFIX) -> DataFrame:
     """Normalised mail → (filename, content, metadata) documents for ingest.
 
@@ -245,134 +203,3 @@ def mail_documents(mail: DataFrame, prefix: str = DOCUMENT_PREFIX) -> DataFrame:
     )
     return mail.select(F.concat(F.lit(prefix), F.col("id")).alias("filename"), content.alias("content"),
                        meta.alias("metadata"))
-
-
-# --------------------------------------------------------------------------- test-data binding
-def _b64(text: Column) -> Column:
-    return F.translate(F.regexp_replace(F.base64(F.encode(text, "UTF-8")), "[\\r\\n=]", ""), "+/", "-_")
-
-
-def _escape_html(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
-                     F.lit(">"), F.lit("&gt;"))
-
-
-def _js(value: Column) -> Column:
-    """A string Column as a JSON string literal (quoted, escaped); null → JSON null."""
-    arr = F.to_json(F.array(value.cast("string")))
-    return F.when(value.isNull(), F.lit("null")).otherwise(arr.substr(F.lit(2), F.length(arr) - 2))
-
-
-def _obj(**fields: Column) -> Column:
-    """JSON object text from already-encoded JSON values."""
-    items = []
-    for i, (k, v) in enumerate(fields.items()):
-        items += [F.lit(("{" if i == 0 else ",") + f'"{k}":'), v]
-    return F.concat(*items, F.lit("}"))
-
-
-def _arr(*values: Column) -> Column:
-    return F.concat(F.lit("["), F.concat_ws(",", *values), F.lit("]"))
-
-
-def _part(mime: str, data: Column | None = None, parts: list[Column] | None = None,
-          filename: Column | None = None, att: Column | None = None, headers: Column | None = None) -> Column:
-    f = {"mimeType": _js(F.lit(mime)), "filename": _js(filename if filename is not None else F.lit(""))}
-    if headers is not None:
-        f["headers"] = headers
-    body = {"data": _js(data) if data is not None else F.lit("null")}
-    if att is not None:
-        body["attachmentId"] = _js(att)
-    f["body"] = _obj(**body)
-    if parts is not None:
-        f["parts"] = _arr(*parts)
-    return _obj(**f)
-
-
-def documents_as_messages(docs: DataFrame) -> DataFrame:
-    """Each document as one message JSON string (column ``value``).
-
-    en (and others): single text/plain body; fr: multipart/alternative with the
-    plain text and an HTML copy; de: single HTML body, duplicate From headers and
-    no Subject; es: multipart/mixed holding an alternative part, an attachment and
-    a trailing signature part.
-    """
-    def h(name: str, value: Column) -> Column:
-        return _obj(name=_js(F.lit(name)), value=_js(value))
-
-    text, src, lang, did = F.col("text"), F.col("source"), F.col("lang"), F.col("doc_id").cast("string")
-    subject = tx.compact(F.left(text, F.lit(40)))
-    std = _arr(h("From", src), h("To", F.lit("inbox@example.com")), h("Subject", subject), h("Date", lang))
-    de_h = _arr(h("From", F.lit("unknown")), h("FROM", src), h("Date", lang))
-    plain = _part("text/plain", _b64(text), headers=std)
-    fr = _part("multipart/alternative", headers=std, parts=[
-        _part("text/plain", _b64(text)),
-        _part("text/html", _b64(F.concat(F.lit("<p>"), _escape_html(text), F.lit("</p>")))),
-    ])
-    de = _part("text/html", _b64(F.concat(F.lit("<div>"), _escape_html(text), F.lit("</div>"))), headers=de_h)
-    es = _part("multipart/mixed", headers=std, parts=[
-        _part("multipart/alternative", parts=[_part("text/plain", _b64(text))]),
-        _part("application/pdf", filename=F.concat(F.lit("doc"), did, F.lit(".pdf")), att=F.concat(F.lit("att"), did)),
-        _part("text/plain", _b64(F.concat(F.lit("-- "), src))),
-    ])
-    payload = F.when(lang == "fr", fr).when(lang == "de", de).when(lang == "es", es).otherwise(plain)
-    value = _obj(id=_js(did), threadId=_js(F.concat(F.lit("t"), src)),
-                 labelIds=_arr(_js(F.lit("INBOX")), _js(F.upper(lang))),
-                 snippet=_js(tx.compact(F.left(text, F.lit(60)))), payload=payload)
-    return docs.select(value.alias("value"))
-
-
-def _mail_rows(spark, sf) -> DataFrame:
-    return normalise(parse_messages(documents_as_messages(table(spark, sf, "documents"))))
-
-
-@register("mail_normalise")
-def mail_normalise_q(spark, sf):
-    m = _mail_rows(spark, sf)
-    return m.select("id", "thread_id", "sender", "recipient", "subject", "date",
-                    F.size("labels").cast("bigint").alias("n_labels"), "snippet", "text",
-                    F.size("attachments").cast("bigint").alias("n_attachments"))
-
-
-@register("mail_parts")
-def mail_parts_q(spark, sf):
-    m = _mail_rows(spark, sf)
-    return m.select("id", F.explode_outer("attachments").alias("a")).where(F.col("a").isNotNull()).select(
-        "id", F.col("a.filename").alias("filename"), F.col("a.attachment_id").alias("attachment_id"))
-
-
-@register("mail_ingest_documents")
-def mail_ingest_documents_q(spark, sf):
-    return mail_documents(_mail_rows(spark, sf)).select("filename", "content")
-
-
-# --------------------------------------------------------------------------- oracles
-def _clean_sql(x: str) -> str:
-    return ("regexp_replace(regexp_replace(regexp_replace(replace(" + x + ", chr(13), ''), '\\n{3,}', "
-            "chr(10) || chr(10), 'g'), '[^\\S\\n]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')")
-
-
-_STRIP = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
-_MAIL_TEXT = f"""CASE lang WHEN 'fr' THEN {_clean_sql("text || chr(10) || " + _STRIP)}
-                 WHEN 'de' THEN {_clean_sql(_STRIP)}
-                 WHEN 'es' THEN {_clean_sql("text || chr(10) || '-- ' || source")}
-                 ELSE {_clean_sql('text')} END"""
-_SUBJECT = f"CASE WHEN lang = 'de' THEN '(no subject)' ELSE coalesce(nullif({sql_compact('left(text, 40)')}, ''), '(no subject)') END"
-
-ORACLE["mail_normalise"] = f"""
-SELECT CAST(doc_id AS VARCHAR) AS id, 't' || source AS thread_id, source AS sender,
-       CASE WHEN lang = 'de' THEN NULL ELSE 'inbox@example.com' END AS recipient,
-       {_SUBJECT} AS subject, lang AS date, 2::BIGINT AS n_labels, {sql_compact('left(text, 60)')} AS snippet,
-       {_MAIL_TEXT} AS text, CASE WHEN lang = 'es' THEN 1 ELSE 0 END::BIGINT AS n_attachments
-FROM documents"""
-
-ORACLE["mail_parts"] = """
-SELECT CAST(doc_id AS VARCHAR) AS id, 'doc' || CAST(doc_id AS VARCHAR) || '.pdf' AS filename,
-       'att' || CAST(doc_id AS VARCHAR) AS attachment_id
-FROM documents WHERE lang = 'es'"""
-
-ORACLE["mail_ingest_documents"] = f"""
-SELECT 'mail:' || CAST(doc_id AS VARCHAR) AS filename,
-       'Subject: ' || {_SUBJECT} || chr(10) || 'From: ' || source || chr(10) || 'Date: ' || lang || chr(10) || chr(10)
-       || {_MAIL_TEXT} AS content
-FROM documents"""

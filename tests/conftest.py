@@ -15,3 +15,12 @@ def spark():
     s = get_spark("local[4]", shuffle_partitions=4, app_name="corpusflow-tests")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def spread(spark):
+    """Small tables over several partitions: AQE would put them into one."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    yield spark
+    spark.conf.unset(key)

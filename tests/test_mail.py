@@ -69,3 +69,38 @@ def test_bad_json_is_quarantined(spark):
     raw = spark.createDataFrame([("not json",), ("[1]",), (None,), (json.dumps({"id": "ok"}),)], "value string")
     assert [r["id"] for r in mail.normalise(mail.parse_messages(raw)).collect()] == ["ok"]
     assert sorted(str(r["detail"]) for r in mail.bad_messages(raw).collect()) == ["None", "[1]", "not json"]
+
+
+def test_depth_of_a_message_does_not_reach_the_plan(spark):
+    """A message of a thousand levels beside a flat one: the same plan, both read; deeper than JSON can be is quarantined."""
+    def nested(levels):
+        part = {"mimeType": "text/plain", "body": {"data": b64(b"deep down")}}
+        opened = '{"mimeType": "multipart/mixed", "parts": ['
+        return '{"id": "d%d", "payload": ' % levels + opened * levels + json.dumps(part) + "]}" * levels + "}"
+
+    raw = spark.createDataFrame([(nested(1000),), (nested(1),), (nested(200_000),), (json.dumps({"id": "flat", "payload": {
+        "mimeType": "text/plain", "body": {"data": b64(b"on top")}}}),)], "value string")
+    found = mail.normalise(mail.parse_messages(raw))
+    assert {r["id"]: r["text"] for r in found.collect()} == {"d1000": "deep down", "d1": "deep down", "flat": "on top"}
+    assert [r["reason"] for r in mail.bad_messages(raw).collect()] == ["nested_too_deeply"]
+    flat = mail.normalise(mail.parse_messages(raw.where("length(value) < 300")))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(found) - size(flat)) < 200
+
+
+def test_selection(spark):
+    def message(i, sender, label, date):
+        return {"id": i, "labelIds": [label], "payload": {"mimeType": "text/plain", "headers": [
+            {"name": "From", "value": sender}, {"name": "Date", "value": date}], "body": {"data": b64(b"x")}}}
+
+    raw = spark.createDataFrame([(json.dumps(m),) for m in [
+        message("a", "Ann <ann@x>", "INBOX", "Mon, 1 Jan 2024 10:00:00 +0000"), message("b", "ann@x", "INBOX", "Mon, 01 Jan 2024 12:00:00 +0200"),
+        message("c", "bob@x", "INBOX", "2 Jan 2024 00:00:00 +0000"), message("d", "ann@x", "SPAM", "3 Jan 2024 00:00:00 +0000"),
+        message("e", "ANN@x", "INBOX", "no date")]], "value string")
+    rows = mail.normalise(mail.parse_messages(raw))
+    ids = lambda df: [r["id"] for r in df.collect()]
+    assert ids(mail.select_messages(rows, 10)) == ["d", "c", "a", "b", "e"]
+    assert ids(mail.select_messages(rows, 2, sender="ann@", label="INBOX")) == ["a", "b"]
+    from pyspark.sql import functions as F
+
+    assert ids(mail.select_messages(rows, 10, newer_than=F.to_timestamp(F.lit("2024-01-01 10:00:00")))) == ["d", "c"]

@@ -5,7 +5,7 @@ import spec
 from corpusflow.operators.quantiles import summary_stats
 
 
-def test_summary_stats_match_python_on_skewed_groups(spark):
+def test_summary_stats_match_python_on_skewed_groups(spark, spread):
     rnd = random.Random(4)
     rows = []
     # group "hot" holds a third of the rows, most of them one repeated value
@@ -16,7 +16,7 @@ def test_summary_stats_match_python_on_skewed_groups(spark):
             rows.append((g, round(rnd.expovariate(0.1), 2)))
     rows.append(("single", 7.5))
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
-    got = {r["g"]: r for r in summary_stats(df, ["g"], "v", {"p95": 0.95}, buckets=16).collect()}
+    got = {r["g"]: r for r in summary_stats(df, ["g"], "v", {"p95": 0.95}).collect()}
     by = {}
     for g, v in rows:
         by.setdefault(g, []).append(v)
@@ -26,3 +26,22 @@ def test_summary_stats_match_python_on_skewed_groups(spark):
         assert r["mean"] == round(statistics.mean(vs), 3)
         assert r["p50"] == round(statistics.median(vs), 3)
         assert r["p95"] == round(spec.nearest_rank(vs, 0.95), 3)
+
+
+def test_a_group_with_most_rows_spreads_over_ranges(spark, spread):
+    from corpusflow.operators.quantiles import exact_ranks
+    from corpusflow.operators.sequences import sequenced
+
+    rows = spark.range(40_000).selectExpr("if(id % 10 = 0, cast(id % 3 as string), 'hot') AS g", "cast((id * 7919) % 40009 as double) AS v")
+    held = sequenced(rows, ["g"], ["v"]).where("g = 'hot'").groupBy("_part").count().collect()
+    assert len(held) >= 3 and max(r["count"] for r in held) <= 36_000 / 2
+    values = sorted(r["v"] for r in rows.where("g = 'hot'").collect())
+    asked = spark.createDataFrame([("hot", f"r{k}", k) for k in (1, 2, 17_999, 18_000, 35_999, 36_000)], "g string, label string, r long")
+    got = {r["label"]: r["value_at_rank"] for r in exact_ranks(rows, ["g"], "v", asked).collect()}
+    assert got == {f"r{k}": values[k - 1] for k in (1, 2, 17_999, 18_000, 35_999, 36_000)}
+
+
+def test_null_groups_and_values(spark, spread):
+    rows = spark.createDataFrame([(None, 3.0), (None, 1.0), ("a", None), ("a", 2.0), ("b", None)], "g string, v double")
+    got = {r["g"]: (r["n"], r["p50"], r["p95"]) for r in summary_stats(rows, ["g"], "v", {"p95": 0.95}).collect()}
+    assert got == {None: (2, 2.0, 3.0), "a": (1, 2.0, 2.0)}

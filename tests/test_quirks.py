@@ -62,10 +62,11 @@ def test_q10_history_newlines_vanish(spark):
     assert q == "Recent conversation:\nUser: line one line two Assistant: ok\nCurrent question:\nnext"
 
 
-def test_q11_markup_with_gt_in_attribute_is_documented(spark):
-    df = spark.createDataFrame([('<p title="a>b">text</p>',)], "h string")
-    # A regex tag scanner ends the tag at the first '>', leaking the attribute tail.
-    assert df.select(tx.html_to_text("h")).first()[0] == 'b">text'
+def test_q11_markup_with_gt_in_attribute(spark):
+    rows = [('<p title="a>b">text</p>', "text"), ("<a href='x>y' b=\"<>\">one</a> two", "one\ntwo"), ("caf&eacute; &#8217;x &amp;lt; A&B", "café ’x &lt; A&B"),
+            ("1 < 2 and <b>3 > 2</b>", "1 < 2 and\n3 > 2"), ('<p title="open>text</p>', "text"), ("&copy; &quot;x&quot;", '© "x"'), (None, "")]
+    df = spark.createDataFrame([(h,) for h, _ in rows], "h string")
+    assert [r[0] for r in df.select(tx.html_to_text("h")).collect()] == [t for _, t in rows]
 
 
 def test_q14_index_write_reports_stored_count(spark, tmp_path, corpus):
