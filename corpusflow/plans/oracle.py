@@ -500,6 +500,21 @@ SELECT m.qid AS query_id,
 FROM msgs m LEFT JOIN cp ON cp.query_id = m.qid"""
 
 
+ORACLE["answer_compressed"] = f"""
+WITH {CHUNKS_CTE},
+{history_query_cte(800)},
+msgs AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid, message, query FROM rq),
+{chunk_vector_ranked('combined', 3, queries='msgs', qkey='qid', qtext='query', name='ar')},
+hits AS (SELECT ar.query_id, ar.rank, ar.score, c.filename, c.content FROM ar JOIN chunks c ON c.chunk_id = ar.doc_key),
+{packed_sql('hits', 160, 400, 'cp')},
+src AS (SELECT query_id, {NL} || {NL} || 'Sources:' || {NL} ||
+               string_agg('- ' || filename || ' (score: ' || {_score_text('score')} || ')', {NL} ORDER BY rank) AS sources
+        FROM hits GROUP BY query_id)
+SELECT m.qid AS query_id, m.query, CASE WHEN cp.context IS NOT NULL THEN {_PROMPT.format(nl=NL)}
+            ELSE 'Question: ' || m.message || {NL} || {NL} || 'Answer:' END AS prompt, coalesce(src.sources, '') AS sources
+FROM msgs m LEFT JOIN cp ON cp.query_id = m.qid LEFT JOIN src ON src.query_id = m.qid"""
+
+
 def eval_variant_sql(queries: str, variant: str, packed: bool, truth: bool) -> str:
     """``queries``: CTE with (qid, message, query). Doc-level hash top-3 + contexts + sums."""
     p = variant[:2]

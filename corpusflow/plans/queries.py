@@ -18,6 +18,7 @@ from corpusflow.functions.hashing import chunk_id
 from corpusflow.functions.vectors import cosine, l2_normalise, norm
 from corpusflow.operators import context as ctx
 from corpusflow.operators.ann import ann_topk, build_ann
+from corpusflow.operators.answers import answer_prompts
 from corpusflow.operators import maintenance as mt
 from corpusflow.operators.chunking import chunk_documents, combined_text, fetch_document
 from corpusflow.operators.embedding import (md5_hash_vector, sparse_entries, split_by_contract,
@@ -458,6 +459,12 @@ def build_prompts_q(spark, sf):
     return ctx.build_prompts(msgs, contexts)
 
 
+@register("answer_compressed")
+def answer_compressed_q(spark, sf):
+    """Every user turn with its history, through search and packing, to the prompt and its sources."""
+    return answer_prompts(table(spark, sf, "conversations"), _chunks(spark, sf), EVAL_COMPRESSION, k=K).select("query_id", "query", "prompt", "sources")
+
+
 def _eval_variant(spark, sf, queries: DataFrame, qkey: str, message: str, query: str,
                   cfg: CompressionConfig, truth: DataFrame | None, variant: str) -> DataFrame:
     """One evaluation variant. The hits are read once: hit flags, plain and packed

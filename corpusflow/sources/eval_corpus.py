@@ -1,14 +1,15 @@
 """Evaluation corpus source and the report sink.
 
 Corpus file: ``{"documents": [{id, filename, content}], "queries": [{text,
-expected, history: [[user, assistant], ...]}]}`` read with ``multiLine`` JSON and
-exploded into two DataFrames. The report is one row of nested structs written
+expected, history: [...]}]}`` read with ``multiLine`` JSON and
+exploded into two DataFrames. A history item is a list ``[user, assistant]`` or an object with ``user`` (or
+``message``) and ``assistant`` (or ``response``); other items, and lists of fewer than two, are no history. The report is one row of nested structs written
 as JSON (one small file: the report is a single row by construction).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,10 +19,21 @@ CORPUS_SCHEMA = T.StructType([
         T.StructField("content", T.StringType())]))),
     T.StructField("queries", T.ArrayType(T.StructType([
         T.StructField("text", T.StringType()), T.StructField("expected", T.StringType()),
-        T.StructField("history", T.ArrayType(T.ArrayType(T.StringType())))]))),
+        T.StructField("history", T.ArrayType(T.StringType()))]))),  # each item as its JSON text
 ])
 
 
+def history_pairs(items) -> Column:
+    """JSON texts of history items → array of [user, assistant]."""
+    def pair(item: Column) -> Column:
+        listed, named = F.from_json(item, "array<string>"), F.from_json(item, "user string, message string, assistant string, response string")
+        user, answer = (F.coalesce(F.nullif(named[a], F.lit("")), named[b], F.lit("")) for a, b in (("user", "message"), ("assistant", "response")))
+        return (F.when(item.startswith("[") & (F.size(listed) >= 2), F.array(F.coalesce(listed[0], F.lit("")), F.coalesce(listed[1], F.lit(""))))
+                .when(item.startswith("{"), F.array(user, answer)))
+
+    return F.filter(F.transform(items, pair), lambda p: p.isNotNull())
+
+
 def read_eval_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents(pos, id, filename, content), queries(query_id, text, expected, history))."""
     raw = spark.read.schema(CORPUS_SCHEMA).option("multiLine", "true").json(path)
@@ -29,7 +41,7 @@ def read_eval_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
         F.col("pos").cast("bigint").alias("pos"), "d.id", "d.filename", "d.content")
     queries = raw.select(F.posexplode("queries").alias("query_id", "q")).select(
         F.col("query_id").cast("bigint").alias("query_id"), "q.text", "q.expected",
-        F.coalesce("q.history", F.array().cast("array<array<string>>")).alias("history"))
+        F.coalesce(history_pairs(F.col("q.history")), F.array().cast("array<array<string>>")).alias("history"))
     return docs, queries
 
 

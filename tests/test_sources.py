@@ -34,12 +34,15 @@ def test_eval_corpus_and_report(spark):
     path = os.path.join(root, "corpus.json")
     with open(path, "w") as f:
         json.dump({"documents": [{"id": "a", "filename": "a.txt", "content": "x"}],
-                   "queries": [{"text": "q", "expected": "a", "history": [["u", "v"]]}, {"text": "r", "expected": "a"}]},
+                   "queries": [{"text": "q", "expected": "a", "history": [["u", "v"]]}, {"text": "r", "expected": "a"},
+                               {"text": "s", "expected": "a", "history": [{"user": "x", "response": "y"}, {"message": "m"}, ["short"], "odd",
+                                                                          {"user": "", "message": "n", "assistant": "z"}, [None, "only"], 5]}]},
                   f, indent=2)
     docs, queries = read_eval_corpus(spark, path)
     assert docs.count() == 1
     qs = {r["query_id"]: r for r in queries.collect()}
     assert qs[0]["history"] == [["u", "v"]] and qs[1]["history"] == []
+    assert qs[2]["history"] == [["x", "y"], ["m", ""], ["n", "z"], ["", "only"]]
     out = os.path.join(root, "report")
     write_report(docs.select(F.struct("id", "filename").alias("d")), out)
     assert len([p for p in os.listdir(out) if p.endswith(".json")]) == 1
