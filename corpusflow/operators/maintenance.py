@@ -1,41 +1,173 @@
-"""Index table build and maintenance: write, schema guard, delete, replace,
+"""Index table build and maintenance: create, write, schema guard, delete, replace,
 duplicates, statistics and ingest status.
 
-The index is a Parquet table partitioned by ``bucket = pmod(xxhash64(filename), n)``
-so that deleting or replacing a document rewrites only the buckets it touches
-(dynamic partition overwrite) instead of the whole table.
+The index is a Parquet table partitioned by ``bucket = pmod(xxhash64(filename), buckets)``, so that deleting or
+replacing a document rewrites only the buckets it touches (dynamic partition overwrite) instead of the whole table. How
+many buckets there are, and the vectors' dimension, stand beside the data in ``_index`` and hold for the table's life.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.config import HASH_DIM, ChunkConfig
-from corpusflow.operators.chunking import chunk_documents, combined_text, n_chunks
-from corpusflow.operators.embedding import EmbeddingProvider, embed_column, md5_hash_vector, provenance, split_by_contract
 from corpusflow.functions.text import words
+from corpusflow.operators.chunking import chunk_documents, combined_text, n_chunks
+from corpusflow.operators.embedding import (EmbeddingProvider, embed_column, md5_hash_vector, provenance, split_by_contract,
+                                            vector_violation)
 from corpusflow.session import ensure_checkpoint_dir
 
+#: Buckets of a table whose size is not known in advance, and bytes of index meant for one bucket otherwise.
 INDEX_BUCKETS = 64
+BUCKET_BYTES = 512 << 20
 VECTOR_FIELDS = ("content_embedding", "filename_embedding", "combined_embedding")
 
 # Fixed value: status line of a stored document.
 STATUS_TEMPLATE = "Indexed %d chunks from %s"
 
 
-def bucket_of(filename) -> F.Column:
+def bucket_of(filename, buckets: int = INDEX_BUCKETS) -> F.Column:
     c = F.col(filename) if isinstance(filename, str) else filename
-    return F.pmod(F.xxhash64(c), F.lit(INDEX_BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+
+# --------------------------------------------------------------------------- the stored table
+@dataclass(frozen=True)
+class IndexInfo:
+    """What holds for a stored index. ``dimension`` is None for an index without vectors."""
+
+    buckets: int
+    dimension: int | None = None
+
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``."""
+    fs, p = _hadoop(spark, path)
+    return int(fs.getContentSummary(p).getLength())
+
+
+def index_info(spark: SparkSession, path: str) -> IndexInfo | None:
+    """The stored facts of the index at ``path``; None if there is no index."""
+    about = f"{path.rstrip('/')}/_index"
+    if not path_exists(spark, about):
+        return None
+    row = spark.read.schema("buckets int, dimension int").json(about).first()
+    return IndexInfo(row["buckets"], row["dimension"])
+
+
+def create_index(spark: SparkSession, path: str, dimension: int | None = None, expected_bytes: int | None = None,
+                 buckets: int | None = None) -> IndexInfo:
+    """The index at ``path``, created if absent. The bucket count follows ``expected_bytes`` unless given. An existing index
+    keeps its own facts; one of another dimension is an error that names both."""
+    found = index_info(spark, path)
+    if found is None:
+        wanted = buckets or (max(1, math.ceil(expected_bytes / BUCKET_BYTES)) if expected_bytes is not None else INDEX_BUCKETS)
+        spark.createDataFrame([(wanted, dimension)], "buckets int, dimension int").coalesce(1).write.mode("overwrite").json(
+            f"{path.rstrip('/')}/_index")
+        return IndexInfo(wanted, dimension)
+    if dimension is not None and found.dimension is not None and found.dimension != dimension:
+        raise ValueError(f"the index at {path} holds vectors of dimension {found.dimension}, the embedder gives {dimension}: "
+                         "build a new index with this embedder, or take the one that built this index")
+    return found
+
+
+def write_buckets(df: DataFrame, path: str, mode: str, clustered: bool = False) -> None:
+    """One task per bucket writes that bucket's file (no tasks × buckets file explosion).
+
+    ``clustered``: the input already holds one file per bucket (staging output), so it is copied without another shuffle.
+    Overwriting replaces the buckets that the rows fall in, for this write alone."""
+    out = df if clustered else df.repartition("bucket")
+    out.write.option("partitionOverwriteMode", "dynamic").partitionBy("bucket").mode(mode).parquet(path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p) and any(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(p))
+
+
+def replace_buckets(spark: SparkSession, path: str, touched: list[int], rows: DataFrame) -> None:
+    """``rows`` become all that the buckets ``touched`` hold. They are staged as Parquet beside the index first, which breaks the
+    read→overwrite cycle and makes a repeated call give the same table; buckets left without rows are removed."""
+    staging = f"{path.rstrip('/')}.staging/{uuid.uuid4().hex}"
+    write_buckets(rows, staging, "overwrite")
+    left: list[int] = []
+    if _has_rows(spark, staging):
+        staged = spark.read.parquet(staging)
+        write_buckets(staged, path, "overwrite", clustered=True)
+        left = [r["bucket"] for r in staged.select("bucket").distinct().collect()]  # one for each bucket
+    for bucket in set(touched) - set(left):
+        delete_path(spark, f"{path.rstrip('/')}/bucket={bucket}")
+    delete_path(spark, staging)
+
+
+def delete_from_index(spark: SparkSession, path: str, filenames: DataFrame, filename: str = "filename") -> int:
+    """Remove the chunks of the listed files from the stored index; the number of chunks removed (0: nothing was rewritten).
+
+    Only buckets that hold chunks of these files are read in full and rewritten."""
+    info = index_info(spark, path)
+    if info is None or not _has_rows(spark, path):
+        return 0
+    gone = filenames.select(F.col(filename).alias("filename")).distinct().withColumn("bucket", bucket_of("filename", info.buckets))
+    index = read_index(spark, path)
+    met = index.select("filename", "bucket").join(gone, ["bucket", "filename"], "left_semi").groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not met:
+        return 0
+    touched = [r["bucket"] for r in met]
+    kept = index.where(F.col("bucket").isin(touched)).join(gone.select("filename"), "filename", "left_anti")
+    replace_buckets(spark, path, touched, kept.select(index.columns))
+    return sum(r["n"] for r in met)
+
+
+def replace_in_index(batch: DataFrame, path: str, filename: str = "filename") -> None:
+    """Upsert: rows of the batch's files replace their previous rows. Only the buckets the batch touches are rewritten, and a
+    repeated call gives the same table."""
+    spark = batch.sparkSession
+    info = create_index(spark, path)
+    # The batch is read several times below; keep it rather than run its transform for each use.
+    batch = batch.withColumn("bucket", bucket_of(filename, info.buckets)).persist()
+    try:
+        if not _has_rows(spark, path):
+            write_buckets(batch, path, "append")
+            return
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most the table's buckets
+        index = read_index(spark, path)
+        survivors = index.where(F.col("bucket").isin(touched)).join(batch.select(filename).distinct(), filename, "left_anti")
+        replace_buckets(spark, path, touched, survivors.select(index.columns).unionByName(batch.select(index.columns)))
+    finally:
+        batch.unpersist()
+
+
+# --------------------------------------------------------------------------- rows
 def index_rows(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), dim: int = HASH_DIM,
                include_filename: bool = True, provider: str = "hash-md5", model: str = "md5-token-hash",
-               keep: list[str] | None = None, embedder: Callable[[], EmbeddingProvider] | None = None) -> DataFrame:
+               keep: list[str] | None = None, embedder: Callable[[], EmbeddingProvider] | None = None,
+               buckets: int = INDEX_BUCKETS) -> DataFrame:
     """Chunks with the three vectors and provenance.
 
     ``embedder`` makes the provider that embeds all three texts (once per task; once here to
@@ -53,7 +185,7 @@ def index_rows(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), dim: int = HAS
         dim = made.dimension
         origin = provenance(made)
     else:
-        origin = [F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(dim).alias("dimension")]
+        origin = [F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit("cpu").alias("device"), F.lit(dim).alias("dimension")]
 
     def vector(text: Column) -> Column:
         return embed_column(text, embedder, dim) if embedder else md5_hash_vector(text, dim, single=True)
@@ -68,7 +200,7 @@ def index_rows(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), dim: int = HAS
         vector(combined).alias("combined_embedding"),
         F.create_map().cast("map<string,string>").alias("metadata"),
         *origin,
-        bucket_of("filename").alias("bucket"),
+        bucket_of("filename", buckets).alias("bucket"),
     )
 
 
@@ -91,22 +223,30 @@ def cluster_by_bucket(df: DataFrame, files_per_bucket: int = 1) -> DataFrame:
     return df.repartition(F.col("bucket"), salt)
 
 
-def write_index(index: DataFrame, path: str, mode: str = "append", files_per_bucket: int = 1) -> dict:
-    """Append to (or overwrite) the Parquet index; ``streaming.ingest`` replaces single files in it.
+def write_index(index: DataFrame, path: str, mode: str = "append", files_per_bucket: int = 1, buckets: int | None = None) -> dict:
+    """Append to (or overwrite) the Parquet index, which is created if absent; ``replace_in_index`` replaces single files in it.
 
-    Returns metrics observed while writing (no second pass over the data): the
-    number of stored chunks and of chunks written without a content vector.
+    Rows of which a vector does not keep the contract (null, empty, another dimension, not finite) are not stored. Returns
+    the number of rows stored and of those left out, observed while writing; ``index_parts`` gives the latter with reasons.
     """
     from pyspark.sql import Observation
 
-    obs = Observation("index_write")
-    stamped = index.withColumn("indexed_at", F.current_timestamp()).observe(
-        obs, F.count(F.lit(1)).alias("stored"),
-        F.sum(F.when(F.col("content_embedding").isNull(), 1).otherwise(0)).alias("missing_vectors"))
-    writer = cluster_by_bucket(stamped, files_per_bucket).write.partitionBy("bucket")
-    writer.mode(mode).parquet(path)
-    metrics = obs.get
-    return {"stored": int(metrics.get("stored") or 0), "missing_vectors": int(metrics.get("missing_vectors") or 0)}
+    spark = index.sparkSession
+    if mode == "overwrite":
+        delete_path(spark, path)
+    made = index.select("dimension").first() if "dimension" in index.columns else None
+    info = create_index(spark, path, made["dimension"] if made else None, buckets=buckets)
+    fields = [f for f in VECTOR_FIELDS if f in index.columns]
+    odd = F.lit(False)
+    for f in fields:
+        odd = odd | vector_violation(F.col(f), info.dimension).isNotNull()
+    seen = Observation("index_write")
+    stamped = index.withColumn("bucket", bucket_of("filename", info.buckets)).withColumn("indexed_at", F.current_timestamp()).withColumn(
+        "_odd", odd if info.dimension is not None else F.lit(False))
+    stamped = stamped.observe(seen, F.sum(F.when(F.col("_odd"), 0).otherwise(1)).alias("stored"),
+                              F.sum(F.when(F.col("_odd"), 1).otherwise(0)).alias("missing_vectors"))
+    cluster_by_bucket(stamped.where("not _odd").drop("_odd"), files_per_bucket).write.partitionBy("bucket").mode("append").parquet(path)
+    return {name: int(seen.get.get(name) or 0) for name in ("stored", "missing_vectors")}
 
 
 def dimension_guard(index: DataFrame, expected: int, fields=VECTOR_FIELDS) -> DataFrame:
@@ -162,6 +302,17 @@ def index_stats(index: DataFrame) -> DataFrame:
     )
 
 
+def index_table_stats(spark: SparkSession, path: str) -> DataFrame:
+    """``index_stats`` of the stored index, with ``size_bytes`` as it lies on disk."""
+    return index_stats(read_index(spark, path)).withColumn("size_bytes", F.lit(stored_bytes(spark, path)).cast("bigint"))
+
+
+def stored_status(index: DataFrame) -> DataFrame:
+    """Per file of the index: the chunks it holds and the status line."""
+    held = index.groupBy("filename").agg(F.count(F.lit(1)).alias("chunks"))
+    return held.withColumn("status", F.format_string(STATUS_TEMPLATE, F.col("chunks"), F.col("filename")))
+
+
 def ingest_status(docs: DataFrame, cfg: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Per document: stored chunk count and the status line. The count comes from the
     closed-form chunk count on the document row — no shuffle, no join back."""

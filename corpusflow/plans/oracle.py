@@ -597,18 +597,7 @@ SELECT doc_id, version::BIGINT AS version, chunk_index::BIGINT AS chunk_index,
 FROM ch JOIN latest USING (filename, version)"""
 
 # ----------------------------------------------------------------------------- K
-ORACLE["stream_ingest"] = f"""
-WITH {CHUNKS_CTE}
-SELECT doc_id, chunk_index::BIGINT AS chunk_index, chunk_id FROM chunks"""
-
-ORACLE["stream_dedup"] = "SELECT DISTINCT md5(text) AS text_md5 FROM documents"
-
-ORACLE["stream_counts"] = """
-SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS status, count(*)::BIGINT AS events
-FROM events GROUP BY ALL"""
-
-
 def oracle_sql() -> dict[str, str]:
-    from corpusflow.plans import mail_queries  # noqa: F401  (adds mail oracles)
+    from corpusflow.plans import mail_queries, table_queries  # noqa: F401  (they add theirs)
 
     return dict(ORACLE)

@@ -542,7 +542,6 @@ def replace_documents_q(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpusflow.streaming import ingest as streaming_ingest  # noqa: F401  (registers stream queries)
-    from corpusflow.plans import mail_queries  # noqa: F401  (registers mail queries)
+    from corpusflow.plans import mail_queries, table_queries  # noqa: F401  (they register theirs)
 
     return dict(QUERIES)

@@ -1,199 +1,152 @@
 """Structured Streaming forms of ingest.
 
-* K1 ``stream_ingest``: file drops → the same stateless chunk transform as the batch
-  path → ``foreachBatch`` replace-by-filename into the bucketed Parquet index.
-  The upsert rewrites only the buckets the micro-batch touches (dynamic partition
-  overwrite) and is idempotent per batch, so a replayed batch gives the same table.
-* K2 ``stream_dedup``: exact-duplicate suppression by content hash with bounded
-  state (``dropDuplicatesWithinWatermark``).
-* K3 ``stream_counts``: running event counts per day and status.
-
-All scratch output goes under the session's ``spark.checkpoint.dir``.
+* K1 ``run_stream_ingest``: arriving documents are cleaned, chunked, embedded and checked in each micro-batch; good documents
+  replace their former chunks in the bucketed index, the others go to a quarantine table with a reason, and a log
+  has a row per document. All three are written by batch number, so a replayed batch leaves the same tables.
+* K2 ``deduplicated``: exact-duplicate suppression by content hash, whose state ends with its horizon.
+* K3 ``count_windows``: counts per window and status in a table of updates; windows leave the state when they can't change.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.config import ChunkConfig
-from corpusflow.operators.chunking import chunk_documents
-from corpusflow.operators.maintenance import bucket_of, scratch_path
-from corpusflow.plans.queries import register
-from corpusflow.sources.tables import balanced, documents, table
+from corpusflow.config import HASH_DIM, ChunkConfig
+from corpusflow.functions.text import clean_text, words
+from corpusflow.operators.embedding import EmbeddingProvider, vector_violation
+from corpusflow.operators.maintenance import (VECTOR_FIELDS, create_index, delete_path, index_rows, path_exists, replace_in_index,
+                                              scratch_path)
+from corpusflow.sources.tables import balanced
 
+# States of a document in the ingest log.
+STORED, FAILED = "stored", "failed"
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+
+def latest_in_batch(docs: DataFrame, version: str, filename: str = "filename") -> DataFrame:
+    """One row per file: that with the greatest version (of equal ones, the greatest row)."""
+    rest = [c for c in docs.columns if c not in (version, filename)]
+    newest = docs.groupBy(filename).agg(F.max(F.struct(version, *rest)).alias("_newest"))
+    return newest.select(*[F.col(filename) if c == filename else F.col(f"_newest.{c}").alias(c) for c in docs.columns])
 
 
-def _delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def _by_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """The rows of one batch; a replayed batch replaces its own."""
+    (df.withColumn("batch", F.lit(batch_id).cast("long")).write.option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch").mode("overwrite").parquet(path))
+
+
+def ingest_batch(docs: DataFrame, batch_id: int, index_path: str, log_path: str, cfg: ChunkConfig = ChunkConfig(), version: str = "doc_id",
+                 embedder: Callable[[], EmbeddingProvider] | None = None, dim: int = HASH_DIM, clean: bool = True) -> None:
+    """Store one batch of documents (``version, filename, content``). A document fails whole if it has no content, no
+    words, or a text the embedder gives no proper vector for; its former version then stays in the index."""
+    spark = docs.sparkSession
+    newest = latest_in_batch(balanced(docs), version)
+    content = clean_text("content") if clean else F.col("content")
+    empty = F.when(F.col("content").isNull(), F.lit("missing")).when(F.size(words("content")) == 0, F.lit("empty"))
+    made = embedder() if embedder else None
+    info = create_index(spark, index_path, made.dimension if made else dim)
+    # Texts are embedded once: the checked rows are staged, and everything below reads them.
+    staged = scratch_path(spark, "ingest-batch")
+    rows = index_rows(newest.where(empty.isNull()).withColumn("content", content), cfg, dim=info.dimension, keep=[version], embedder=embedder,
+                      buckets=info.buckets)
+    odd = F.coalesce(*[vector_violation(F.col(f), info.dimension) for f in VECTOR_FIELDS])
+    rows.withColumn("_odd", odd).write.parquet(staged)
+    rows = spark.read.parquet(staged)
+    per_file = rows.groupBy("filename").agg(F.count(F.lit(1)).alias("chunks"), F.max("_odd").alias("reason"))
+    log = newest.select("filename", empty.alias("_empty")).join(per_file, "filename", "left").select(
+        "filename", F.coalesce("_empty", "reason").alias("reason"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
+    log = log.select("filename", F.when(F.col("reason").isNull(), STORED).otherwise(FAILED).alias("status"),
+                     F.when(F.col("reason").isNull(), F.col("chunks")).otherwise(0).cast("bigint").alias("chunks"), "reason")
+    bad = per_file.where(F.col("reason").isNotNull()).select("filename")
+    replace_in_index(rows.join(bad, "filename", "left_anti").drop("_odd"), index_path)
+    _by_batch(log, log_path, batch_id)
+    delete_path(spark, staged)
+
+
+def ingest_totals(spark: SparkSession, log_path: str) -> DataFrame:
+    """(batches, found, stored, failed, chunks) of all batches: found = stored + failed, however often a batch was replayed."""
+    log = spark.read.parquet(log_path)
+    return log.agg(F.countDistinct("batch").alias("batches"), F.count(F.lit(1)).alias("found"),
+                   F.coalesce(F.sum((F.col("status") == STORED).cast("bigint")), F.lit(0)).alias("stored"),
+                   F.coalesce(F.sum((F.col("status") == FAILED).cast("bigint")), F.lit(0)).alias("failed"),
+                   F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+
+
+def quarantined(spark: SparkSession, log_path: str) -> DataFrame:
+    """The documents that were not stored, in the layout of other quarantines."""
+    log = spark.read.parquet(log_path).where(F.col("status") == FAILED)
+    return log.select(F.lit("ingest").alias("source"), F.col("filename").alias("key"), "reason",
+                      F.format_string("cannot store %s: %s", "filename", "reason").alias("detail"))
 
 
-def _write_buckets(df: DataFrame, path: str, mode: str, clustered: bool = False) -> None:
-    """One task per bucket writes that bucket's file (no tasks × buckets file explosion).
+def run_stream_ingest(spark: SparkSession, incoming: str, schema, index_path: str, checkpoint: str,
+                      cfg: ChunkConfig = ChunkConfig(), files_per_trigger: int = 1, version: str = "doc_id",
+                      embedder: Callable[[], EmbeddingProvider] | None = None, dim: int = HASH_DIM, clean: bool = True,
+                      log_path: str | None = None) -> dict:
+    """All documents that have arrived in ``incoming``, ``files_per_trigger`` files a micro-batch; ``ingest_totals`` as a dict.
+
+    Of several versions of a file in one micro-batch the one with the greatest ``version`` is stored."""
+    log_path = log_path or f"{index_path.rstrip('/')}.log"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(incoming)
 
-    Size the bucket count so a bucket is about one target file (e.g. 1 GB): then a
-    micro-batch rewrites only the few files it touches, at any table size.
-    ``clustered``: the input already holds one file per bucket (staging output),
-    so it is copied without another shuffle.
-    """
-    out = df if clustered else df.repartition("bucket")
-    # Overwriting replaces the buckets that the rows fall in, for this write alone.
-    out.write.option("partitionOverwriteMode", "dynamic").partitionBy("bucket").mode(mode).parquet(path)
+    def store(docs: DataFrame, batch_id: int) -> None:
+        ingest_batch(docs, batch_id, index_path, log_path, cfg, version, embedder, dim, clean)
 
+    q = (stream.writeStream.foreachBatch(store)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if not path_exists(spark, log_path):
+        return {"batches": 0, "found": 0, "stored": 0, "failed": 0, "chunks": 0}
+    return ingest_totals(spark, log_path).first().asDict()
 
-def replace_by_filename(batch: DataFrame, index_path: str, filename: str = "filename") -> None:
-    """Upsert one micro-batch: rows of the batch's files replace their previous rows.
 
-    Only the buckets the batch touches are rewritten (dynamic partition overwrite).
-    The merged buckets are first written as Parquet to a staging folder next to the
-    index (never a machine-local folder), which breaks the read→overwrite cycle; a
-    replayed batch produces the same buckets again, so the upsert is idempotent.
-    """
-    spark = batch.sparkSession
-    # The micro-batch (bounded by maxFilesPerTrigger) is read several times below;
-    # keep it rather than re-running the chunk transform for each use.
-    batch = batch.withColumn("bucket", bucket_of(filename)).persist()
+@contextmanager
+def state_store(spark: SparkSession, partitions: int | None = None):
+    """Settings of a *new* stateful query: one state partition per task slot (the number is fixed in the checkpoint when the
+    query first starts), and a state store on disk (RocksDB), so state is not bounded by the executors' heap. The session's
+    settings are restored afterwards."""
+    wanted = {"spark.sql.shuffle.partitions": str(partitions or spark.sparkContext.defaultParallelism),
+              "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        _merge_batch(spark, batch, index_path, filename)
+        yield
     finally:
-        batch.unpersist()
-
-
-def _merge_batch(spark: SparkSession, batch: DataFrame, index_path: str, filename: str) -> None:
-    if not _path_exists(spark, index_path):
-        _write_buckets(batch, index_path, "append")
-        return
-    # At most INDEX_BUCKETS small ints: a bounded list that turns into static
-    # partition pruning of the existing index.
-    touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]
-    existing = spark.read.parquet(index_path)
-    survivors = (existing.where(F.col("bucket").isin(touched))
-                 .join(batch.select(filename).distinct(), filename, "left_anti"))
-    merged = survivors.unionByName(batch.select(*existing.columns))
-    staging = f"{index_path.rstrip('/')}.staging/{uuid.uuid4().hex}"
-    _write_buckets(merged, staging, "overwrite")
-    _write_buckets(spark.read.parquet(staging), index_path, "overwrite", clustered=True)
-    _delete_path(spark, staging)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def latest_in_batch(docs: DataFrame, version: str, filename: str = "filename") -> DataFrame:
-    """One row per file: that with the greatest version (of equal ones, the greatest row)."""
-    rest = [c for c in docs.columns if c not in (version, filename)]
-    newest = docs.groupBy(filename).agg(F.max(F.struct(version, *rest)).alias("_newest"))
-    return newest.select(*[F.col(filename) if c == filename else F.col(f"_newest.{c}").alias(c) for c in docs.columns])
+def deduplicated(stream: DataFrame, key: Column, time: str, horizon: str = "30 days") -> DataFrame:
+    """``stream`` with ``key`` (as ``dedup_key``), without rows whose key was seen within ``horizon`` before them by ``time``.
 
+    The state of a key ends ``horizon`` after its first row, as the watermark passes: state holds the keys of one horizon,
+    and a copy that comes later counts as new. Rows later than the horizon behind the newest are dropped."""
+    return stream.withColumn("dedup_key", key).withWatermark(time, horizon).dropDuplicatesWithinWatermark(["dedup_key"])
 
-def run_stream_ingest(spark: SparkSession, incoming: str, schema, index_path: str, checkpoint: str,
-                      cfg: ChunkConfig = ChunkConfig(), files_per_trigger: int = 1, version: str = "doc_id") -> dict:
-    """New document files → chunks → upsert into the index, one micro-batch at a time.
 
-    Of several versions of a file in one micro-batch the one with the greatest ``version`` is stored.
+def count_windows(stream: DataFrame, time: str, status: str, window: str = "1 day", lateness: str = "31 days") -> DataFrame:
+    """Counts by window and status, as updates. Rows of up to ``lateness`` behind the newest are counted; a window that ended longer
+    ago leaves the state."""
+    return (stream.withWatermark(time, lateness).groupBy(F.window(time, window).alias("w"), F.col(status).alias("status"))
+            .agg(F.count(F.lit(1)).alias("events")))
 
-    The chunk transform is the batch one, applied to each micro-batch inside
-    ``foreachBatch`` after spreading a batch that arrives in fewer splits than
-    there are task slots (a batch of one file would otherwise be one task).
-    Returns the run totals from the query progress (micro-batches, documents read).
-    """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(incoming)
 
-    def upsert(docs: DataFrame, _batch_id: int) -> None:
-        chunks = chunk_documents(latest_in_batch(balanced(docs), version), cfg, keep=["doc_id"])
-        replace_by_filename(chunks, index_path)
+def write_counts(counts: DataFrame, path: str, checkpoint: str):
+    """Run ``count_windows`` over what has arrived. Each micro-batch writes only the windows that changed."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        _by_batch(batch.select("w.start", "status", "events"), path, batch_id)
 
-    q = (stream.writeStream.foreachBatch(upsert)
+    q = (counts.writeStream.outputMode("update").foreachBatch(store)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    progress = [p for p in q.recentProgress if p]
-    return {"batches": len(progress), "input_rows": sum(int(p["numInputRows"]) for p in progress)}
+    return q
 
 
-@contextmanager
-def state_partitions(spark: SparkSession, n: int | None = None):
-    """Number of state-store partitions for a *new* stateful query.
-
-    It is fixed in the checkpoint when the query first starts, so it is chosen
-    here: one per task slot by default (the session default of 200 tiny state
-    partitions costs 200 state commits per micro-batch). The session setting is
-    restored afterwards.
-    """
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n or spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def _drop_files(df: DataFrame, path: str, n_files: int = 4) -> None:
-    """Write a table as several files so the stream sees several arrivals."""
-    df.repartition(n_files).write.mode("overwrite").parquet(path)
-
-
-@register("stream_ingest")
-def stream_ingest_q(spark, sf):
-    root = scratch_path(spark, "stream-ingest")
-    d = documents(spark, sf).select("doc_id", "filename", "content")
-    incoming = os.path.join(root, "incoming")
-    _drop_files(d, incoming)
-    index_path = os.path.join(root, "index")
-    run_stream_ingest(spark, incoming, d.schema, index_path, os.path.join(root, "checkpoint"))
-    return spark.read.parquet(index_path).select(
-        "doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_id")
-
-
-@register("stream_dedup")
-def stream_dedup_q(spark, sf, delay: str = "3650 days"):
-    root = scratch_path(spark, "stream-dedup")
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    incoming = os.path.join(root, "incoming")
-    _drop_files(d, incoming)
-    out = os.path.join(root, "unique")
-    stream = (spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-              # Arrival (ingest) time: rows are never behind the watermark, so every copy
-              # arriving within ``delay`` of the first is suppressed and state stays bounded.
-              .withColumn("arrived_at", F.current_timestamp())
-              .withColumn("text_md5", F.md5("text"))
-              .withWatermark("arrived_at", delay)
-              .dropDuplicatesWithinWatermark(["text_md5"]))
-    with state_partitions(spark):
-        q = (stream.select("text_md5").writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start())
-        q.awaitTermination()
-    return spark.read.parquet(out).select("text_md5")
-
-
-@register("stream_counts")
-def stream_counts_q(spark, sf):
-    root = scratch_path(spark, "stream-counts")
-    ev = table(spark, sf, "events").select("event_id", "ts", "event_type")
-    incoming = os.path.join(root, "incoming")
-    _drop_files(ev, incoming)
-    out = os.path.join(root, "counts")
-    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-    counts = (stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
-              .groupBy(F.window("ts", "1 day").alias("w"), F.col("event_type").alias("status"))
-              .agg(F.count(F.lit(1)).alias("events")))
-
-    def _write(batch: DataFrame, _id: int) -> None:
-        # Complete mode hands every batch the whole (small, per-day) result table.
-        batch.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "status", "events") \
-            .write.mode("overwrite").parquet(out)
-
-    with state_partitions(spark):
-        q = (counts.writeStream.outputMode("complete").foreachBatch(_write)
-             .option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start())
-        q.awaitTermination()
-    return spark.read.parquet(out)
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(start, status, events): of each window and status its last update."""
+    return spark.read.parquet(path).groupBy("start", "status").agg(F.max_by("events", "batch").alias("events"))

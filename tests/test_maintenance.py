@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusflow.config import ChunkConfig
 from corpusflow.operators import maintenance as mt
 from corpusflow.operators.chunking import chunk_documents
-from corpusflow.streaming.ingest import replace_by_filename
+from corpusflow.operators.maintenance import replace_in_index
 
 
 def _docs(spark, rows):
@@ -35,14 +35,14 @@ def test_duplicates_and_stats(spark):
     assert status["a.txt"] == "Indexed 1 chunks from a.txt"
 
 
-def test_replace_by_filename_is_idempotent(spark):
+def test_replace_in_index_is_idempotent(spark):
     root = tempfile.mkdtemp(prefix="cf-index-")
     path = os.path.join(root, "index")
     v1 = chunk_documents(_docs(spark, [(1, "a.txt", "a b c"), (2, "b.txt", "d e")]), ChunkConfig(2, 1))
-    replace_by_filename(v1, path)
+    replace_in_index(v1, path)
     v2 = chunk_documents(_docs(spark, [(1, "a.txt", "NEW")]), ChunkConfig(2, 1))
-    replace_by_filename(v2, path)
-    replace_by_filename(v2, path)  # replayed micro-batch
+    replace_in_index(v2, path)
+    replace_in_index(v2, path)  # replayed micro-batch
     rows = sorted((r["filename"], r["content"]) for r in spark.read.parquet(path).collect())
     assert rows == [("a.txt", "NEW"), ("b.txt", "d e")]
 
@@ -72,7 +72,7 @@ def test_stream_ingest_progress(spark):
     docs.repartition(3).write.parquet(os.path.join(root, "in"))
     totals = run_stream_ingest(spark, os.path.join(root, "in"), docs.schema, os.path.join(root, "idx"),
                                os.path.join(root, "ck"), ChunkConfig(4, 1))
-    assert totals["input_rows"] == 6 and totals["batches"] >= 1
+    assert totals["found"] == totals["stored"] == 6 and totals["batches"] == 3 and totals["failed"] == 0
     assert spark.read.parquet(os.path.join(root, "idx")).select("filename").distinct().count() == 6
 
 
@@ -86,3 +86,139 @@ def test_two_versions_in_one_micro_batch(spark, tmp_path):
     run_stream_ingest(spark, str(tmp_path / "in"), schema, index, ckpt)
     assert {(r["filename"], r["content"]) for r in spark.read.parquet(index).collect()} == {("a.txt", "new words"), ("b.txt", "other")}
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+
+
+def test_ingest_stream_to_the_end(spark, tmp_path):
+    """Clean, embed, quarantine per document, totals that a replayed batch leaves as they are."""
+    from corpusflow.operators.embedding import CallableProvider
+    from corpusflow.streaming import ingest
+
+    def embed(text):
+        if "poison" in text:
+            raise ValueError("poison")
+        return [float(len(text)), 1.0]
+
+    embedder = lambda: CallableProvider(embed, 2, name="length", model="m")
+    schema = "doc_id long, filename string, content string"
+    first = [(1, "a.txt", "one\r\n\n\n\ntwo  \nthree"), (2, "b.txt", "poison here"), (3, "c.txt", None), (4, "d.txt", " \n ")]
+    second = [(5, "a.txt", "newer text"), (6, "e.txt", "more words"), (7, "c.txt", "now there")]
+    third = [(8, "e.txt", "poison now")]
+    index, log = str(tmp_path / "index"), str(tmp_path / "log")
+    for n, rows in enumerate((first, second, third)):
+        batch = spark.createDataFrame(rows, schema)
+        for _ in range(2 if n == 1 else 1):
+            ingest.ingest_batch(batch, n, index, log, ChunkConfig(2, 1), embedder=embedder)
+    rows = spark.read.parquet(index).collect()
+    assert {(r["filename"], r["content"]) for r in rows} == {("a.txt", "newer text"), ("e.txt", "more words"), ("c.txt", "now there")}
+    assert {(r["provider"], r["device"], r["dimension"]) for r in rows} == {("length", "cpu", 2)}
+    totals = ingest.ingest_totals(spark, log).first().asDict()
+    assert totals == {"batches": 3, "found": 8, "stored": 4, "failed": 4, "chunks": 5} and totals["found"] == totals["stored"] + totals["failed"]
+    assert sorted((r["key"], r["reason"]) for r in ingest.quarantined(spark, log).collect()) == [
+        ("b.txt", "null_vector"), ("c.txt", "missing"), ("d.txt", "empty"), ("e.txt", "null_vector")]
+    assert spark.read.parquet(log).where("filename = 'a.txt' AND batch = 0").first()["chunks"] == 2  # "one two" and "two three"
+
+
+def test_delete_rewrites_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "index")
+    mt.create_index(spark, path, buckets=16)
+    docs = _docs(spark, [(i, f"f{i}.txt", f"text {i}") for i in range(60)])
+    replace_in_index(chunk_documents(docs, ChunkConfig(5, 1)), path)
+    files = lambda: {os.path.join(b, f): os.stat(os.path.join(b, f)).st_mtime_ns for b, _, names in os.walk(path) for f in names if f.endswith(".parquet")}
+    before = files()
+    bucket = spark.range(1).select(mt.bucket_of(F.lit("f7.txt"), 16)).first()[0]
+    alone = [r["filename"] for r in spark.read.parquet(path).where(F.col("bucket") == bucket).collect()]
+    assert mt.delete_from_index(spark, path, spark.createDataFrame([("f7.txt",), ("absent",)], "filename string")) == 1
+    assert all(after == before.get(name) for name, after in files().items() if f"bucket={bucket}/" not in name)
+    assert mt.delete_from_index(spark, path, spark.createDataFrame([("f7.txt",)], "filename string")) == 0
+    # The rest of the bucket goes: an emptied bucket is no stale bucket.
+    assert mt.delete_from_index(spark, path, spark.createDataFrame([(f,) for f in alone], "filename string")) == len(alone) - 1
+    left = {r["filename"] for r in spark.read.parquet(path).collect()}
+    assert left == {f"f{i}.txt" for i in range(60)} - set(alone) - {"f7.txt"}
+    assert mt.index_info(spark, path).buckets == 16
+    assert mt.delete_from_index(spark, str(tmp_path / "none"), spark.createDataFrame([("x",)], "filename string")) == 0
+
+
+def test_an_index_keeps_its_dimension_and_buckets(spark, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "index")
+    assert mt.create_index(spark, path, 768, expected_bytes=3 * mt.BUCKET_BYTES) == mt.IndexInfo(3, 768)
+    assert mt.create_index(spark, path, 768, buckets=99) == mt.IndexInfo(3, 768)
+    with pytest.raises(ValueError, match="768.*384"):
+        mt.create_index(spark, path, 384)
+
+
+def test_bad_vectors_are_not_written(spark, tmp_path):
+    rows = mt.index_rows(_docs(spark, [(1, "a.txt", "x"), (2, "b.txt", "y"), (3, "c.txt", "z")]))
+    odd = rows.withColumn("content_embedding", F.when(F.col("filename") == "a.txt", F.lit(None)).when(
+        F.col("filename") == "b.txt", F.array(F.lit(1.0).cast("float"))).otherwise(F.col("content_embedding")))
+    path = str(tmp_path / "index")
+    assert mt.write_index(odd, path) == {"stored": 1, "missing_vectors": 2}
+    assert [r["filename"] for r in spark.read.parquet(path).collect()] == ["c.txt"]
+    stats = mt.index_table_stats(spark, path).first()
+    assert stats["document_count"] == 1 and stats["size_bytes"] > 1000
+
+
+def test_store_contract(spark, tmp_path):
+    import pytest
+
+    from corpusflow.operators.store import IndexStore, create_store, register_store
+
+    store = create_store("Parquet", spark, str(tmp_path / "store"), buckets=4)
+    assert store.store(_docs(spark, [(1, "a.txt", "alpha beta"), (2, "b.txt", "gamma delta")])).count() == 0
+    store.store(_docs(spark, [(3, "a.txt", "alpha again")]))
+    assert [r["content"] for r in store.fetch("a.txt").collect()] == ["alpha again"]
+    hits = store.search(spark.createDataFrame([(1, "alpha")], "query_id long, text string"), strategy="content_only", k=1).collect()
+    assert [(r["filename"], r["metadata"]) for r in hits] == [("a.txt", {})]
+    assert store.delete(spark.createDataFrame([("a.txt",)], "filename string")) is True
+    assert store.delete(spark.createDataFrame([("a.txt",)], "filename string")) is False
+    assert {r["filename"]: r["status"] for r in store.status().collect()} == {"b.txt": "Indexed 1 chunks from b.txt"}
+    assert store.stats().first()["files"] == 1
+    register_store("mine", lambda spark, path: ("mine", path))
+    assert create_store("mine", spark, "p") == ("mine", "p") and isinstance(store, IndexStore)
+    with pytest.raises(ValueError, match="mine, parquet"):
+        create_store("elsewhere")
+
+
+def _arrive(spark, root, n, rows, schema):
+    """One file, named so that it comes n-th."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(root, f"in/part={n}"))
+
+
+def test_dedup_state_ends_with_its_horizon(spark, tmp_path):
+    from corpusflow.streaming import ingest
+
+    root, seen, state = str(tmp_path), [], []
+    schema = "k string, at timestamp"
+    days = [[("a", "2024-01-01"), ("b", "2024-01-01"), ("a", "2024-01-02")], [("a", "2024-01-03"), ("c", "2024-03-01")],
+            [("d", "2024-03-02")], [("a", "2024-03-03"), ("c", "2024-03-03")], [("e", "2024-03-04")]]
+    for n, rows in enumerate(days):
+        import datetime
+
+        _arrive(spark, root, n, [(k, datetime.datetime.fromisoformat(d)) for k, d in rows], schema)
+        stream = ingest.deduplicated(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(root + "/in"), F.col("k"), "at", "10 days")
+        with ingest.state_store(spark, 2):
+            q = (stream.writeStream.foreachBatch(lambda df, i: seen.extend((r["k"], str(r["at"])[:10]) for r in df.collect()))
+                 .option("checkpointLocation", root + "/ck").trigger(availableNow=True).start())
+            q.awaitTermination()
+        state.append([p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1])
+    assert sorted(seen) == [("a", "2024-01-01"), ("a", "2024-03-03"), ("b", "2024-01-01"), ("c", "2024-03-01"), ("d", "2024-03-02"), ("e", "2024-03-04")]
+    assert max(state) <= 4 and state[-1] == 4 and state[0] == 2  # a, b of January are gone: c, d, a, e
+
+
+def test_count_windows_leave_the_state(spark, tmp_path):
+    import datetime
+
+    from corpusflow.streaming import ingest
+
+    root, state = str(tmp_path), []
+    schema = "ts timestamp, kind string"
+    for n, days in enumerate([[1, 1, 2], [2, 20], [21, 1], [22]]):
+        _arrive(spark, root, n, [(datetime.datetime(2024, 1, d, 5), "x") for d in days], schema)
+        counts = ingest.count_windows(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(root + "/in"), "ts", "kind", lateness="3 days")
+        with ingest.state_store(spark, 2):
+            q = ingest.write_counts(counts, root + "/out", root + "/ck")
+        state.append([p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1])
+    got = {r["start"].day: r["events"] for r in ingest.read_counts(spark, root + "/out").collect()}
+    assert got == {1: 2, 2: 2, 20: 1, 21: 1, 22: 1}  # the row of the 1st that came after the 20th is too late
+    assert state[0] == 2 and state[-1] <= 3
