@@ -93,45 +93,67 @@ def create_index(spark: SparkSession, path: str, dimension: int | None = None, e
     return found
 
 
-def write_buckets(df: DataFrame, path: str, mode: str, clustered: bool = False) -> None:
-    """One task per bucket writes that bucket's file (no tasks × buckets file explosion).
-
-    ``clustered``: the input already holds one file per bucket (staging output), so it is copied without another shuffle.
-    Overwriting replaces the buckets that the rows fall in, for this write alone."""
-    out = df if clustered else df.repartition("bucket")
-    out.write.option("partitionOverwriteMode", "dynamic").partitionBy("bucket").mode(mode).parquet(path)
+def write_buckets(df: DataFrame, path: str, mode: str) -> None:
+    """One task per bucket writes that bucket's file (no tasks × buckets file explosion)."""
+    df.repartition("bucket").write.partitionBy("bucket").mode(mode).parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _has_rows(spark: SparkSession, path: str) -> bool:
+def _buckets_in(spark: SparkSession, path: str) -> dict:
+    """Folder names of the buckets under ``path`` with their Hadoop paths."""
     fs, p = _hadoop(spark, path)
-    return fs.exists(p) and any(s.getPath().getName().startswith("bucket=") for s in fs.listStatus(p))
+    held = [s.getPath() for s in fs.listStatus(p)] if fs.exists(p) else []
+    return {f.getName(): f for f in held if f.getName().startswith("bucket=")}
 
 
 def replace_buckets(spark: SparkSession, path: str, touched: list[int], rows: DataFrame) -> None:
-    """``rows`` become all that the buckets ``touched`` hold. They are staged as Parquet beside the index first, which breaks the
-    read→overwrite cycle and makes a repeated call give the same table; buckets left without rows are removed."""
+    """``rows`` become all that the buckets ``touched`` hold (nothing, for those without rows).
+
+    They are written beside the index first and take the place of the old folders by renaming, the old ones aside. A
+    call that was cut off between is finished by ``finish_replacements`` before the next one reads the table."""
     staging = f"{path.rstrip('/')}.staging/{uuid.uuid4().hex}"
     write_buckets(rows, staging, "overwrite")
-    left: list[int] = []
-    if _has_rows(spark, staging):
-        staged = spark.read.parquet(staging)
-        write_buckets(staged, path, "overwrite", clustered=True)
-        left = [r["bucket"] for r in staged.select("bucket").distinct().collect()]  # one for each bucket
-    for bucket in set(touched) - set(left):
-        delete_path(spark, f"{path.rstrip('/')}/bucket={bucket}")
+    fs, top = _hadoop(spark, path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    staged = _buckets_in(spark, staging)
+    for bucket in [f"bucket={b}" for b in touched]:
+        mine, aside = place(top, bucket), place(f"{staging}/_old/{bucket}")
+        fs.mkdirs(aside.getParent())
+        if fs.exists(mine):
+            fs.rename(mine, aside)
+        if bucket in staged:
+            fs.rename(staged[bucket], mine)
     delete_path(spark, staging)
 
 
+def finish_replacements(spark: SparkSession, path: str) -> None:
+    """Put a bucket in its place whose old folder was moved aside by a call that did not come to its end: the new folder if it
+    was written whole, else the old one."""
+    waiting = f"{path.rstrip('/')}.staging"
+    fs, top = _hadoop(spark, waiting)
+    if not fs.exists(top):
+        return
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for run in [s.getPath().toString() for s in fs.listStatus(top)]:
+        whole = fs.exists(place(f"{run}/_SUCCESS"))
+        new, old = _buckets_in(spark, run) if whole else {}, _buckets_in(spark, f"{run}/_old")
+        for bucket in old:
+            mine = place(f"{path.rstrip('/')}/{bucket}")
+            if not fs.exists(mine) and (bucket in new or not whole):
+                fs.rename(new.get(bucket, old[bucket]), mine)
+        delete_path(spark, run)
+
+
 def delete_from_index(spark: SparkSession, path: str, filenames: DataFrame, filename: str = "filename") -> int:
     """Remove the chunks of the listed files from the stored index; the number of chunks removed (0: nothing was rewritten).
 
     Only buckets that hold chunks of these files are read in full and rewritten."""
     info = index_info(spark, path)
-    if info is None or not _has_rows(spark, path):
+    finish_replacements(spark, path)
+    if info is None or not _buckets_in(spark, path):
         return 0
     gone = filenames.select(F.col(filename).alias("filename")).distinct().withColumn("bucket", bucket_of("filename", info.buckets))
     index = read_index(spark, path)
@@ -149,10 +171,11 @@ def replace_in_index(batch: DataFrame, path: str, filename: str = "filename") ->
     repeated call gives the same table."""
     spark = batch.sparkSession
     info = create_index(spark, path)
+    finish_replacements(spark, path)
     # The batch is read several times below; keep it rather than run its transform for each use.
     batch = batch.withColumn("bucket", bucket_of(filename, info.buckets)).persist()
     try:
-        if not _has_rows(spark, path):
+        if not _buckets_in(spark, path):
             write_buckets(batch, path, "append")
             return
         touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most the table's buckets

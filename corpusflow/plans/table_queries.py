@@ -34,7 +34,8 @@ def _ingested(spark, sf):
         "CASE WHEN doc_id % 41 = 3 THEN NULL WHEN doc_id % 41 = 4 THEN ' \\n ' ELSE content END").alias("content"))
     incoming, index = os.path.join(root, "incoming"), os.path.join(root, "index")
     per_batch = arrivals(d, incoming)
-    mt.create_index(spark, index, dimension=256, expected_bytes=mt.stored_bytes(spark, incoming) * 8)
+    expected = mt.stored_bytes(spark, incoming) * 8
+    mt.create_index(spark, index, dimension=256, buckets=max(spark.sparkContext.defaultParallelism, -(-expected // mt.BUCKET_BYTES)))
     totals = ingest.run_stream_ingest(spark, incoming, d.schema, index, os.path.join(root, "checkpoint"), files_per_trigger=per_batch)
     return index, f"{index}.log", totals
 

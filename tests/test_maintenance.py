@@ -138,6 +138,25 @@ def test_delete_rewrites_touched_buckets_only(spark, tmp_path):
     assert mt.delete_from_index(spark, str(tmp_path / "none"), spark.createDataFrame([("x",)], "filename string")) == 0
 
 
+def test_a_replacement_that_was_cut_off_is_finished(spark, tmp_path):
+    """The old folder is aside and the new one not yet in place; or the new one was never written whole."""
+    for whole in (True, False):
+        path = str(tmp_path / f"index{whole}")
+        mt.create_index(spark, path, buckets=1)
+        replace_in_index(chunk_documents(_docs(spark, [(1, "a.txt", "old"), (2, "b.txt", "kept")]), ChunkConfig(5, 1)), path)
+        run = f"{path}.staging/run"
+        rows = spark.read.parquet(path).withColumn("content", F.when(F.col("filename") == "a.txt", "new").otherwise(F.col("content")))
+        mt.write_buckets(rows, run, "overwrite")
+        if not whole:
+            os.remove(f"{run}/_SUCCESS")
+        os.makedirs(f"{run}/_old")
+        os.rename(f"{path}/bucket=0", f"{run}/_old/bucket=0")
+        replace_in_index(chunk_documents(_docs(spark, [(3, "c.txt", "added")]), ChunkConfig(5, 1)), path)
+        got = {(r["filename"], r["content"]) for r in spark.read.parquet(path).collect()}
+        assert got == {("a.txt", "new" if whole else "old"), ("b.txt", "kept"), ("c.txt", "added")}
+        assert not os.path.exists(run)
+
+
 def test_an_index_keeps_its_dimension_and_buckets(spark, tmp_path):
     import pytest
 
