@@ -3,6 +3,8 @@
 A text is cut into blocks of 2 * STRIDE words, one starting every STRIDE words, so any
 passage of up to STRIDE words lies whole in a block. A block meets a template if the
 share of the template's distinct words that it holds reaches the template's threshold.
+Longer templates (whole license texts) meet longer blocks: the stride of a template is the smallest of STRIDE,
+2 * STRIDE, 4 * STRIDE, ... that holds its words.
 
 The join is exact. Words are ordered by how many documents hold them, rarest first, over
 the whole corpus. A template that needs o of its t words must share one of its t - o + 1
@@ -80,13 +82,20 @@ def _word_frequencies(docs: DataFrame, text_col: str, vocabulary: list[str]) ->
     return {r["_cf_word"]: r["count"] for r in held.groupBy("_cf_word").count().collect()}
 
 
+def stride_of(template: Template, stride: int = STRIDE) -> int:
+    while stride < len(template.words):
+        stride *= 2
+    return stride
+
+
 def scan_licenses(docs: DataFrame, templates: list[Template] | None = None, id_col: str = "doc_id",
                   text_col: str = "text", stride: int = STRIDE) -> DataFrame:
     """One row per document: ``n_words``; ``places`` (label and first word of each phrase place);
     ``labels`` met by any template; ``score``, the highest share among the templates met."""
     templates = PHRASES + NOTICES if templates is None else templates
-    if any(not t.words or len(t.words) > stride for t in templates):
-        raise ValueError(f"templates need 1 to {stride} words")
+    if any(not t.words for t in templates):
+        raise ValueError("templates need words")
+    strides = [stride_of(t, stride) for t in templates]
     vocabulary = sorted({w for t in templates for w in t.words})
     seen = _word_frequencies(docs, text_col, vocabulary)
     ranked = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
@@ -97,34 +106,38 @@ def scan_licenses(docs: DataFrame, templates: list[Template] | None = None, id_c
     for k, t in enumerate(templates):
         ordered = sorted(set(t.words), key=rank.__getitem__)
         for i, w in enumerate(ordered[:len(ordered) - t.needed + 1]):
-            index.append((w, k, t.label, t.phrase, t.words, ordered, i, t.needed))
+            index.append((w, k, t.label, t.phrase, t.words, ordered, i, t.needed, strides[k]))
     index = docs.sparkSession.createDataFrame(
         index, "_cf_iw string, _cf_t int, _cf_label string, _cf_phrase boolean, _cf_twords array<string>, "
-               "_cf_ordered array<string>, _cf_i int, _cf_needed int")
-    least = min(t.needed for t in templates)
+               "_cf_ordered array<string>, _cf_i int, _cf_needed int, _cf_istride int")
+    # Blocks of each stride in use, and how many template words a block must hold to meet any template of its stride.
+    least = {n: min(t.needed for t, own in zip(templates, strides) if own == n) for n in sorted(set(strides))}
+    starts = ", ".join(f"transform(sequence(0, size(_cf_words) - 1, {n}), a -> named_struct('stride', {n}, 'at', a))" for n in least)
+    fewest = "CASE " + " ".join(f"WHEN _cf_stride = {n} THEN {few}" for n, few in least.items()) + " END"
 
     blocks = (docs.select(F.col(id_col).alias("_cf_id"), words_of(text_of(text_col)).alias("_cf_words"))
               .withColumn("_cf_row", F.monotonically_increasing_id())
               # -1 marks the document itself, so that documents without a match stay.
-              .withColumn("_cf_at", F.explode(F.expr(
-                  f"CASE WHEN size(_cf_words) > 0 THEN concat(array(-1), sequence(0, size(_cf_words) - 1, {stride})) "
-                  "ELSE array(-1) END"))))
+              .withColumn("_cf_start", F.explode(F.expr(
+                  f"CASE WHEN size(_cf_words) > 0 THEN concat(array(named_struct('stride', 0, 'at', -1)), {starts}) "
+                  "ELSE array(named_struct('stride', 0, 'at', -1)) END")))
+              .withColumns({"_cf_at": F.col("_cf_start.at"), "_cf_stride": F.col("_cf_start.stride")}))
     known = F.array(*[F.lit(w) for w in ranked])
-    blocks = blocks.select("_cf_row", "_cf_id", F.size("_cf_words").cast("long").alias("_cf_n"), "_cf_at",
-                           F.expr(f"CASE WHEN _cf_at >= 0 THEN slice(_cf_words, _cf_at + 1, {2 * stride}) END").alias("_cf_block"))
+    blocks = blocks.select("_cf_row", "_cf_id", F.size("_cf_words").cast("long").alias("_cf_n"), "_cf_at", "_cf_stride",
+                           F.expr("CASE WHEN _cf_at >= 0 THEN slice(_cf_words, _cf_at + 1, 2 * _cf_stride) END").alias("_cf_block"))
     blocks = blocks.withColumn("_cf_held", F.when(F.col("_cf_at") >= 0, F.array_intersect(known, F.col("_cf_block"))))
-    prefix = F.expr(f"CASE WHEN _cf_at < 0 THEN array('') WHEN size(_cf_held) >= {least} "
-                    f"THEN slice(_cf_held, 1, size(_cf_held) - {least - 1}) ELSE array() END")
+    prefix = F.expr(f"CASE WHEN _cf_at < 0 THEN array('') WHEN size(_cf_held) >= {fewest} "
+                    f"THEN slice(_cf_held, 1, size(_cf_held) - {fewest} + 1) ELSE array() END")
     probes = blocks.select("*", F.posexplode(prefix).alias("_cf_j", "_cf_word"))
-    pairs = probes.join(F.broadcast(index), F.col("_cf_word") == F.col("_cf_iw"), "left")
+    pairs = probes.join(F.broadcast(index), (F.col("_cf_word") == F.col("_cf_iw")) & (F.col("_cf_stride") == F.col("_cf_istride")), "left")
     fits = F.expr("size(_cf_held) >= _cf_needed AND _cf_j <= size(_cf_held) - _cf_needed AND "
                   "1 + least(size(_cf_ordered) - 1 - _cf_i, size(_cf_held) - 1 - _cf_j) >= _cf_needed")
     pairs = pairs.filter((F.col("_cf_at") < 0) | (F.col("_cf_iw").isNotNull() & fits))
 
     share = F.size(F.array_intersect("_cf_ordered", "_cf_held"))
     met = pairs.withColumn("_cf_share", F.when(F.col("_cf_at") >= 0, share)).withColumn(
-        "_cf_starts", F.expr(f"""CASE WHEN _cf_phrase AND _cf_share >= _cf_needed THEN
-            filter(transform(sequence(0, least({stride}, size(_cf_block)) - 1),
+        "_cf_starts", F.expr("""CASE WHEN _cf_phrase AND _cf_share >= _cf_needed THEN
+            filter(transform(sequence(0, least(_cf_stride, size(_cf_block)) - 1),
                              i -> CASE WHEN slice(_cf_block, i + 1, size(_cf_twords)) = _cf_twords THEN _cf_at + i END),
                    s -> s IS NOT NULL) END"""))
     # A phrase is met where it stands; another template where enough of its words are in the block.
