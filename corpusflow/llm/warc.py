@@ -16,7 +16,10 @@ Defined results: a null payload is an empty one; a null id stays null and cannot
 record that others revisit; a null url is written as ``about:blank``, and line ends and tabs in it as %XX;
 repeated rows get a record each (those with the largest id are all responses); an empty
 table gives an archive without records. A record whose segments are incomplete, whose framing is
-broken or whose digest differs has the reason in ``error`` and a null payload where none could be decoded.
+broken or whose digest differs has the reason in ``error`` and a null payload where none could be decoded. Digests may be
+in base 32 or hexadecimal; one in neither is an error of its record. Where a file holds no record at its place (it is cut off, or
+a header is broken) there is a row with the reason, and reading goes on at the next record. A file is read
+as one value, so one of over 2 GB, which this writer never makes, cannot be read.
 """
 
 from __future__ import annotations
@@ -153,19 +156,60 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
      .write.option("lineSep", _SEPARATOR).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path))
 
 
-def walk(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (lower-case names) and block of each record of a WARC file."""
+def _at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+    """Header fields (lower-case names) and block of the record at a place, and the place behind it; ValueError if there is none."""
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0 or not data.startswith(b"WARC/", at):
+        raise ValueError(f"no WARC record at byte {at}")
+    lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+    fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+    size = fields.get("content-length", "")
+    if not (size.isascii() and size.isdigit()):
+        raise ValueError(f"record without its length at byte {at}")
+    after = end + 4 + int(size)
+    if after > len(data):
+        raise ValueError(f"record cut off at byte {at}")
+    block, here = data[end + 4:after], after
+    while data[here:here + 2] == b"\r\n":
+        here += 2
+    return fields, block, here
+
+
+def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Fields, block and error of each record of a WARC file; behind a place without one, from the next record on."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        at = end + 4 + int(fields["content-length"])
-        yield fields, data[end + 4:at]
-        while data[at:at + 2] == b"\r\n":
-            at += 2
+        try:
+            fields, block, at = _at(data, at)
+            yield fields, block, None
+        except ValueError as e:
+            yield {}, b"", str(e)
+            at = data.find(b"\r\n\r\nWARC/", at + 1)
+            if at < 0:
+                return
+            at += 4
+
+
+def walk(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields and block of each record; ValueError where there is none."""
+    for fields, block, error in records(data):
+        if error:
+            raise ValueError(error)
+        yield fields, block
+
+
+def _sha1(value: str) -> tuple[str | None, str | None]:
+    """Lower-case hexadecimal of a payload digest, and what is wrong with it. Other algorithms are not looked at."""
+    name, _, digits = value.partition(":")
+    if name.lower() != "sha1":
+        return None, None
+    if re.fullmatch("[0-9a-fA-F]{40}", digits):
+        return digits.lower(), None
+    try:
+        found = base64.b32decode(digits.upper()).hex()
+    except ValueError:
+        found = ""
+    return (found, None) if len(found) == 40 else (None, "unreadable digest")
 
 
 def _decoded(block: bytes, digest: str | None) -> tuple[bytes | None, str | None]:
@@ -182,19 +226,25 @@ def _decoded(block: bytes, digest: str | None) -> tuple[bytes | None, str | None
 
 
 def _rows(data: bytes, segments: bool) -> Iterator[tuple]:
-    for f, block in walk(data):
+    for f, block, broken in records(data):
+        if broken:
+            if not segments:
+                yield (None,) * 10 + (broken,)
+            continue
         kind = f.get("warc-type")
-        is_segment = "warc-segment-number" in f
+        number, total, length = (f.get(n) for n in ("warc-segment-number", "warc-segment-total-length", "warc-payload-length"))
+        is_segment = number is not None
         if is_segment != segments or kind not in ("response", "revisit", "continuation"):
             continue
-        digest = f.get("warc-payload-digest", "")
-        digest = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
+        digest, odd = _sha1(f.get("warc-payload-digest", ""))
         body, error = (block, None) if segments else (None, None) if kind == "revisit" else _decoded(block, digest)
-        size = f.get("warc-payload-length") if kind == "revisit" else None if body is None else len(body)
+        size = _whole(length) if kind == "revisit" else None if body is None else len(body)
         yield (f.get("warc-segment-origin-id") or f.get("warc-record-id"), kind, f.get("warc-page-id"), f.get("warc-target-uri"),
-               digest, None if size is None else int(size), f.get("warc-refers-to-page-id"),
-               int(f["warc-segment-number"]) if is_segment else None,
-               int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, body, error)
+               digest, size, f.get("warc-refers-to-page-id"), _whole(number), _whole(total), body, error or odd)
+
+
+def _whole(digits: str | None) -> int | None:
+    return int(digits) if digits and digits.isascii() and digits.isdigit() and len(digits) < 10 else None
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:

@@ -81,3 +81,29 @@ def test_broken_records_are_reported(spark, tmp_path):
     assert found["digest"] == (b"hello", "digest differs")
     assert found["gap"][0] is None and "segments" in found["gap"][1]
     assert len(found) == 4
+
+
+def test_foreign_digests_and_cut_files(spark, tmp_path):
+    """Digests in hex, base 32 (either case) and neither; a file cut in a block, one cut in a header, one with rubbish between."""
+    import base64
+
+    def rec(page, block, digest=None, kind="response"):
+        more = [("WARC-Payload-Digest", digest)] if digest else []
+        return warc._record([("WARC-Type", kind), ("WARC-Record-ID", f"<{page}>"), ("WARC-Page-ID", page), *more], block) + b"\r\n\r\n"
+
+    block = b"HTTP/1.1 200 OK\r\n\r\nhello"
+    sha = hashlib.sha1(b"hello")
+    b32 = base64.b32encode(sha.digest()).decode()
+    good = rec("hex", block, "sha1:" + sha.hexdigest().upper()) + rec("b32", block, "SHA1:" + b32.lower()) + rec("md5", block, "md5:xyz")
+    files = {"a": good + rec("neither", block, "sha1:??"), "b": rec("whole", block) + rec("cut", block)[:-12],
+             "c": rec("before", block) + b"WARC/1.1\r\nWARC-Type: resp", "d": b"rubbish\r\n\r\n" + rec("after", block),
+             "e": b"WARC/1.1\r\nContent-Length: many\r\n\r\n" + b"\r\n\r\n" + rec("later", block), "f": b""}
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    found = {r["page"]: (r["payload"] and bytes(r["payload"]), r["digest"], r["error"]) for r in rows if r["page"]}
+    assert found == {"hex": (b"hello", sha.hexdigest(), None), "b32": (b"hello", sha.hexdigest(), None), "md5": (b"hello", None, None),
+                     "neither": (b"hello", None, "unreadable digest"),
+                     **{p: (b"hello", None, None) for p in ("whole", "before", "after", "later")}}
+    errors = sorted(r["error"].split(" at byte")[0] for r in rows if not r["page"])
+    assert errors == ["no WARC record", "no WARC record", "record cut off", "record without its length"]
