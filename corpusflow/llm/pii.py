@@ -129,10 +129,16 @@ _TOKEN = re.compile(r"\S+")
 _MARKED = re.compile(r"\S*[0-9@]\S*")
 
 
+#: Feature definitions: longer shapes are one class; a token's neighbours see so much of its shape.
+SHAPE_CHARS, SIDE_CHARS = 200, 12
+
+
 def shape(token: str) -> str:
-    """Letters become x, digits stay apart as d with their number, other characters stay; runs of x shrink to one."""
-    marked = re.sub(r"[^\W\d_]+", "x", token[:200])
-    return re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 20)}", marked)
+    """Letters become x, digits stay apart as d with their number, other characters stay; runs of x shrink to one.
+    The whole token is looked at; a shape of more than SHAPE_CHARS characters is "long"."""
+    marked = re.sub(r"[^\W\d_]+", "x", token)
+    found = re.sub(r"[0-9]+", lambda m: f"d{min(len(m[0]), 20)}", marked)
+    return found if len(found) <= SHAPE_CHARS else "long"
 
 
 def core(token: str) -> tuple[int, int]:
@@ -162,7 +168,7 @@ def _side(token: str | None) -> str:
     if token is None or not re.search("[0-9@]", token):
         return "-"
     a, b = core(token)
-    return re.sub("x+", "x", shape(token[a:b]))[:12]
+    return re.sub("x+", "x", shape(token[a:b]))[:SIDE_CHARS]
 
 
 def features(tokens: list[str], i: int) -> list[str]:
