@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.llm.common import text_key, text_of
+from corpusflow.llm.common import text_key, text_of, written
 
 SIZE = 128
 #: Text bytes of a range of ids, and the most ranges (a range is a sort key, not a memory bound).
@@ -105,6 +105,31 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
+def _bounds(narrow: DataFrame, range_bytes: int, slots: int) -> np.ndarray:
+    """Ids that cut the documents into ranges of about equal bytes: ``range_bytes`` or, of small tables, enough for all slots.
+    Finer cuts by rows are weighed first (a few numbers per cut), then joined until a range is full."""
+    rows, total = narrow.agg(F.count(F.lit(1)), F.sum("_cf_bytes")).first()
+    ranges = int(min(MAX_RANGES, rows, max(2 * slots, -(-(total or 0) // range_bytes))))
+    if ranges <= 1:
+        return np.empty(0, np.int64)
+    fine = min(4 * ranges, 4 * MAX_RANGES)
+    cuts = narrow.select(F.col("_cf_order").cast("double").alias("o")).approxQuantile("o", [i / fine for i in range(1, fine)], 1 / (4 * fine))
+    cuts = np.unique(np.array(cuts).clip(-2.0**62, 2.0**62).astype(np.int64))
+
+    @F.pandas_udf("int")
+    def piece_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), side="right").astype(np.int32))
+
+    held = {r["p"]: r["b"] for r in narrow.groupBy(piece_of("_cf_order").alias("p")).agg(F.sum("_cf_bytes").alias("b")).collect()}
+    bounds, size = [], 0
+    for piece, cut in enumerate(cuts):
+        size += held.get(piece, 0)
+        if size >= total / ranges:
+            bounds.append(cut)
+            size = 0
+    return np.array(bounds, np.int64)
+
+
 def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row per document: ``n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
@@ -113,13 +138,9 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not isinstance(kind, T.IntegralType):
         raise ValueError("ids must be whole numbers")
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST))
-    total = docs.agg(F.sum(F.octet_length(text_of(text_col)))).first()[0] or 0
-    ranges = int(min(MAX_RANGES, max(1, -(-total // range_bytes))))
-    bounds = np.empty(0, np.int64)
-    if ranges > 1:
-        cuts = docs.select(order.cast("double").alias("o")).approxQuantile(
-            "o", [i / ranges for i in range(1, ranges)], 1 / (8 * ranges))
-        bounds = np.unique(np.array(cuts).clip(-2.0**62, 2.0**62).astype(np.int64))
+    narrow = written(docs.select(order.alias("_cf_order"), text_key(text_col).alias("_cf_key"),
+                                 (F.octet_length(text_of(text_col)) + 1).cast("long").alias("_cf_bytes")), "text-sizes")
+    bounds = _bounds(narrow, range_bytes, docs.sparkSession.sparkContext.defaultParallelism)
 
     @F.pandas_udf("int")
     def range_of(ids: pd.Series) -> pd.Series:
@@ -129,7 +150,7 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        text_of(text_col).alias("_cf_text")).withColumn("_cf_range", range_of("_cf_order"))
     # The first document of each range also goes to the end of the range before it (MAX_RANGES rows at most).
     firsts = sorted((r["_cf_range"], r["f"]["_cf_order"], r["f"]["_cf_key"]) for r in
-                    rows.groupBy("_cf_range").agg(F.min(F.struct("_cf_order", "_cf_key")).alias("f")).collect())
+                    narrow.groupBy(range_of("_cf_order").alias("_cf_range")).agg(F.min(F.struct("_cf_order", "_cf_key")).alias("f")).collect())
     before = [(*f[1:], firsts[i - 1][0]) for i, f in enumerate(firsts)]
     firsts_df = F.broadcast(docs.sparkSession.createDataFrame(before, "_cf_forder long, _cf_fkey long, _cf_before int"))
     placed = rows.join(firsts_df, (F.col("_cf_order") == F.col("_cf_forder")) & (F.col("_cf_key") == F.col("_cf_fkey")), "left")
@@ -138,7 +159,7 @@ def neighbour_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = placed.withColumn("_cf_to", F.explode(F.when(F.col("_cf_before").isNull(), F.array(own)).otherwise(F.array(own, copy))))
     placed = placed.select(F.col("_cf_to.range").alias("_cf_range"), F.col("_cf_to.copy").alias("_cf_copy"),
                            "_cf_order", "_cf_key", "_cf_id", "_cf_text")
-    streams = (placed.repartition("_cf_range").sortWithinPartitions("_cf_range", "_cf_copy", "_cf_order", "_cf_key")
+    streams = (placed.repartitionByRange(len(bounds) + 1, "_cf_range").sortWithinPartitions("_cf_range", "_cf_copy", "_cf_order", "_cf_key")
                .select("_cf_range", "_cf_copy", "_cf_id", "_cf_text"))
 
     arrow_id = {"byte": pa.int8(), "short": pa.int16(), "integer": pa.int32(), "long": pa.int64()}[kind.typeName()]
