@@ -118,7 +118,8 @@ def _frequent_runs(docs: DataFrame, text_col: str, tokenizer_json: str) -> dict[
 
     share = min(1.0, SAMPLE_ROWS / max(1, docs.count()))
     sample = docs.select(text_of(text_col).alias("_cf_text")).sample(share, seed=1)
-    top = sample.mapInArrow(count, "p string, n long").orderBy(F.desc("n"), "p").limit(FREQUENT).collect()
+    top = (sample.mapInArrow(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
+           .orderBy(F.desc("n"), "p").limit(FREQUENT).collect())
     tokenizer = Tokenizer.from_str(tokenizer_json)
     found = sorted({r["p"] for r in top})
     return {p: len(e.ids) for p, e in zip(found, tokenizer.encode_batch(found, add_special_tokens=False))}
