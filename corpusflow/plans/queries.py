@@ -29,6 +29,7 @@ from corpusflow.operators.lexical import bm25_topk
 from corpusflow.operators.matching import contained_items
 from corpusflow.operators.quantiles import summary_stats
 from corpusflow.operators.vector_search import knn_topk
+from corpusflow.sources import files
 from corpusflow.sources.tables import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,11 +72,9 @@ def ingest_quarantine(spark, sf):
 
 @register("assemble_pages")
 def assemble_pages(spark, sf):
-    pages = table(spark, sf, "conversations")
-    return pages.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("pages"),
-        ctx._ordered_join(F.concat(F.col("text"), F.lit("\n")), F.col("turn"), "").alias("content"),
-    )
+    turns = table(spark, sf, "conversations")
+    return files.assemble_pages(turns, "conv_id", "turn", "text").join(
+        turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("pages")), "conv_id").select("conv_id", "pages", "content")
 
 
 @register("select_recent")
@@ -220,17 +219,24 @@ def three_vectors_q(spark, sf):
     )
 
 
+def _odd_vectors(spark, sf) -> DataFrame:
+    """The embeddings, of which some are null, empty, too short, or hold a value that is none."""
+    v = F.col("embedding")
+    kind = F.col("vec_id") % 50
+    return table(spark, sf, "embeddings").withColumn("embedding", F.when(kind == 1, F.lit(None)).when(kind == 2, F.slice(v, 1, 63)).when(
+        kind == 3, F.transform(v, lambda x, i: F.when(i == 5, F.lit(float("nan")).cast("float")).otherwise(x))).when(
+        kind == 4, F.slice(v, 1, 0)).when(kind == 5, F.transform(v, lambda x, i: F.when(i == 7, F.lit(None)).otherwise(x))).otherwise(v))
+
+
 @register("vector_contract")
 def vector_contract_q(spark, sf):
-    e = table(spark, sf, "embeddings")
     status = F.coalesce(vector_violation(F.col("embedding"), 64), F.lit("ok"))
-    return e.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("vectors"))
+    return _odd_vectors(spark, sf).groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("vectors"))
 
 
 @register("null_vector_rows")
 def null_vector_rows_q(spark, sf):
-    e = table(spark, sf, "embeddings")
-    _, bad = split_by_contract(e, "embedding", 64)
+    _, bad = split_by_contract(_odd_vectors(spark, sf), "embedding", 64)
     return bad.select("vec_id", "reason", "detail")
 
 

@@ -9,6 +9,8 @@ as JSON (one small file: the report is a single row by construction).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,9 @@ def history_as_turns(queries: DataFrame) -> DataFrame:
     return user.unionByName(asst).unionByName(current)
 
 
-def write_report(report: DataFrame, path: str) -> None:
-    """Write the one-row report as JSON. ``coalesce(1)`` is safe: one row."""
-    report.coalesce(1).write.mode("overwrite").json(path)
+def write_report(report: DataFrame, path: str, sections: dict | None = None) -> None:
+    """Write the one-row report as one JSON value with sorted keys, indented by two. ``sections`` are added beside the
+    report's columns (provider, measured times and the like; plain Python values). ``coalesce(1)`` is safe: one row."""
+    row = report.first()
+    value = json.dumps({**(row.asDict(recursive=True) if row else {}), **(sections or {})}, indent=2, sort_keys=True, ensure_ascii=False)
+    report.sparkSession.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import is_remote
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -23,13 +24,10 @@ def balanced(df: DataFrame) -> DataFrame:
     is added where the scan is already parallel. Filters and column pruning still
     reach the Parquet scan below the repartition.
     """
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            return df.repartition(slots)
-    except Exception:  # pragma: no cover - e.g. a Connect session has no RDD view
-        pass
-    return df
+    if is_remote():  # a Connect session has no view of partitions
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:

@@ -45,3 +45,15 @@ def test_report_golden(spark):
     assert (b["context_chars_before"], b["context_chars_after"], b["context_reduction_ratio"]) == (2167, 2167, 0.0)
     assert (c["context_chars_before"], c["context_chars_after"]) == (2162, 1999)
     assert c["context_reduction_ratio"] == 0.0754
+
+
+def test_measured_sections(spark, tmp_path):
+    from corpusflow.operators.evaluation import measured_evaluation
+    from corpusflow.sources.eval_corpus import write_report
+
+    docs, queries = _load(spark)
+    report, sections = measured_evaluation(docs, queries, k=3, repeats=2)
+    assert sections["ingest"]["documents_per_second"] > 0 and sections["latency"]["p50_ms"] <= sections["latency"]["p95_ms"]
+    write_report(report, str(tmp_path / "report"), sections)
+    text = "".join(p.read_text() for p in (tmp_path / "report").glob("part-*"))
+    assert sorted(json.loads(text)) == ["corpus", "ingest", "latency", "provider", "retrieval_baseline", "retrieval_with_compression"]

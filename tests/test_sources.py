@@ -44,5 +44,10 @@ def test_eval_corpus_and_report(spark):
     assert qs[0]["history"] == [["u", "v"]] and qs[1]["history"] == []
     assert qs[2]["history"] == [["x", "y"], ["m", ""], ["n", "z"], ["", "only"]]
     out = os.path.join(root, "report")
-    write_report(docs.select(F.struct("id", "filename").alias("d")), out)
-    assert len([p for p in os.listdir(out) if p.endswith(".json")]) == 1
+    write_report(docs.select(F.struct("id", "filename").alias("d")), out, {"b": 1, "a": {"z": "é", "y": 2}})
+    parts = [p for p in os.listdir(out) if p.startswith("part-")]
+    assert len(parts) == 1
+    with open(os.path.join(out, parts[0]), encoding="utf-8") as f:
+        text = f.read()
+    assert json.loads(text) == {"a": {"y": 2, "z": "é"}, "b": 1, "d": {"filename": "a.txt", "id": "a"}}
+    assert text.index('"a"') < text.index('"b"') < text.index('"d"') and '\n  "a": {\n    "y": 2' in text
