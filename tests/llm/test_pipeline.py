@@ -51,4 +51,25 @@ def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontaminate", "mix", "shard"]
     names = list(entry.queries())
     assert "pipeline" in names
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
+
+
+def test_stages_with_repeated_rows_and_clashing_columns(spark, frame, edges, empty, tmp_path):
+    """Each stage keeps the columns of its input, whatever they are called, and every row that it has no reason to drop."""
+    rows = [(i, prose(i, 40), f"s{i % 3}") for i in range(30)] + [(3, prose(3, 40), "s0")] * 5 + [(90, prose(8, 40), "s1")]
+    items = [(1, prose(700, 20))]
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for docs, n in ((frame(rows), len(rows)), (edges, edges.count()), (empty, 0)):
+        kept = {}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path)) if name != "shard" else None
+            if out is not None:
+                assert out.columns == docs.columns, name
+                kept[name] = out.count()
+        assert kept["decontaminate"] == kept["mix"] == n
+        assert kept["near_dedup"] == {36: 30, 0: 0}.get(n, kept["near_dedup"])
+        path = str(tmp_path / f"docs{n}")
+        docs.write.parquet(path)
+        shards = corpus_pipeline.shard(spark, spark.read.parquet(path), str(tmp_path)).collect()
+        assert len(shards) == n and all(0 <= r["shard"] < 16 for r in shards)

@@ -83,3 +83,38 @@ def test_probabilities_do_not_depend_on_the_sample_bound(spark, frame, rows):
     known = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(1000)], "doc_id long, toxic int")
     found = tx.predict(docs, tx.train(docs, known, rows=rows)).agg(F.avg("p_toxic"), F.max("rejected")).first()
     assert found[0] == pytest.approx(0.1, abs=0.02) and not found[1]
+
+
+def test_prediction_against_brute_force(spark, frame):
+    """The chain's probabilities worked out text by text, from features, weights and the sampling rate."""
+    import math
+    from collections import Counter
+
+    from conftest import words
+
+    rows, labels = corpus(300, 4)
+    rows += [(1000 + i, t, s) for i, (_, t, s) in enumerate(EDGES)] + rows[:3]
+    docs = frame(rows)
+    chain = tx.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def brute(text):
+        counts = Counter(f for w in {w.encode() for w in words(text)}
+                         for f in [w, *(b"%d:" % k + w[:k] for k in range(4, 10) if len(w) > k)])
+        held = [chain.index[f] for f in counts if f in chain.index] + [chain.index[b"2*" + f] for f, n in counts.items() if n > 1 and b"2*" + f in chain.index]
+        raw = []
+        for weights, earlier, intercept in zip(chain.weights, chain.earlier, chain.intercepts):
+            z = sum(weights[i] for i in held) + sum(e * p for e, p in zip(earlier, raw)) + intercept
+            raw.append(1 / (1 + math.exp(-max(-40, min(40, z)))))
+        last = raw[-1] + (1 - raw[-1]) * chain.sampling
+        return [min(p / last, 1.0) for p in raw]
+
+    found = {}
+    for r in tx.predict(docs, chain).collect():
+        found.setdefault((r["doc_id"], r["rejected"]), []).append([r[f"p_{c}"] for c in tx.CHAIN])
+    expected = {}
+    for i, text, _ in rows:
+        p = brute(text)
+        expected.setdefault((i, p[-1] >= tx.THRESHOLD), []).append(p)
+    assert found.keys() == expected.keys()
+    for key, many in expected.items():
+        assert np.allclose(sorted(found[key]), sorted(many), rtol=1e-9, atol=1e-12)
