@@ -97,6 +97,14 @@ ORACLE["corpus_scan"] = f"""
 SELECT doc_id, {FILENAME} AS filename, length(text)::BIGINT AS n_chars, strlen(text)::BIGINT AS n_bytes
 FROM documents"""
 
+ORACLE["file_routing"] = """
+SELECT 'inbox/' || source || '/' || name AS path, CASE WHEN reason IS NULL THEN name END AS filename,
+       CASE WHEN reason IS NULL THEN length(text)::BIGINT END AS n_chars, reason
+FROM (SELECT source, text, CAST(doc_id AS VARCHAR) || CASE doc_id % 11 WHEN 3 THEN '.pdf' WHEN 5 THEN '.MD' ELSE '.txt' END AS name,
+             CASE WHEN doc_id % 11 = 3 THEN 'unsupported_suffix' WHEN doc_id % 17 = 2 OR text IS NULL OR (text = '' AND doc_id % 13 <> 4) THEN 'empty'
+                  WHEN doc_id % 13 = 4 THEN 'invalid_utf8' END AS reason
+      FROM documents)"""
+
 ORACLE["ingest_quarantine"] = f"""
 SELECT CASE WHEN text IS NULL THEN 'missing' WHEN length({compact('text')}) = 0 THEN 'empty'
             ELSE 'stored' END AS status, count(*)::BIGINT AS documents

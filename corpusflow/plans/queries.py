@@ -61,6 +61,24 @@ def corpus_scan(spark, sf):
                     F.octet_length("content").cast("bigint").alias("n_bytes"))
 
 
+def _stored_files(spark, sf) -> DataFrame:
+    """Documents as file rows: some of another suffix, some of upper-case suffix, some with a byte that is no UTF-8, some empty."""
+    suffix = F.expr("CASE WHEN doc_id % 11 = 3 THEN '.pdf' WHEN doc_id % 11 = 5 THEN '.MD' ELSE '.txt' END")
+    body = F.encode(F.col("text"), "UTF-8")
+    return table(spark, sf, "documents").select(
+        F.concat(F.lit("inbox/"), "source", F.lit("/"), F.col("doc_id").cast("string"), suffix).alias("path"),
+        F.expr("doc_id % 17 = 2").alias("none"), F.expr("doc_id % 13 = 4").alias("odd"), body.alias("body")).select(
+        "path", F.when(F.col("none"), F.lit(b"")).when(F.col("odd"), F.concat("body", F.lit(b"\xff"))).otherwise(F.col("body")).alias("content"))
+
+
+@register("file_routing")
+def file_routing(spark, sf):
+    docs, quarantine = files.route_files(_stored_files(spark, sf))
+    kept = docs.select("path", "filename", F.length("content").cast("bigint").alias("n_chars"), F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(quarantine.select(F.col("key").alias("path"), F.lit(None).cast("string").alias("filename"),
+                                              F.lit(None).cast("bigint").alias("n_chars"), "reason"))
+
+
 @register("ingest_quarantine")
 def ingest_quarantine(spark, sf):
     d = documents(spark, sf)

@@ -3,6 +3,7 @@
 ``binaryFile`` reads every file as one row (path, length, content bytes); the
 routing by suffix, strict UTF-8 validation and quarantine are Column predicates,
 so one bad file never fails the job: it becomes a quarantine row with a reason.
+``route_files`` takes such rows from any source (a table of stored files, a stream).
 """
 
 from __future__ import annotations
@@ -25,17 +26,21 @@ def scan_text_files(spark: SparkSession, path: str, recursive: bool = True) -> t
     documents: (filename, path, content) for readable text files;
     quarantine: (source, key, reason, detail) for every other file.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-           .select("path", "length", "content"))
+    return route_files(spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path))
+
+
+def route_files(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, quarantine) of rows of ``path`` and ``content`` (bytes); no content is an empty file."""
+    content = F.coalesce(F.col("content"), F.lit(b""))
     name = basename(F.col("path"))
-    lower = F.lower(name)
+    lower = F.lower(F.coalesce(name, F.lit("")))
     text_suffix = F.lit(False)
     for suffix in TEXT_SUFFIXES:
         text_suffix = text_suffix | lower.endswith(suffix)
-    as_text = F.col("content").cast("string")
+    as_text = content.cast("string")
     reason = (F.when(~text_suffix, F.lit(REASON_SUFFIX))
               .when(~F.is_valid_utf8(as_text), F.lit(REASON_UTF8))
-              .when(F.col("length") == 0, F.lit(REASON_EMPTY)))
+              .when(F.octet_length(content) == 0, F.lit(REASON_EMPTY)))
     tagged = raw.select(name.alias("filename"), "path", as_text.alias("content"), reason.alias("reason"))
     docs = tagged.where(F.col("reason").isNull()).select("filename", "path", "content")
     quarantine = tagged.where(F.col("reason").isNotNull()).select(

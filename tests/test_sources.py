@@ -5,7 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from corpusflow.sources.eval_corpus import read_eval_corpus, write_report
-from corpusflow.sources.files import assemble_pages, scan_text_files
+from corpusflow.sources.files import assemble_pages, route_files, scan_text_files
 
 
 def test_text_file_scan_quarantines_bad_files(spark):
@@ -24,6 +24,15 @@ def test_text_file_scan_quarantines_bad_files(spark):
     assert reasons == [("c.txt", "invalid_utf8"), ("d.pdf", "unsupported_suffix")]
 
 
+def test_rows_of_files_are_routed(spark):
+    rows = [("a/B.MD", "é".encode()), ("a/b.txt", None), ("a/c.txt", b""), ("a/d", b"x"), ("e.txt", b"\xff"), ("e.txt", b"\xff"), (None, b"x")]
+    docs, quarantine = route_files(spark.createDataFrame(rows, "path string, content binary").selectExpr("*", "1 AS length", "2 AS filename"))
+    assert [tuple(r) for r in docs.collect()] == [("B.MD", "a/B.MD", "é")]
+    found = sorted((r["key"] or "", r["reason"]) for r in quarantine.collect())
+    assert found == [("", "unsupported_suffix"), ("a/b.txt", "empty"), ("a/c.txt", "empty"), ("a/d", "unsupported_suffix"),
+                     ("e.txt", "invalid_utf8"), ("e.txt", "invalid_utf8")]
+
+
 def test_assemble_pages(spark):
     pages = spark.createDataFrame([("x", 2, "second"), ("x", 1, "first")], "doc string, page_no int, text string")
     assert assemble_pages(pages).first()["content"] == "first\nsecond\n"
