@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import text_key, text_of, words_of
+from corpusflow.llm.common import text_key, text_of, words_of, written
 
-#: Broadcast the window table up to this measured size; beyond it both sides are shuffled.
+#: Broadcast the window table up to this measured size; beyond it hashes are shuffled, and the words of hits fetched.
 MAX_BROADCAST_BYTES = 64 << 20
 
 
@@ -47,6 +47,55 @@ def _scan_positions(lengths: list[int]) -> Column:
     return F.concat(*parts)
 
 
+def _spots(texts: DataFrame, codes: Column, *kept: str) -> DataFrame:
+    """A row per code: where its window starts, its length, and its words (null for the marker)."""
+    return texts.withColumn("_cf_code", F.explode(codes)).select(
+        "_cf_row", *kept, F.size("_cf_words").cast("long").alias("_cf_n"),
+        F.shiftright("_cf_code", 4).cast("int").alias("_cf_at"),
+        F.col("_cf_code").bitwiseAND(15).cast("int").alias("_cf_dlen"), "_cf_code",
+        F.expr("CASE WHEN _cf_code >= 0 THEN "
+               "slice(_cf_words, cast(shiftright(_cf_code, 4) + 1 as int), cast(_cf_code & 15 as int)) END").alias("_cf_have"))
+
+
+def _verified(found: DataFrame) -> list[Column]:
+    """Hits and items of a document's probes ``found``, whose words are compared with those of the windows of their hash."""
+    verified = F.size("_cf_hit") > 0
+    return [F.sort_array(F.collect_list(F.when(verified, F.struct(
+                F.col("_cf_at").alias("start"), (F.col("_cf_at") + F.col("_cf_dlen")).alias("end"))))).alias("_cf_hits"),
+            F.flatten(F.collect_set(F.when(verified, F.flatten(F.expr("transform(_cf_hit, c -> c._cf_items)")))))
+            .alias("_cf_items")]
+
+
+def _hits_broadcast(texts: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """Hits of every row: each window of a text looks its hash up in the broadcast set."""
+    probe = _spots(texts, _scan_positions(lengths), "_cf_id", "_cf_key")
+    probe = probe.withColumn("_cf_dhash", F.when(F.col("_cf_at") >= 0, F.xxhash64("_cf_have")).otherwise(F.col("_cf_row")))
+    found = probe.join(F.broadcast(windows), F.col("_cf_dhash") == F.col("_cf_hash"), "left")
+    # Only markers and windows whose hash is in the set go on; then their words are compared.
+    found = (found.filter((F.col("_cf_at") < 0) | F.col("_cf_hash").isNotNull())
+             .withColumn("_cf_hit", F.expr("CASE WHEN _cf_at >= 0 THEN filter(_cf_cands, c -> c._cf_window = _cf_have) END")))
+    return found.groupBy("_cf_row").agg(
+        F.first("_cf_id").alias("_cf_id"), F.first("_cf_key").alias("_cf_key"), F.first("_cf_n").alias("_cf_n"), *_verified(found))
+
+
+def _hits_shuffled(texts: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same for a window set of any size. A window of a text is shuffled as hash, row and place (24 bytes);
+    words are fetched, by row, only for the places whose hash is in the set."""
+    texts, windows = written(texts, "decontaminate-words"), written(windows, "decontaminate-windows")
+    probe = _spots(texts, F.filter(_scan_positions(lengths), lambda code: code >= 0)).select(
+        "_cf_row", "_cf_code", F.xxhash64("_cf_have").alias("_cf_dhash"))
+    held = probe.join(windows.select("_cf_hash"), F.col("_cf_dhash") == F.col("_cf_hash"), "left_semi")
+    places = held.groupBy(F.col("_cf_row").alias("_cf_hrow")).agg(F.collect_list("_cf_code").alias("_cf_codes"))
+    spots = _spots(texts.join(places, F.col("_cf_row") == F.col("_cf_hrow")), F.col("_cf_codes")).withColumn("_cf_dhash", F.xxhash64("_cf_have"))
+    found = (spots.join(windows, F.col("_cf_dhash") == F.col("_cf_hash"))
+             .withColumn("_cf_hit", F.expr("filter(_cf_cands, c -> c._cf_window = _cf_have)")))
+    hits = found.groupBy(F.col("_cf_row").alias("_cf_hrow")).agg(*_verified(found))
+    none = {"_cf_hits": "array<struct<start:int,end:int>>", "_cf_items": "array<string>"}
+    return texts.join(hits, F.col("_cf_row") == F.col("_cf_hrow"), "left").select(
+        "_cf_row", "_cf_id", "_cf_key", F.size("_cf_words").cast("long").alias("_cf_n"),
+        *[F.coalesce(F.col(c), F.array().cast(kind)).alias(c) for c, kind in none.items()])
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_id_col: str = "item_id", item_text_col: str = "text", ngram: int = 13,
                        min_share: tuple[int, int] = (1, 20)) -> DataFrame:
@@ -60,31 +109,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
         F.sum(F.expr("aggregate(_cf_cands, 0L, (n, c) -> n + 64 + 40 * size(c._cf_window) + 40 * size(c._cf_items))"))
         .alias("bytes")).first()
     lengths, measured = size["lengths"] or [], size["bytes"] or 0
-    if measured <= MAX_BROADCAST_BYTES:
-        windows = F.broadcast(windows)
-
-    scan = (docs.select(F.col(id_col).alias("_cf_id"), text_key(text_col).alias("_cf_key"),
-                        words_of(text_of(text_col)).alias("_cf_words"))
-            .withColumn("_cf_row", F.monotonically_increasing_id())
-            .withColumn("_cf_code", F.explode(_scan_positions(lengths))))
-    probe = scan.select(
-        "_cf_row", "_cf_id", "_cf_key", F.size("_cf_words").cast("long").alias("_cf_n"),
-        F.shiftright("_cf_code", 4).cast("int").alias("_cf_at"),
-        F.col("_cf_code").bitwiseAND(15).cast("int").alias("_cf_dlen"),
-        F.expr("CASE WHEN _cf_code >= 0 THEN "
-               "slice(_cf_words, cast(shiftright(_cf_code, 4) + 1 as int), cast(_cf_code & 15 as int)) END").alias("_cf_have"))
-    probe = probe.withColumn("_cf_dhash", F.when(F.col("_cf_at") >= 0, F.xxhash64("_cf_have")).otherwise(F.col("_cf_row")))
-    found = probe.join(windows, F.col("_cf_dhash") == F.col("_cf_hash"), "left")
-    # Only markers and windows whose hash is in the set go on; then their words are compared.
-    found = (found.filter((F.col("_cf_at") < 0) | F.col("_cf_hash").isNotNull())
-             .withColumn("_cf_hit", F.expr("CASE WHEN _cf_at >= 0 THEN filter(_cf_cands, c -> c._cf_window = _cf_have) END")))
-    verified = F.size("_cf_hit") > 0
-    rows = found.groupBy("_cf_row").agg(
-        F.first("_cf_id").alias("_cf_id"), F.first("_cf_key").alias("_cf_key"), F.first("_cf_n").alias("_cf_n"),
-        F.sort_array(F.collect_list(F.when(verified, F.struct(
-            F.col("_cf_at").alias("start"), (F.col("_cf_at") + F.col("_cf_dlen")).alias("end"))))).alias("_cf_hits"),
-        F.flatten(F.collect_set(F.when(verified, F.flatten(F.expr("transform(_cf_hit, c -> c._cf_items)")))))
-        .alias("_cf_items"))
+    texts = (docs.select(F.col(id_col).alias("_cf_id"), text_key(text_col).alias("_cf_key"),
+                         words_of(text_of(text_col)).alias("_cf_words"))
+             .withColumn("_cf_row", F.monotonically_increasing_id()))
+    rows = (_hits_broadcast if measured <= MAX_BROADCAST_BYTES else _hits_shuffled)(texts, windows, lengths)
     # Sorted hits merge into disjoint spans: a hit opens a span only where it starts beyond all earlier ends.
     merged = F.expr("""
         aggregate(_cf_hits,
