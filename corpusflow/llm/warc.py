@@ -18,8 +18,9 @@ repeated rows get a record each (those with the largest id are all responses); a
 table gives an archive without records. A record whose segments are incomplete, whose framing is
 broken or whose digest differs has the reason in ``error`` and a null payload where none could be decoded. Digests may be
 in base 32 or hexadecimal; one in neither is an error of its record. Where a file holds no record at its place (it is cut off, or
-a header is broken) there is a row with the reason, and reading goes on at the next record. A file is read
-as one value, so one of over 2 GB, which this writer never makes, cannot be read.
+a header is broken) there is a row with the reason, and reading goes on at the next record. Files may be packed with gzip,
+a member a record or several; a member that cannot be unpacked gives a row with the reason, and reading goes on at the next one. A
+file is read as one value, so one of over 2 GB as stored, which this writer never makes, cannot be read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,11 +43,14 @@ SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 8 << 10
 #: A reading task holds one file at a time: at most this many records of a segment's length each.
 RECORDS_PER_FILE = 10_000
+#: A gzip member is unpacked from pieces of this many bytes.
+UNPACK_BYTES = 64 << 10
 #: Broadcast the groups of equal payloads up to this many (a digest, an id and a url each).
 MAX_BROADCAST_GROUPS = 200_000
 
 # Fixed values of the format.
 _SEPARATOR = "\r\n\r\n"
+_GZIP = b"\x1f\x8b\x08"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -190,6 +195,28 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
             at += 4
 
 
+def file_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """``records`` of a plain or gzip file. Of a gzip file one member is unpacked at a time; behind a broken one, from the next on."""
+    if not data.startswith(_GZIP):
+        yield from records(data)
+        return
+    at = 0
+    while at >= 0 and at < len(data):
+        start, parts, member = at, [], zlib.decompressobj(wbits=31)
+        try:
+            while not member.eof and at < len(data):
+                piece = data[at:at + UNPACK_BYTES]
+                at += len(piece)
+                parts.append(member.decompress(piece))
+            at -= len(member.unused_data)
+        except zlib.error:
+            pass
+        yield from records(b"".join(parts))
+        if not member.eof:
+            yield {}, b"", f"broken gzip member at byte {start}"
+            at = data.find(_GZIP, start + 1)
+
+
 def walk(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields and block of each record; ValueError where there is none."""
     for fields, block, error in records(data):
@@ -226,7 +253,7 @@ def _decoded(block: bytes, digest: str | None) -> tuple[bytes | None, str | None
 
 
 def _rows(data: bytes, segments: bool) -> Iterator[tuple]:
-    for f, block, broken in records(data):
+    for f, block, broken in file_records(data):
         if broken:
             if not segments:
                 yield (None,) * 10 + (broken,)

@@ -83,6 +83,35 @@ def test_broken_records_are_reported(spark, tmp_path):
     assert len(found) == 4
 
 
+def test_gzip_files(spark, tmp_path):
+    """A member a record, one member for all, members over the unpacking step, a broken member between and a cut one at the end."""
+    import gzip
+    import random
+
+    def rec(page, payload):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+        return warc._record([("WARC-Type", "response"), ("WARC-Record-ID", f"<{page}>"), ("WARC-Page-ID", page)], block) + b"\r\n\r\n"
+
+    noise = random.Random(1).randbytes(300_000)
+    packed = gzip.compress(rec("broken", b"x" * 500))
+    broken = packed[:40] + bytes(b ^ 255 for b in packed[40:60]) + packed[60:]
+    files = {"each": b"".join(gzip.compress(rec(f"e{i}", noise[:i * 40_000])) for i in range(8)),
+             "all": gzip.compress(rec("a0", b"one") + rec("a1", noise)), "mid": gzip.compress(rec("m0", b"m")) + broken + gzip.compress(rec("m1", noise)),
+             "cut": gzip.compress(rec("c0", b"c")) + gzip.compress(rec("c1", noise))[:-100_000], "none": gzip.compress(b"")}
+    for name, data in files.items():
+        (tmp_path / f"{name}.warc.gz").write_bytes(data)
+    path = shared_path(spark, "warc-test")
+    warc.write_warc(spark.createDataFrame([(7, "u", BIG)], "page_id long, url string, html string"), path, segment_bytes=20_000)
+    written = b"".join(bytes(r["content"]) for r in spark.read.format("binaryFile").load(path).collect())
+    (tmp_path / "own.warc.gz").write_bytes(gzip.compress(written))
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    found = {r["page"]: (bytes(r["payload"]), r["error"]) for r in rows if r["page"]}
+    assert found == {**{f"e{i}": (noise[:i * 40_000], None) for i in range(8)}, "a0": (b"one", None), "a1": (noise, None),
+                     "m0": (b"m", None), "m1": (noise, None), "c0": (b"c", None), "7": (BIG.encode(), None)}
+    errors = [r["error"].split(" at byte")[0] for r in rows if not r["page"]]
+    assert errors.count("broken gzip member") == 2 and set(errors) <= {"broken gzip member", "record cut off"}
+
+
 def test_foreign_digests_and_cut_files(spark, tmp_path):
     """Digests in hex, base 32 (either case) and neither; a file cut in a block, one cut in a header, one with rubbish between."""
     import base64
