@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.session import ensure_checkpoint_dir
+from corpusflow.session import bounded_batches, ensure_checkpoint_dir  # noqa: F401  (batches: for the operators)
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = _UPPER.lower()
@@ -32,10 +32,6 @@ WORD_BYTES = bytes(
 )
 
 
-BATCH_BYTES = 8 << 20
-_BATCH_KEY, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
-
-
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -65,13 +61,6 @@ def text_key(column: str) -> Column:
     return F.xxhash64(text_of(column))
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_BYTES at most, unless the session sets a limit of its own: a task that gets whole texts
-    holds a batch several times over (in the JVM, on the way, as Python objects)."""
-    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT).rstrip("b") == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder for one run under the cluster's shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark)

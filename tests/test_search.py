@@ -348,3 +348,49 @@ def test_ties_give_k_candidates_and_odd_vectors_fail(spark):
     odd = same.union(spark.createDataFrame([(999, [1.0])], "c long, v array<double>"))
     with pytest.raises(Exception, match="do not have dimension 2"):
         knn_topk(odd, queries, corpus_key="c", corpus_vec="v", query_key="q", query_vec="v", k=3).collect()
+
+
+def test_payload_stays_out_of_the_cells(spark, monkeypatch):
+    """Wide columns are joined to the hits: what a scoring task holds does not depend on them. Rows of one key keep their own."""
+    from corpusflow.operators import vector_search
+
+    seen, cells = [], vector_search._cells
+
+    def spy(rows, *args):
+        seen.append(rows.columns)
+        return cells(rows, *args)
+
+    monkeypatch.setattr(vector_search, "_cells", spy)
+    rows = [(i % 30, [float(i % 30 == j) for j in range(30)], f"text {i}", None if i == 4 else i) for i in range(60)]
+    corpus = spark.createDataFrame(rows, "id long, v array<float>, body string, n long").repartition(3)
+    asked = spark.createDataFrame([(7, rows[7][1]), (4, rows[4][1])], "qid long, v array<float>")
+    for size in (64 << 20, 100):
+        hits = knn_topk(corpus, asked, corpus_key="id", corpus_vec="v", query_key="qid", query_vec="v", k=2, payload=("body", "n"), max_block_bytes=size)
+        assert hits.columns == ["query_id", "id", "body", "n", "score", "rank"]
+        got = {(r["query_id"], r["id"], r["body"], r["n"], r["score"]) for r in hits.collect()}
+        assert got == {(q, q, f"text {i}", None if i == 4 else i, 1.0) for q in (7, 4) for i in (q, q + 30)}
+    assert seen and not any({"body", "n"} & set(columns) for columns in seen)
+
+
+def test_bounds_rise_with_the_first_cell():
+    """Later cells are cut by what the first one gave, so candidates don't grow with the corpus; rounding keeps its ties."""
+    import pyarrow as pa
+
+    from corpusflow.operators.vector_search import TopK
+
+    rng, top, held = np.random.default_rng(2), TopK(600, 3), []
+    cells = [rng.random((600, 200)) for _ in range(40)]
+    cells[1][0, :5] = cells[0][0].max() + 4e-7  # equal after rounding to 6 digits, or one step apart
+    for n, scores in enumerate(cells):
+        keys = pa.table({"c": np.arange(200) * 40 + n})
+        for first in (0, 512):
+            top.add(scores[first:first + 512], keys, first=first, digits=6)
+        held.append(top.size)
+        assert (top.floor > 0.5).all()
+    assert held[-1] < 20 * held[0]  # the k best of each cell would be 40 times as many
+    keys = np.stack([np.arange(200) * 40 + n for n in range(40)]).ravel()
+    scores = np.round(np.concatenate(cells, axis=1), 6)
+    got = {}
+    for r in top.cut("c").to_pylist():
+        got.setdefault(r["_at"], []).append((-r["_score"], r["c"]))
+    assert got == {q: sorted(zip(-scores[q], keys.tolist()))[:3] for q in range(600)}
