@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from corpusflow.functions import text as tx
+from corpusflow.session import bounded_batches
 
 # Defaults of a normalised message.
 NO_SUBJECT = "(no subject)"
@@ -94,6 +95,10 @@ def read_message(values: pa.Array) -> pa.Array:
     return pa.array([_message(v.as_py()) for v in values], _ARROW)
 
 
+#: To Spark it is not repeatable, so a filter on its result is not given a second reading of every message.
+read_message = read_message.asNondeterministic()
+
+
 def b64url_text(data: Column) -> Column:
     """url-safe base64 (padding optional) → UTF-8 text, invalid bytes dropped."""
     raw = F.unbase64(F.translate(data, "-_", "+/")).cast("string")
@@ -155,11 +160,13 @@ def normalise(messages: DataFrame, message_col: str = "message") -> DataFrame:
 
 def parse_messages(raw: DataFrame, json_col: str = "value") -> DataFrame:
     """JSON text (one message per row, e.g. ``spark.read.text``) → parsed ``message``, of the rows that are JSON objects."""
+    bounded_batches(raw.sparkSession)
     return raw.select(read_message(F.col(json_col)).alias("message")).where(F.col("message.bad").isNull())
 
 
 def bad_messages(raw: DataFrame, json_col: str = "value") -> DataFrame:
     """The rows that are no message, for quarantine."""
+    bounded_batches(raw.sparkSession)
     read = raw.select(F.col(json_col).alias("detail"), read_message(F.col(json_col))["bad"].alias("reason"))
     return read.where(F.col("reason").isNotNull()).select(F.lit("mail").alias("source"), "detail", "reason")
 

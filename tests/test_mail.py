@@ -104,3 +104,21 @@ def test_selection(spark):
     from pyspark.sql import functions as F
 
     assert ids(mail.select_messages(rows, 10, newer_than=F.to_timestamp(F.lit("2024-01-01 10:00:00")))) == ["d", "c"]
+
+
+def test_messages_are_read_once_in_bounded_batches(spark):
+    """A filter on what was read is no second reading, and a task gets 8 MB of messages at a time."""
+    from corpusflow.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        raw = spark.createDataFrame([('{"id": "a", "payload": {"mimeType": "text/plain", "body": {"data": "aGk"}}}',), ("[1]",)], "value string")
+        read = mail.normalise(mail.parse_messages(raw))
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython [read_message(") == 1
+        assert int(spark.conf.get(key).rstrip("b")) == BATCH_BYTES
+        assert [(r["id"], r["text"]) for r in read.collect()] == [("a", "hi")]
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
