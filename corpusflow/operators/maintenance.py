@@ -22,7 +22,7 @@ from corpusflow.functions.text import words
 from corpusflow.operators.chunking import chunk_documents, combined_text, n_chunks
 from corpusflow.operators.embedding import (EmbeddingProvider, embed_column, md5_hash_vector, provenance, split_by_contract,
                                             vector_violation)
-from corpusflow.session import ensure_checkpoint_dir
+from corpusflow.session import bounded_batches, ensure_checkpoint_dir
 
 #: Buckets of a table whose size is not known in advance, and bytes of index meant for one bucket otherwise.
 INDEX_BUCKETS = 64
@@ -166,24 +166,29 @@ def delete_from_index(spark: SparkSession, path: str, filenames: DataFrame, file
     return sum(r["n"] for r in met)
 
 
-def replace_in_index(batch: DataFrame, path: str, filename: str = "filename") -> None:
+def replace_in_index(batch: DataFrame, path: str, filename: str = "filename", stored: bool = False) -> None:
     """Upsert: rows of the batch's files replace their previous rows. Only the buckets the batch touches are rewritten, and a
-    repeated call gives the same table."""
+    repeated call gives the same table. ``stored``: the batch's rows are read from files, so they need not be kept."""
     spark = batch.sparkSession
     info = create_index(spark, path)
     finish_replacements(spark, path)
-    # The batch is read several times below; keep it rather than run its transform for each use.
-    batch = batch.withColumn("bucket", bucket_of(filename, info.buckets)).persist()
+    batch = batch.withColumn("bucket", bucket_of(filename, info.buckets))
+    if not _buckets_in(spark, path):
+        write_buckets(batch, path, "append")
+        return
+    # The batch is read several times below: its names by one column of its files, or its rows are kept rather than made
+    # for each use.
+    if not stored:
+        batch = batch.persist()
     try:
-        if not _buckets_in(spark, path):
-            write_buckets(batch, path, "append")
-            return
-        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most the table's buckets
+        names = batch.select(filename, "bucket").distinct()
+        touched = [r["bucket"] for r in names.select("bucket").distinct().collect()]  # at most the table's buckets
         index = read_index(spark, path)
-        survivors = index.where(F.col("bucket").isin(touched)).join(batch.select(filename).distinct(), filename, "left_anti")
+        survivors = index.where(F.col("bucket").isin(touched)).join(names.select(filename), filename, "left_anti")
         replace_buckets(spark, path, touched, survivors.select(index.columns).unionByName(batch.select(index.columns)))
     finally:
-        batch.unpersist()
+        if not stored:
+            batch.unpersist()
 
 
 # --------------------------------------------------------------------------- rows
@@ -202,6 +207,7 @@ def index_rows(docs: DataFrame, cfg: ChunkConfig = ChunkConfig(), dim: int = HAS
     Vectors are computed in Arrow batches where every distinct token is hashed
     once, so the combined text's content tokens cost a dictionary lookup.
     """
+    bounded_batches(docs.sparkSession)
     keep = list(keep or [])
     made = embedder() if embedder else None
     if made is not None:

@@ -34,7 +34,7 @@ class IndexStore:
         rows, _ = frozen(mt.index_rows(docs, self.cfg, dim=self.info.dimension, keep=keep, embedder=self.embedder, buckets=self.info.buckets), "store")
         _, bad = mt.index_parts(rows, self.info.dimension)
         bad = bad.groupBy("filename").agg(F.min("reason").alias("reason"))
-        mt.replace_in_index(rows.join(bad, "filename", "left_anti"), self.path)
+        mt.replace_in_index(rows.join(bad, "filename", "left_anti"), self.path, stored=True)
         return bad
 
     def search(self, queries: DataFrame, **options) -> DataFrame:

@@ -44,27 +44,31 @@ def ingest_batch(docs: DataFrame, batch_id: int, index_path: str, log_path: str,
     """Store one batch of documents (``version, filename, content``). A document fails whole if it has no content, no
     words, or a text the embedder gives no proper vector for; its former version then stays in the index."""
     spark = docs.sparkSession
-    newest = latest_in_batch(balanced(docs), version)
     content = clean_text("content") if clean else F.col("content")
     empty = F.when(F.col("content").isNull(), F.lit("missing")).when(F.size(words("content")) == 0, F.lit("empty"))
+    # The texts are shuffled and compared once: both the rows and the log are made of what is staged.
+    arrived = scratch_path(spark, "ingest-newest")
+    latest_in_batch(balanced(docs), version).withColumn("_empty", empty).write.parquet(arrived)
+    newest = spark.read.parquet(arrived)
     made = embedder() if embedder else None
     info = create_index(spark, index_path, made.dimension if made else dim)
     # Texts are embedded once: the checked rows are staged, and everything below reads them.
     staged = scratch_path(spark, "ingest-batch")
-    rows = index_rows(newest.where(empty.isNull()).withColumn("content", content), cfg, dim=info.dimension, keep=[version], embedder=embedder,
+    rows = index_rows(newest.where(F.col("_empty").isNull()).withColumn("content", content), cfg, dim=info.dimension, keep=[version], embedder=embedder,
                       buckets=info.buckets)
     odd = F.coalesce(*[vector_violation(F.col(f), info.dimension) for f in VECTOR_FIELDS])
     rows.withColumn("_odd", odd).write.parquet(staged)
     rows = spark.read.parquet(staged)
     per_file = rows.groupBy("filename").agg(F.count(F.lit(1)).alias("chunks"), F.max("_odd").alias("reason"))
-    log = newest.select("filename", empty.alias("_empty")).join(per_file, "filename", "left").select(
+    log = newest.select("filename", "_empty").join(per_file, "filename", "left").select(
         "filename", F.coalesce("_empty", "reason").alias("reason"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
     log = log.select("filename", F.when(F.col("reason").isNull(), STORED).otherwise(FAILED).alias("status"),
                      F.when(F.col("reason").isNull(), F.col("chunks")).otherwise(0).cast("bigint").alias("chunks"), "reason")
     bad = per_file.where(F.col("reason").isNotNull()).select("filename")
-    replace_in_index(rows.join(bad, "filename", "left_anti").drop("_odd"), index_path)
+    replace_in_index(rows.join(bad, "filename", "left_anti").drop("_odd"), index_path, stored=True)
     _by_batch(log, log_path, batch_id)
     delete_path(spark, staged)
+    delete_path(spark, arrived)
 
 
 def ingest_totals(spark: SparkSession, log_path: str) -> DataFrame:

@@ -241,3 +241,36 @@ def test_count_windows_leave_the_state(spark, tmp_path):
     got = {r["start"].day: r["events"] for r in ingest.read_counts(spark, root + "/out").collect()}
     assert got == {1: 2, 2: 2, 20: 1, 21: 1, 22: 1}  # the row of the 1st that came after the 20th is too late
     assert state[0] == 2 and state[-1] <= 3
+
+
+def test_ingested_batches_are_staged_not_cached(spark, tmp_path, monkeypatch):
+    """A batch is compared and embedded once and lies in files from then on: none of it is kept in the executors, nothing staged stays,
+    and a text is in an Arrow batch of 8 MB at most."""
+    from pyspark.sql import DataFrame
+
+    from corpusflow.session import BATCH_BYTES
+    from corpusflow.streaming import ingest
+
+    def persist(self, *a):
+        raise AssertionError("a batch was cached")
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    index, log = str(tmp_path / "index"), str(tmp_path / "log")
+    staged, scratch = [], ingest.scratch_path
+    monkeypatch.setattr(ingest, "scratch_path", lambda *a: staged.append(scratch(*a)) or staged[-1])
+    monkeypatch.setattr(DataFrame, "persist", persist)
+    try:
+        rows = [(1, "a", "one two"), (2, "a", "three"), (3, "b", None), (4, "c", " \n "), (5, "d", "four")]
+        ingest.ingest_batch(spark.createDataFrame(rows, "doc_id long, filename string, content string"), 0, index, log)
+        ingest.ingest_batch(spark.createDataFrame([(6, "d", "five"), (7, "a", "")], "doc_id long, filename string, content string"), 1, index, log)
+        assert int(spark.conf.get(key).rstrip("b")) == BATCH_BYTES
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    held = {(r["filename"], r["doc_id"], r["content"]) for r in spark.read.parquet(index).collect()}
+    assert held == {("a", 2, "three"), ("d", 6, "five")}
+    said = {(r["batch"], r["filename"], r["status"], r["reason"], r["chunks"]) for r in spark.read.parquet(log).collect()}
+    assert said == {(0, "a", "stored", None, 1), (0, "b", "failed", "missing", 0), (0, "c", "failed", "empty", 0), (0, "d", "stored", None, 1),
+                    (1, "a", "failed", "empty", 0), (1, "d", "stored", None, 1)}
+    assert len(staged) == 4 and not any(os.path.exists(s.replace("file:", "")) for s in staged)
