@@ -394,3 +394,12 @@ def test_bounds_rise_with_the_first_cell():
     for r in top.cut("c").to_pylist():
         got.setdefault(r["_at"], []).append((-r["_score"], r["c"]))
     assert got == {q: sorted(zip(-scores[q], keys.tolist()))[:3] for q in range(600)}
+
+
+@pytest.mark.parametrize("kind, column, value, most", [("dense", "array<float>", [0.5] * 256, 4.2), ("text", "string", "some words of a text", 2.2)])
+def test_cells_hold_numbers_as_narrow_as_given(spark, kind, column, value, most):
+    from corpusflow.operators.vector_search import _cells
+
+    rows = spark.createDataFrame([(i, value) for i in range(400)], f"id long, v {column}").coalesce(1)
+    sizes = [len(r["cell"]) for r in _cells(rows, "id", "v", kind, 256).collect()]
+    assert sum(sizes) < 400 * 256 * most
