@@ -218,6 +218,22 @@ def test_contained_items_against_plain_search(spark, monkeypatch):
     assert matching.contained_items(ddf.limit(0), idf).collect() == []
 
 
+def test_containment_reads_texts_in_bounded_batches(spark):
+    """A task gets 8 MB of texts at a time, also if no search was made in the session before."""
+    from corpusflow.session import BATCH_BYTES
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        docs = spark.createDataFrame([(1, "the quick brown fox"), (2, None)], "doc_id long, text string")
+        found = contained_items(docs, spark.createDataFrame([(10, "quick brown")], "item_id long, text string"))
+        assert int(spark.conf.get(key).rstrip("b")) == BATCH_BYTES
+        assert [tuple(r) for r in found.collect()] == [(10, 1)]
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_windows_of_a_passage_are_those_of_the_text_around_it(monkeypatch):
     from corpusflow.operators import matching
 
