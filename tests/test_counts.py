@@ -1,0 +1,72 @@
+"""Search of token counts without the score of every pair: the same hits, from fewer products and fewer copies of cells."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusflow.functions.udfs import dense_from_buckets, md5_text_buckets
+from corpusflow.operators.vector_search import knn_topk
+
+
+def _texts(n, seed, longest):
+    """Texts of frequent and rare words; some are empty, repeated or far longer than the others."""
+    rng = np.random.default_rng(seed)
+    made = [" ".join(f"w{min(int(rng.pareto(0.7) * 3), 400)}" for _ in range(rng.integers(1, longest))) for _ in range(n)]
+    made[3], made[4], made[5] = "", made[6], made[6]
+    made[7] = "w1 " * 3000 + "w2 w3"
+    return made
+
+
+@pytest.mark.parametrize("longest", [30, 200])
+def test_no_pair_that_reaches_its_bound_is_ruled_out(longest):
+    from corpusflow.operators.counts import CorpusCounts, Counts
+
+    def counts(texts):
+        return dense_from_buckets(md5_text_buckets(texts, 64), 64, normalise=False).astype(np.uint16)
+
+    cell, queries = CorpusCounts(counts(_texts(700, 1, 300))), Counts(counts(_texts(600, 2, longest)))
+    who = np.flatnonzero(queries.numbers.any(axis=1))
+    cosines = cell.all_cosines(queries, np.arange(len(queries)))
+    for rank in (1, 5, 40):
+        least = np.sort(cosines, axis=1)[:, -rank]
+        at, row = cell.candidates(queries, who, least)
+        got = set(zip(at.tolist(), row.tolist()))
+        want = {(q, int(r)) for q in who for r in np.flatnonzero(cosines[q] >= least[q])}
+        assert len(got) == len(at) and want <= got
+        assert rank == 40 or len(got) < len(want) + 0.05 * len(who) * len(cell)  # other pairs are ruled out without a score of their own
+        assert np.abs(cell.cosines(queries, at, row) - cosines[at, row]).max() < 1e-12
+    assert cell._packed and all(p.per >= 4 for p in cell._packed.values())
+
+
+@pytest.mark.parametrize("max_block_bytes", [64 << 20, 2_000])
+def test_hits_of_texts_are_those_of_all_pairs(spark, max_block_bytes):
+    corpus, asked = _texts(1500, 3, 120), _texts(500, 4, 30)
+    c = spark.createDataFrame([(f"c{i:04}", t) for i, t in enumerate(corpus)], "id string, t string").repartition(3)
+    q = spark.createDataFrame(list(enumerate(asked)), "qid long, t string").coalesce(1)
+    hits = knn_topk(c, q, corpus_key="id", corpus_vec="t", query_key="qid", query_vec="t", k=3, kind="text", dim=64, score_offset=1.0,
+                    max_block_bytes=max_block_bytes).collect()
+    a, b = (dense_from_buckets(md5_text_buckets(texts, 64), 64) for texts in (asked, corpus))
+    scores = np.round(a @ b.T + 1.0, 6)
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in hits}
+    for i, row in enumerate(scores):
+        best = np.lexsort((np.arange(len(row)), -row))[:3]
+        assert [got[i, place + 1] for place in range(3)] == [(f"c{j:04}", row[j]) for j in best], i
+
+
+def test_grid_copies_a_cell_once_a_group_not_once_a_pair(spread):
+    from corpusflow.plans.cells import pairs
+
+    def cells(prefix, n):
+        return spread.createDataFrame([(f"{prefix}{i}".encode(), i) for i in range(n)], "cell binary, number long")
+
+    met = pairs(cells("q", 30), 30 * 1000, cells("c", 40), 0).withColumn("p", F.spark_partition_id()).collect()
+    groups = {}
+    for r in met:
+        asked, known, places = groups.setdefault(r["g"], ([], [], set()))
+        assert (r["q"] is None) != (r["c"] is None) and not (r["q"] and known)  # queries come first
+        (asked if r["q"] else known).append(bytes(r["q"] or r["c"]))
+        places.add(r["p"])
+    assert len(met) < 30 * 40
+    assert sorted((q, c) for asked, known, _ in groups.values() for q in asked for c in known) == sorted(
+        (f"q{i}".encode(), f"c{j}".encode()) for i in range(30) for j in range(40))
+    assert all(len(p) == 1 for _, _, p in groups.values()) and len(set.union(*(p for _, _, p in groups.values()))) == len(groups)
